@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from wattfleet.functions.quantiles import exact_quantile, medians_row
 from wattfleet.functions.scalars import log_reading
-from wattfleet.functions.series import running_last, should_split
+from wattfleet.functions.series import running_last
 from wattfleet.schema import FILLED_WEATHER, READING, SERIES_KEYS, TARGET_LOG
 
 
@@ -17,22 +17,15 @@ def fill_weather(weather: DataFrame, split: bool | None = None) -> DataFrame:
     reported the measure.
     """
     columns = [c for c in FILLED_WEATHER if c in weather.columns]
-    if should_split(weather, split):
-        ahead = running_last(weather, lambda _: {f"__f_{c}": F.col(c) for c in columns},
-                             ["site_id"], ["timestamp"], split=True)
-        both = running_last(ahead, lambda _: {f"__b_{c}": F.col(c) for c in columns},
-                            ["site_id"], ["timestamp"], split=True, descending=True)
-        filled = both.withColumns({c: F.coalesce(c, f"__f_{c}", f"__b_{c}") for c in columns})
-        filled = filled.drop(*[f"__{d}_{c}" for d in "fb" for c in columns])
-    else:
-        w = Window.partitionBy("site_id").orderBy("timestamp")
-        before = w.rowsBetween(Window.unboundedPreceding, 0)
-        after = w.rowsBetween(0, Window.unboundedFollowing)
-        filled = weather.withColumns({
-            c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after))
-            for c in columns})
+    seen = lambda prefix: lambda _: {f"__{prefix}_{c}": F.col(c) for c in columns}
+    # two passes in opposite time order: a frame that looks ahead would rescan the rest per row
+    ahead = running_last(weather, seen("f"), ["site_id"], ["timestamp"], split)
+    both = running_last(ahead, seen("b"), ["site_id"], ["timestamp"], split, descending=True)
+    filled = both.select(*[
+        F.coalesce(f"__f_{c}", f"__b_{c}").alias(c) if c in columns else F.col(c) for c in weather.columns])
     middle = medians_row(filled, columns).select(F.struct(*columns)).scalar()
-    return filled.withColumns({c: F.coalesce(F.col(c), middle[c]) for c in columns})
+    return (filled.withColumn("__mid", middle)
+            .withColumns({c: F.coalesce(F.col(c), F.col("__mid")[c]) for c in columns}).drop("__mid"))
 
 
 def reading_limits(df: DataFrame, reading_col: str = READING, quantile_cutoff: float = 0.999) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wattfleet.operators.forest import hash_sample
-from wattfleet.operators.model import prepare_features
+from wattfleet.operators.model import prepare_features, tree_inputs
 from wattfleet.operators.trees import Forest
 from wattfleet.schema import IDENTIFIERS, MODEL_FEATURES
 
@@ -81,7 +81,7 @@ def explain(rows: DataFrame, forest: Forest) -> DataFrame:
         x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
         return pd.Series(list(shap_values(forest, x)))
 
-    phi = attribute(*[F.col(c).cast("double") for c in names])
+    phi = attribute(*tree_inputs(ready).values())
     base = expected_value(forest)
     entry = lambda i, c: F.struct(
         F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), F.col("__phi")[i].alias("shap_value"),

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattfleet.functions.quantiles import median_of
 from wattfleet.operators.trees import Forest, boosted_nodes, collect_forest
@@ -14,6 +14,7 @@ from wattfleet.schema import MODEL_FEATURES, TARGET_LOG, require_columns
 from wattfleet.session import scratch_path
 
 DEFAULT_AREA = 10000.0      # fixed value: floor area when no row knows one
+MISSING = -1.0e6            # stands for a missing feature, below every real value
 
 
 def temporal_split(df: DataFrame, split_time, meter: int | None = 0) -> tuple[DataFrame, DataFrame]:
@@ -30,9 +31,17 @@ def prepare_features(df: DataFrame) -> DataFrame:
     return df.withColumn("square_feet", F.coalesce(F.col("square_feet").cast("double"), fill))
 
 
-def assembler() -> VectorAssembler:
-    # NaN passes through to the trees, which send it right at every split
-    return VectorAssembler(inputCols=list(MODEL_FEATURES), outputCol="features", handleInvalid="keep")
+def tree_inputs(df: DataFrame) -> dict[str, Column]:
+    """The features as doubles for the trees; a missing value gets its own place far left of all others."""
+    return {f"__in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in MODEL_FEATURES}
+
+
+def _assembled(df: DataFrame) -> DataFrame:
+    ready = prepare_features(df)
+    named = tree_inputs(ready)
+    check_contract([c.removeprefix("__in_") for c in named])
+    vector = VectorAssembler(inputCols=list(named), outputCol="features")
+    return vector.transform(ready.withColumns(named)).drop(*named)
 
 
 def check_contract(names: list[str]) -> None:
@@ -48,8 +57,7 @@ def train_gbt(
     rows = train.select(*MODEL_FEATURES, TARGET_LOG, F.lit(False).alias("__held"))
     if validation is not None:
         rows = rows.unionByName(validation.select(*MODEL_FEATURES, TARGET_LOG, F.lit(True).alias("__held")))
-    ready = assembler().transform(prepare_features(rows.where(F.col(TARGET_LOG).isNotNull())))
-    check_contract(assembler().getInputCols())
+    ready = _assembled(rows.where(F.col(TARGET_LOG).isNotNull()))
     learner = GBTRegressor(
         featuresCol="features", labelCol=TARGET_LOG, predictionCol="predicted_log", maxIter=max_iter,
         stepSize=step_size, maxDepth=max_depth, minInstancesPerNode=min_rows, subsamplingRate=sampling,
@@ -61,7 +69,7 @@ def train_gbt(
 
 def predict(df: DataFrame, model: GBTRegressionModel) -> DataFrame:
     """Add predicted_log and predicted_kwh (never negative) to rows with the 22 features."""
-    out = model.setPredictionCol("predicted_log").transform(assembler().transform(prepare_features(df)))
+    out = model.setPredictionCol("predicted_log").transform(_assembled(df))
     return out.drop("features").withColumn(
         "predicted_kwh", F.greatest(F.expm1("predicted_log"), F.lit(0.0)))
 

@@ -65,14 +65,17 @@ def anomaly_report(features: DataFrame, references: DataFrame | None = None, **w
 
 
 def top_anomalies(scored: DataFrame, n: int = 8, keys: Sequence[str] = SERIES_KEYS) -> DataFrame:
-    """The first n flagged rows of each series and how many more there are."""
-    w = Window.partitionBy(*keys)
+    """The first n flagged rows of each series and how many more there are.
+
+    Each task keeps only its own first n rows per series before the shuffle.
+    """
     flagged = scored.where("is_anomaly = 1")
-    return (
-        flagged.withColumn("place", F.row_number().over(w.orderBy("timestamp")))
-        .withColumn("more", F.greatest(F.count(F.lit(1)).over(w) - n, F.lit(0)))
+    first = (
+        flagged.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp")))
         .where(F.col("place") <= n).withColumn("shown_time", display_time(F.col("timestamp")))
     )
+    more = flagged.groupBy(*keys).agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("more"))
+    return first.join(more, list(keys))
 
 
 def forecast_report(table: DataFrame, references: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
@@ -145,17 +148,21 @@ def anomaly_overlay(features: DataFrame, month: int, meter: int = 0) -> DataFram
 
 
 def explain_targets(features: DataFrame, month: int, at=None, meter: int = 0) -> DataFrame:
-    """Per building the complete row to explain: at the chosen time (else the first row), or the
-    first flagged row, or the row of highest energy when nothing is flagged."""
-    rows = month_rows(features, month).where(F.col("meter") == int(meter)).dropna(subset=MODEL_FEATURES)
-    scored = anomaly.add_residual(rows)
+    """Per building the complete row to explain: the one at the chosen time, by default the time of the
+    first flagged row, else the first complete row; the row of highest energy when nothing is flagged."""
+    rows = month_rows(features, month).where(F.col("meter") == int(meter))
+    complete = ~F.greatest(*[F.col(c).isNull() for c in MODEL_FEATURES])
+    scored = anomaly.add_residual(rows).withColumn("__whole", complete)
     row = F.struct(*[F.col(c) for c in features.columns])
-    late = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    first = F.min_by(row, "timestamp")
     if at is not None:
-        chosen = F.min_by(row, F.when(F.col("timestamp") == F.lit(str(at)).cast("timestamp_ntz"), F.col("timestamp")))
-        pick = F.coalesce(chosen, first)
+        chosen = F.col("timestamp") == F.lit(str(at)).cast("timestamp_ntz")
     else:
-        flagged = F.min_by(row, F.when(F.col("is_anomaly") == 1, F.col("timestamp")))
-        pick = F.coalesce(flagged, F.max_by(row, F.struct(F.col(READING), -late)))
-    return scored.groupBy("building_id").agg(pick.alias("r")).select("r.*")
+        chosen = F.col("is_anomaly") == 1
+    late = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    picks = scored.groupBy("building_id").agg(
+        F.min_by(F.struct("__whole", row.alias("r")), F.when(chosen, F.col("timestamp"))).alias("hit"),
+        F.min_by(row, F.when(F.col("__whole"), F.col("timestamp"))).alias("first"),
+        F.max_by(row, F.when(F.col("__whole"), F.struct(F.col(READING), -late))).alias("peak"))
+    other = F.when(F.lit(at is not None) | F.col("hit").isNotNull(), F.col("first")).otherwise(F.col("peak"))
+    pick = F.when(F.col("hit")["__whole"], F.col("hit")["r"]).otherwise(other)
+    return picks.select(pick.alias("r")).where("r IS NOT NULL").select("r.*")

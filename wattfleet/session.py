@@ -48,9 +48,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the leaf relations the plan reads, from Catalyst's statistics; no job is run.
+    """Bytes of the tables the plan reads, from their statistics; no job and no optimizer run.
 
     Leaves without statistics count as very large, so callers fall to the path that scales.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
