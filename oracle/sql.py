@@ -330,7 +330,7 @@ def _pairs() -> str:
     return with_(*FEATURED, f"wide AS (SELECT {wide} FROM features WHERE {whole})") + rows
 
 
-_POINTS = """points AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity + 40 AS a, 50.0 + l_suppkey % 40 AS e,
+_POINTS = """points AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity + 40 AS a, CAST(50 + l_suppkey % 40 AS DOUBLE) AS e,
     40 + l_discount * 500 AS rolling_mean_6hr_kwh, 40 + l_tax * 1000 AS rolling_mean_24hr_kwh,
     CAST(l_linenumber AS BIGINT) AS streak_hours FROM lineitem)"""
 _CHECK_STATES = """candidates AS (SELECT CASE WHEN c_acctbal < 0 THEN -c_custkey - 1 ELSE c_custkey END AS building_id,

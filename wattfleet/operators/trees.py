@@ -66,12 +66,12 @@ def collect_forest(nodes: DataFrame) -> Forest:
 
 def boosted_nodes(spark, path: str) -> DataFrame:
     """The node table of a saved boosted-tree model."""
-    weights = spark.read.parquet(f"{path}/treesMetadata").select(
-        F.col("treeID").alias("tree_id"), F.col("weights").alias("weight"))
+    # Spark 4 stores (tree, metadata, weight) without names
+    weights = spark.read.parquet(f"{path}/treesMetadata").toDF("tree_id", "about", "weight").drop("about")
     n = F.col("nodeData")
     return spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree_id"), n["id"].alias("node_id"), n["leftChild"].alias("left"),
-        n["rightChild"].alias("right"), n["split.featureIndex"].alias("feature"),
-        F.coalesce(n["split.leftCategoriesOrThreshold"][0], F.lit(0.0)).alias("threshold"),
+        n["rightChild"].alias("right"), n["split"]["featureIndex"].alias("feature"),
+        F.coalesce(F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)), F.lit(0.0)).alias("threshold"),
         n["prediction"].alias("value"), n["rawCount"].cast("double").alias("cover"), n["gain"].alias("gain"),
     ).join(F.broadcast(weights), "tree_id")     # one row per tree
