@@ -75,7 +75,7 @@ def _stored(app: str, sf: str, build: Query) -> DataFrame:
     path = scratch_path(spark, build.__name__)
     table = build(spark, sf)
     tables.write_feature_table(table, path)
-    return spark.read.schema(table.schema).parquet(path)
+    return tables.read_feature_table(spark, path, table.schema)
 
 
 def stored(spark, sf, build: Query) -> DataFrame:

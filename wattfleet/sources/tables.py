@@ -139,6 +139,11 @@ def write_feature_table(df: DataFrame, path: str, mode: str = "errorifexists") -
        .write.mode(mode).option("compression", "zstd").partitionBy("meter").parquet(path))
 
 
+def read_feature_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored feature table in its own column order (the folder column would come last)."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
