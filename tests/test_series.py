@@ -53,6 +53,18 @@ def test_segments_of_any_length_agree(series, segment_rows):
     np.testing.assert_allclose(plain[["m", "l"]].astype(float), cut[["m", "l"]].astype(float), atol=1e-9)
 
 
+def test_only_large_inputs_with_a_long_series_are_split(series, monkeypatch):
+    from wattfleet.functions import series as m
+
+    _, df = series
+    keys = ["building_id", "meter"]
+    assert not m.should_split(df, keys, None)
+    monkeypatch.setattr(m, "SPLIT_BYTES", -1)
+    assert not m.should_split(df, keys, None)
+    monkeypatch.setattr(m, "LONG_SERIES", 500)
+    assert m.should_split(df, keys, None) and not m.should_split(df, keys, False)
+
+
 def test_segment_shorter_than_reach_is_refused(series):
     with pytest.raises(ValueError):
         trailing(series[1], lambda w: {}, split=True, segment_rows=100)

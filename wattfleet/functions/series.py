@@ -1,8 +1,10 @@
 """Row-ordered functions over meter series.
 
-Small inputs use one plain window per series: one exchange, one sort. Inputs above
-``SPLIT_BYTES`` are cut into segments of equal row count, so that no task ever holds a
-whole series, however long the longest one is. Both ways give the same rows.
+One plain window per series is the cheapest plan: one exchange, one sort. It holds as long as
+every series fits a task. Inputs above ``SPLIT_BYTES`` are therefore measured first (a count
+over the key columns), and when the longest series exceeds ``LONG_SERIES`` rows all series
+are cut into segments of equal row count, each with a copy of the rows its frames look back
+to. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -15,14 +17,20 @@ from wattfleet.schema import SERIES_KEYS
 from wattfleet.session import input_bytes
 
 SPLIT_BYTES = 8 << 30
+LONG_SERIES = 2_000_000     # over two centuries of hours
 SEGMENT_ROWS = 1 << 14
 
 _BLOCK, _POS, _SEG, _OWN = "__block", "__pos", "__seg", "__own"
 
 
-def should_split(df: DataFrame, split: bool | None) -> bool:
-    """An explicit choice wins; otherwise split when the input is large."""
-    return input_bytes(df) > SPLIT_BYTES if split is None else split
+def should_split(df: DataFrame, keys: Sequence[str], split: bool | None) -> bool:
+    """An explicit choice wins; otherwise split a large input that has a very long series."""
+    if split is not None:
+        return split
+    if input_bytes(df) <= SPLIT_BYTES:
+        return False
+    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (longest or 0) > LONG_SERIES
 
 
 def _order(order: Sequence[str], descending: bool = False) -> list[Column]:
@@ -34,10 +42,10 @@ def _positions(
 ) -> DataFrame:
     """Zero-based position of each row in its series and the segment it falls in.
 
-    Rows are ranked inside (series, calendar month); the month sizes, pre-aggregated on the
-    map side, supply the offset. The longest sort is one month of one series.
+    Rows are ranked inside (series, day); the day sizes, pre-aggregated on the map side, supply
+    the offset. The longest sort is one day of one series.
     """
-    blocked = df.withColumn(_BLOCK, F.date_trunc("month", F.col(order[0])))
+    blocked = df.withColumn(_BLOCK, F.date_trunc("day", F.col(order[0])))
     in_block = Window.partitionBy(*keys, _BLOCK).orderBy(*_order(order, descending))
     earlier = Window.partitionBy(*keys).orderBy(*_order([_BLOCK], descending)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -64,7 +72,7 @@ def trailing(
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Add window columns whose frames look back at most ``reach`` rows and never ahead."""
-    if not should_split(df, split):
+    if not should_split(df, keys, split):
         return df.withColumns(make(Window.partitionBy(*keys).orderBy(*_order(order))))
     if reach > segment_rows:
         raise ValueError("a segment must be at least as long as the frames reach")
@@ -95,7 +103,7 @@ def running_last(
     ``values`` maps the column of row positions to the expressions to carry. With
     ``position`` the zero-based position is kept under that name.
     """
-    if not should_split(df, split):
+    if not should_split(df, keys, split):
         w = Window.partitionBy(*keys).orderBy(*_order(order, descending))
         so_far = w.rowsBetween(Window.unboundedPreceding, 0)
         placed = df.withColumn(_POS, (F.row_number().over(w) - 1).cast("long"))

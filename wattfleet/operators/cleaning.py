@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from wattfleet.functions.quantiles import exact_quantile, medians_row
 from wattfleet.functions.scalars import log_reading
 from wattfleet.functions.series import running_last
-from wattfleet.schema import FILLED_WEATHER, READING, SERIES_KEYS, TARGET_LOG
+from wattfleet.schema import FILLED_WEATHER, METER_NAMES, READING, SERIES_KEYS, TARGET_LOG
 
 
 def fill_weather(weather: DataFrame, split: bool | None = None) -> DataFrame:
@@ -41,8 +41,12 @@ def filter_outliers(df: DataFrame, reading_col: str = READING, quantile_cutoff:
     positive = df.where(F.col(reading_col) > 0)
     if "meter" not in df.columns:
         return positive.where(F.col(reading_col) <= limits.scalar())
-    # one row per meter code, a domain of four
-    return (positive.join(F.broadcast(limits), "meter")
+    # Four meter codes at most are broadcast. Codes outside the contract, if there are any, take a
+    # plain join; on a table stored by meter that branch reads no file.
+    known = F.col("meter").isin(list(METER_NAMES))
+    listed = positive.where(known).join(F.broadcast(limits.where(known)), "meter")
+    unlisted = positive.where(~known).join(limits.where(~known), "meter")
+    return (listed.unionByName(unlisted)
             .where(F.col(reading_col) <= F.col("limit")).select(*df.columns))
 
 

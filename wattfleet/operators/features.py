@@ -105,12 +105,23 @@ def band_baseline(df: DataFrame, reading: str = READING, split: bool | None = No
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns over the complete rows, in one pass."""
-    rows = df.dropna(subset=list(columns))
+    """Pearson correlation of every pair of columns over the complete rows.
+
+    Two passes, means first: the second then only sums products of deviations, which stays in
+    generated code where one ``corr`` per pair does not.
+    """
+    rows = df.dropna(subset=list(columns)).select(*[F.col(c).cast("double").alias(c) for c in columns])
+    means = rows.agg(*[F.avg(c).alias(c) for c in columns]).select(F.struct(*columns)).scalar()
+    centred = rows.withColumn("__m", means).select(*[(F.col(c) - F.col("__m")[c]).alias(c) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = rows.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    cell = lambda a, b, key: F.struct(
-        F.lit(a).alias("row_feature"), F.lit(b).alias("col_feature"), F.col(f"`{key}`").alias("corr"))
-    cells = [cell(a, b, f"{a}|{b}") for a, b in pairs] + [
-        cell(b, a, f"{a}|{b}") for a, b in pairs if a != b]
-    return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    sums = centred.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
+    product = lambda a, b: F.col(f"`{a}|{b}`")
+
+    def cell(a: str, b: str, of: Column) -> Column:
+        size = F.sqrt(product(a, a) * product(b, b)) if a != b else product(a, a)
+        return F.struct(F.lit(a).alias("row_feature"), F.lit(b).alias("col_feature"),
+                        F.try_divide(of, size).alias("corr"))
+
+    cells = [cell(a, b, product(a, b)) for a, b in pairs] + [
+        cell(b, a, product(a, b)) for a, b in pairs if a != b]
+    return sums.select(F.explode(F.array(*cells)).alias("c")).select("c.*")

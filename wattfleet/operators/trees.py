@@ -74,4 +74,4 @@ def boosted_nodes(spark, path: str) -> DataFrame:
         n["rightChild"].alias("right"), n["split"]["featureIndex"].alias("feature"),
         F.coalesce(F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)), F.lit(0.0)).alias("threshold"),
         n["prediction"].alias("value"), n["rawCount"].cast("double").alias("cover"), n["gain"].alias("gain"),
-    ).join(F.broadcast(weights), "tree_id")     # one row per tree
+    ).join(weights, "tree_id")
