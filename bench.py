@@ -48,6 +48,7 @@ def main() -> None:
     prepare = {
         "prepare_features": lambda: catalog.featured(spark, sf_dir),
         "prepare_dense_features": lambda: catalog.dense_table(spark, sf_dir),
+        "prepare_forecast": lambda: catalog.forecast_rows(spark, sf_dir),
         "prepare_model_table": lambda: catalog.model_table_once(spark, sf_dir),
         "prepare_gbt": lambda: catalog.fitted(spark, sf_dir),
         "prepare_isolation_forest": lambda: catalog.isolation(spark, sf_dir),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wattfleet.functions.scalars import non_negative, number
 from wattfleet.schema import SERIES_KEYS
@@ -39,12 +39,11 @@ def impact_rejects(forecast: DataFrame) -> DataFrame:
     return forecast.where(F.col("predicted_kwh").isNull() | F.isnan("predicted_kwh"))
 
 
-def impact_summary(hourly: DataFrame, tariff: float = TARIFF, carbon: float = CARBON, keys=SERIES_KEYS) -> DataFrame:
-    """Totals, means and first peak hours per series, from ``hourly_impact`` rows."""
-    t, c = rates(tariff, carbon)
+def impact_figures() -> list[Column]:
+    """Aggregates of ``hourly_impact`` rows: totals, means and the first peak hours."""
     early = -F.unix_micros(F.col("timestamp").cast("timestamp"))
     peak = lambda v: F.max_by("timestamp", F.struct(F.col(v), early))
-    return hourly.groupBy(*keys).agg(
+    return [
         F.sum("predicted_kwh").alias("total_kwh"),
         F.sum("hourly_cost").alias("total_cost"),
         F.sum("hourly_carbon_kg").alias("total_carbon_kg"),
@@ -52,4 +51,11 @@ def impact_summary(hourly: DataFrame, tariff: float = TARIFF, carbon: float = CA
         F.avg("hourly_carbon_kg").alias("average_hourly_carbon_kg"),
         peak("hourly_cost").alias("peak_cost_hour"),
         peak("hourly_carbon_kg").alias("peak_carbon_hour"),
-    ).withColumns({"tariff_per_kwh": F.lit(t), "carbon_intensity_kg_per_kwh": F.lit(c)})
+    ]
+
+
+def impact_summary(hourly: DataFrame, tariff: float = TARIFF, carbon: float = CARBON, keys=SERIES_KEYS) -> DataFrame:
+    """Totals, means and first peak hours per series, with the rates used."""
+    t, c = rates(tariff, carbon)
+    return hourly.groupBy(*keys).agg(*impact_figures()).withColumns(
+        {"tariff_per_kwh": F.lit(t), "carbon_intensity_kg_per_kwh": F.lit(c)})

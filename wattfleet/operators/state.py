@@ -34,15 +34,20 @@ def row_at(scored: DataFrame, references: DataFrame) -> DataFrame:
     )
 
 
-def forecast_part(forecast: DataFrame) -> DataFrame:
-    """Horizon, total, first peak and weather source per series."""
+def forecast_figures() -> list[Column]:
     early = -F.unix_micros(F.col("timestamp").cast("timestamp"))
-    return forecast.groupBy(*SERIES_KEYS).agg(
+    return [
         F.count(F.lit(1)).alias("forecast_horizon_hours"),
         F.sum("predicted_kwh").alias("forecast_total_kwh"),
         F.max("predicted_kwh").alias("forecast_peak_kwh"),
         F.max_by("timestamp", F.struct(F.col("predicted_kwh"), early)).alias("forecast_peak_hour"),
-        F.min_by("weather_source", "timestamp").alias("weather_source"))
+        F.min_by("weather_source", "timestamp").alias("weather_source"),
+    ]
+
+
+def forecast_part(forecast: DataFrame) -> DataFrame:
+    """Horizon, total, first peak and weather source per series."""
+    return forecast.groupBy(*SERIES_KEYS).agg(*forecast_figures())
 
 
 def build_state(
@@ -67,10 +72,15 @@ def build_state(
 
     attach(current, {c: f"cur_{c}" for c in _CURRENT})
     attach(anomaly_rows, {c: f"row_{c}" for c in [*_CURRENT, *_ANOMALY]})
-    attach(forecast, {c: c for c in ("forecast_horizon_hours", "forecast_total_kwh", "forecast_peak_kwh",
-                                     "forecast_peak_hour", "weather_source")})
-    attach(impact, {"total_kwh": "imp_kwh", "total_cost": "forecast_total_cost",
-                    "total_carbon_kg": "forecast_total_carbon_kg", "peak_cost_hour": "imp_hour"})
+    ahead = {c: c for c in ("forecast_horizon_hours", "forecast_total_kwh", "forecast_peak_kwh",
+                            "forecast_peak_hour", "weather_source")}
+    money = {"total_kwh": "imp_kwh", "total_cost": "forecast_total_cost",
+             "total_carbon_kg": "forecast_total_carbon_kg", "peak_cost_hour": "imp_hour"}
+    if forecast is impact:          # one table holds both parts
+        attach(forecast, {**ahead, **money})
+    else:
+        attach(forecast, ahead)
+        attach(impact, money)
     either = lambda c: F.coalesce(F.col(f"cur_{c}").cast("double"), F.col(f"row_{c}").cast("double"))
     actual, expected = either("actual_kwh"), either("expected_kwh")
     typed = {

@@ -94,10 +94,14 @@ def model_table_once(spark, sf) -> DataFrame:
     return stored(spark, sf, model_rows)
 
 
-def forecast_rows(spark, sf) -> DataFrame:
+def build_forecast(spark, sf) -> DataFrame:
     return forecast.forecast_24h(dense_table(spark, sf))[0]
 
 
+def forecast_rows(spark, sf) -> DataFrame:
+    return stored(spark, sf, build_forecast)
+
+
 @lru_cache(maxsize=8)
 def _fitted(app: str, sf: str) -> model.TreeModel:
     spark = SparkSession.active()
@@ -328,7 +332,7 @@ def forecast_eligibility(spark, sf):
 
 @query
 def forecast_24h(spark, sf):
-    return rounded(forecast_rows(spark, sf))
+    return rounded(build_forecast(spark, sf))
 
 
 @query
@@ -540,7 +544,7 @@ def scenario_summary(spark, sf):
 
 
 def _states(spark, sf) -> DataFrame:
-    return reports.fleet_state(dense_table(spark, sf))
+    return reports.fleet_state(dense_table(spark, sf), forecast_rows=forecast_rows(spark, sf))
 
 
 @query
@@ -575,9 +579,9 @@ def twin_state_checks(spark, sf):
 
 @query
 def recommendations(spark, sf):
-    table = dense_table(spark, sf)
-    states = reports.fleet_state(table)
-    sweep, _ = scenario.sweep(forecast.forecast_24h(table)[0], [("FIXED_KWH_ADDITION", -60.0)])
+    rows = forecast_rows(spark, sf)
+    sweep, _ = scenario.sweep(rows, [("FIXED_KWH_ADDITION", -60.0)])
+    states = reports.fleet_state(dense_table(spark, sf), forecast_rows=rows)
     out = advice.recommendations(states, scenario.scenario_summary(sweep), cost_threshold=13000.0)
     return rounded(out.select(*SERIES_KEYS, "rank", "priority", "category", "priority_rank", "number", "recommendation_id"))
 

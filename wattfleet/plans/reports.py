@@ -95,19 +95,22 @@ def scenario_report(rows: DataFrame, scenarios: Sequence[tuple[str, float]], tar
 
 
 def fleet_state(
-    features: DataFrame, references: DataFrame | None = None, history: DataFrame | None = None,
+    features: DataFrame, references: DataFrame | None = None, forecast_rows: DataFrame | None = None,
     forest_score: Callable[[DataFrame], DataFrame] | None = None, scorer=forecast.BLEND,
+    tariff: float = TARIFF, carbon: float = CARBON,
 ) -> DataFrame:
     """State of every series at its reference: the 24 hours up to it as anomaly window, and as
     forecast horizon. Parts that cannot be computed stay NULL.
 
-    ``history`` is the table forecasts read; the features themselves by default.
+    ``forecast_rows`` is a stored forecast of the same references; without it one is computed.
+    Forecast and impact figures come from one aggregation of it.
     """
     references = references_at_latest(features) if references is None else references
-    rows, _ = forecast_report(features if history is None else history, references, scorer=scorer)
+    rows = forecast_report(features, references, scorer=scorer)[0] if forecast_rows is None else forecast_rows
+    ahead = impact.hourly_impact(rows, tariff, carbon).groupBy(*SERIES_KEYS).agg(
+        *state.forecast_figures(), *impact.impact_figures())
     scored = anomaly.detect(lookback_window(features, references, 24), forest_score=forest_score).drop("reference")
-    return state.build_state(
-        references, state.row_at(scored, references), state.forecast_part(rows), impact_report(rows))
+    return state.build_state(references, state.row_at(scored, references), ahead, ahead)
 
 
 def recommendation_report(states: DataFrame, scenarios: DataFrame | None = None, **thresholds) -> DataFrame:
