@@ -150,16 +150,16 @@ def result_schema() -> T.StructType:
 
 # ---- linear scorer: column expressions only ----------------------------------
 
-def _tail(buf: Column, n: int) -> Column:
-    return F.slice(buf, -n, n)
-
-
 def _mean(values: Column, n: int) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / float(n)
 
 
 def roll_linear(ready: DataFrame, weights: Mapping[str, float] = BLEND, closing_hour_open: bool = True) -> DataFrame:
-    """24 recursive steps of a linear scorer over each row, in one narrow stage."""
+    """24 recursive steps of a linear scorer over each row, in one narrow stage.
+
+    Within 24 steps the daily and weekly lags still point into the history, so the state that
+    moves is only the last 24 values and the sum of the last 168.
+    """
     unknown = set(weights) - set(MODEL_FEATURES) - {"intercept"}
     if unknown:
         raise ValueError(f"weights name unknown features {sorted(unknown)}")
@@ -167,28 +167,27 @@ def roll_linear(ready: DataFrame, weights: Mapping[str, float] = BLEND, closing_
     types = {f.name: f.dataType for f in schema}
     let = lambda value, body: F.transform(F.array(value), body)[0]
 
-    def features(buf: Column, h: Column) -> Column:
+    def features(state: Column, h: Column) -> Column:
         ts = F.col("cutoff") + hours(h)
         temp = F.element_at("temps", h)
-        day = _tail(buf, 24)
+        day = state["day"]
 
         def with_stats(s: Column) -> Column:
             spread = F.aggregate(day, F.lit(0.0), lambda a, x: a + (x - s["m24"]) * (x - s["m24"]))
             cal = scalars.calendar(ts, closing_hour_open)
             cols = {
                 **cal,
-                "lag_1hr": F.element_at(buf, -1), "lag_24hr": F.element_at(buf, -24),
-                "lag_168hr": F.element_at(buf, -168),
+                "lag_1hr": F.element_at(day, -1), "lag_24hr": F.element_at(day, 1),
+                "lag_168hr": F.element_at("buf", h),
                 "rolling_mean_6hr": s["m6"], "rolling_mean_24hr": s["m24"],
-                "rolling_std_24hr": F.sqrt(spread / 23.0), "rolling_mean_168hr": s["m168"],
+                "rolling_std_24hr": F.sqrt(spread / 23.0), "rolling_mean_168hr": state["week"] / float(HISTORY_HOURS),
                 "temp_x_hour": temp * cal["hour"], "temp_x_weekend": temp * cal["is_weekend"],
                 "occupancy_proxy": cal["is_business_hours"] * s["m6"],
                 "air_temperature": temp, "square_feet": F.coalesce("area", F.lit(10000.0)),
             }
             return F.struct(ts.alias("timestamp"), *[cols[c].cast(types[c]).alias(c) for c in MODEL_FEATURES])
 
-        stats = F.struct(_mean(_tail(buf, 6), 6).alias("m6"), _mean(day, 24).alias("m24"),
-                         _mean(buf, HISTORY_HOURS).alias("m168"))
+        stats = F.struct(_mean(F.slice(day, -6, 6), 6).alias("m6"), _mean(day, 24).alias("m24"))
         return let(stats, with_stats)
 
     def predict(f: Column) -> Column:
@@ -200,14 +199,15 @@ def roll_linear(ready: DataFrame, weights: Mapping[str, float] = BLEND, closing_
 
     def step(state: Column, h: Column) -> Column:
         scored = lambda f: F.struct(h.cast("long").alias("step"), predict(f).alias("predicted_log"), f.alias("f"))
-        row = let(features(state["buf"], h), scored)
-        return let(row, lambda r: F.struct(
-            F.concat(_tail(state["buf"], HISTORY_HOURS - 1), F.array(r["predicted_log"])).alias("buf"),
+        return let(let(features(state, h), scored), lambda r: F.struct(
+            F.concat(F.slice(state["day"], 2, 23), F.array(r["predicted_log"])).alias("day"),
+            (state["week"] + r["predicted_log"] - F.element_at("buf", h)).alias("week"),
             F.concat(state["rows"], F.array(r)).alias("rows")))
 
     feature_ddl = ",".join(["timestamp:timestamp_ntz"] + [f"{c}:{types[c].simpleString()}" for c in MODEL_FEATURES])
     empty = F.array().cast(f"array<struct<step:bigint,predicted_log:double,f:struct<{feature_ddl}>>>")
-    start = F.struct(F.col("buf"), empty.alias("rows"))
+    week = F.aggregate("buf", F.lit(0.0), lambda a, x: a + x)
+    start = F.struct(F.slice("buf", -24, 24).alias("day"), week.alias("week"), empty.alias("rows"))
     rows = F.aggregate(F.sequence(F.lit(1), F.lit(HORIZON)), start, step, lambda s: s["rows"])
     return _flatten(ready.select(*SERIES_KEYS, "weather_source", F.explode(rows).alias("r")).select(
         *SERIES_KEYS, "weather_source", "r.step", "r.predicted_log", "r.f.*"))
