@@ -46,6 +46,15 @@ def test_gates(spark):
     assert ok == {1: True, 2: False, 3: False, 4: True, 5: False, 6: False}
 
 
+def test_half_hours(spark):
+    half = history(spark, start="2024-01-01 00:30")
+    rows, _ = fc.forecast_24h(half)
+    assert rows.count() == 24 and {r[0].minute for r in rows.select("timestamp").collect()} == {30}
+    mixed = half.unionByName(history(spark))
+    rows, rejects = fc.forecast_24h(mixed)
+    assert rows.count() == 0 and reasons(rejects) == {1: "readings are not hourly"}
+
+
 def test_horizon_and_recursion(spark):
     table = history(spark)
     cut = fc.cutoffs_at(table, "2024-01-09 12:00:00")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from wattfleet.functions import scalars
 from wattfleet.functions.scalars import hours
 from wattfleet.schema import MODEL_FEATURES, READING, SERIES_KEYS, TARGET_LOG, column_type, require_columns
+from wattfleet.session import materialize
 
 HISTORY_HOURS = 168
 HORIZON = 24
@@ -48,23 +49,22 @@ def _log_target(df: DataFrame) -> Column:
 def history_buffers(history: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Per series with a cutoff: the 168 hours up to it, and why they do not serve (``reason``).
 
-    Rows are first reduced per hour, so a series with repeated rows cannot grow the buffer.
-    Rows before the earliest cutoff window are pruned before the shuffle.
+    Rows are first reduced per hour, before they meet the cutoffs, so a series with repeated rows
+    grows neither the join nor the buffer. Rows before the earliest window are pruned at the scan.
     """
     earliest = cutoffs.agg((F.min("cutoff") - hours(HISTORY_HOURS - 1)).alias("t")).scalar()
     area = F.col("square_feet").cast("double") if "square_feet" in history.columns else F.lit(None).cast("double")
     rows = (
         history.where(F.col("timestamp") >= earliest)
         .select(*SERIES_KEYS, "timestamp", _log_target(history).alias("y"), area.alias("area"))
+        .groupBy(*SERIES_KEYS, "timestamp")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y"), F.max("area").alias("area"))
         .join(cutoffs, SERIES_KEYS)
         .where((F.col("timestamp") <= F.col("cutoff"))
                & (F.col("timestamp") > F.col("cutoff") - hours(HISTORY_HOURS)))
-        .groupBy(*SERIES_KEYS, "cutoff", "timestamp")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y"), F.max("area").alias("area"))
     )
-    on_hour = F.date_trunc("hour", F.col("timestamp").cast("timestamp")) == F.col("timestamp").cast("timestamp")
-    cut_on_hour = F.date_trunc("hour", F.col("cutoff").cast("timestamp")) == F.col("cutoff").cast("timestamp")
-    aligned = on_hour == cut_on_hour
+    apart = F.unix_micros(F.col("cutoff").cast("timestamp")) - F.unix_micros(F.col("timestamp").cast("timestamp"))
+    aligned = apart % 3_600_000_000 == 0
     per_series = rows.groupBy(*SERIES_KEYS, "cutoff").agg(
         F.sum("n").alias("rows"), F.count_if(aligned).alias("hours"), F.count("y").alias("values"),
         # at most 168 aligned hours survive the filter above
@@ -96,10 +96,11 @@ def observed_weather(df: DataFrame, cutoffs: DataFrame) -> DataFrame:
     ahead = (F.unix_micros(F.col("timestamp").cast("timestamp"))
              - F.unix_micros(F.col("cutoff").cast("timestamp"))) / 3600e6
     return (
-        df.where(F.col("timestamp") > first).select(*SERIES_KEYS, "timestamp", "air_temperature")
+        df.where(F.col("timestamp") > first)
+        .groupBy(*SERIES_KEYS, "timestamp").agg(F.min("air_temperature").alias("air_temperature"))
         .join(cutoffs, SERIES_KEYS)
-        .withColumn("step", ahead).where((F.col("step") > 0) & (F.col("step") <= HORIZON))
-        .groupBy(*SERIES_KEYS, "step").agg(F.min("air_temperature").alias("air_temperature"))
+        .select(*SERIES_KEYS, ahead.alias("step"), "air_temperature")
+        .where((F.col("step") > 0) & (F.col("step") <= HORIZON))
     )
 
 
@@ -119,9 +120,13 @@ def forecast_inputs(
     history: DataFrame, cutoffs: DataFrame, weather: DataFrame, source: str, buildings: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(ready, rejects): series rows with buffer and temperatures, and the series that lack them."""
-    temps = weather.where((F.col("step") >= 1) & (F.col("step") <= HORIZON)).groupBy(*SERIES_KEYS).agg(
-        F.countDistinct("step").alias("steps"), F.count("air_temperature").alias("known"),
-        F.array_sort(F.collect_list(F.struct(F.col("step").cast("double").alias("step"), "air_temperature"))).alias("w"))
+    step = F.col("step").cast("double")
+    hourly = (
+        weather.where((step >= 1) & (step <= HORIZON) & (step == F.floor(step)))
+        .groupBy(*SERIES_KEYS, step.alias("step")).agg(F.min("air_temperature").alias("air_temperature")))
+    temps = hourly.groupBy(*SERIES_KEYS).agg(       # at most 24 rows each
+        F.count(F.lit(1)).alias("steps"), F.count("air_temperature").alias("known"),
+        F.array_sort(F.collect_list(F.struct("step", "air_temperature"))).alias("w"))
     rows = history_buffers(history, cutoffs).join(temps, SERIES_KEYS, "left")
     if buildings is not None:
         rows = rows.join(buildings.select("building_id", F.col("square_feet").cast("double").alias("__area")),
@@ -276,9 +281,10 @@ def forecast_24h(
 
     Without cutoffs each series is forecast over its own last 24 hours. Without weather the
     temperatures observed in ``history`` after the cutoff are used. Readings after the cutoff
-    are never read.
+    are never read. The cutoffs, one short row per series, are written once: four parts of the
+    plan use them, and each would scan the table's keys again.
     """
-    cutoffs = default_cutoffs(history) if cutoffs is None else cutoffs
+    cutoffs = materialize(default_cutoffs(history) if cutoffs is None else cutoffs, "cutoffs")
     source = "dataset_observed" if weather is None else "provided"
     weather = observed_weather(history, cutoffs) if weather is None else weather
     ready, rejects = forecast_inputs(history, cutoffs, weather, source, buildings)

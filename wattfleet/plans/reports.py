@@ -10,6 +10,7 @@ from wattfleet.functions.scalars import display_time, hours
 from wattfleet.operators import advice, anomaly, forecast, impact, scenario, state, summaries
 from wattfleet.operators.impact import CARBON, TARIFF
 from wattfleet.schema import MODEL_FEATURES, READING, SERIES_KEYS, TARGET_LOG
+from wattfleet.session import materialize
 from wattfleet.sources.tables import latest_timestamps
 
 MAX_LOOKBACK = 1000     # fixed value: longest look-back a report accepts
@@ -105,7 +106,7 @@ def fleet_state(
     ``forecast_rows`` is a stored forecast of the same references; without it one is computed.
     Forecast and impact figures come from one aggregation of it.
     """
-    references = references_at_latest(features) if references is None else references
+    references = materialize(references_at_latest(features) if references is None else references, "references")
     rows = forecast_report(features, references, scorer=scorer)[0] if forecast_rows is None else forecast_rows
     ahead = impact.hourly_impact(rows, tariff, carbon).groupBy(*SERIES_KEYS).agg(
         *state.forecast_figures(), *impact.impact_figures())
