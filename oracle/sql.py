@@ -8,7 +8,7 @@ from wattfleet.operators.quality import CRITICAL_COLUMNS
 from wattfleet.schema import (
     ALL_COLUMNS, ANOMALY_FEATURES, CORRELATION_COLUMNS, FILLED_WEATHER, MODEL_FEATURES, PRIORITY_RANK, column_type,
 )
-from wattfleet.sources.standin import HOURS
+from wattfleet.sources.standin import HOURS, SCENARIOS
 
 W = "PARTITION BY building_id, meter ORDER BY timestamp"
 
@@ -222,10 +222,6 @@ _IMPACT_SUM = """impact_sum AS (SELECT building_id, meter, sum(predicted_kwh) AS
     avg(hourly_carbon_kg) AS average_hourly_carbon_kg, first(timestamp ORDER BY hourly_cost DESC, step) AS peak_cost_hour,
     first(timestamp ORDER BY hourly_carbon_kg DESC, step) AS peak_carbon_hour FROM impact GROUP BY 1, 2)"""
 
-SCENARIOS = [
-    ("ENERGY_MULTIPLIER", 1.1), ("ENERGY_REDUCTION", 0.15), ("FIXED_KWH_ADDITION", -60.0), ("FIXED_KWH_ADDITION", 5.0),
-    ("EFFICIENCY_MULTIPLIER", 0.9), ("OCCUPANCY_CHANGE", 0.2), ("TEMPERATURE_CHANGE", 3.0),
-]
 SWEEP = f"""scenarios(scenario_type, scenario_value) AS (VALUES {", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in SCENARIOS)}),
 crossed AS (SELECT f.*, s.*, predicted_kwh AS baseline_kwh, CASE scenario_type
     WHEN 'ENERGY_REDUCTION' THEN predicted_kwh * (1 - scenario_value)

@@ -90,6 +90,9 @@ def test_metadata_takes_the_first_row(spark):
         "square_feet": F.lit(1), "year_built": F.lit(1.0), "floor_count": F.lit("2")})
     got = {r["building_id"]: (r["site_id"], r["primary_use"]) for r in tables.building_metadata(df).collect()}
     assert got == {1: (7, "b"), 2: (None, "c")}
+    assert tables.building_metadata(df, 2, strict=True).count() == 1
+    with pytest.raises(Exception, match="no rows of building 9"):
+        tables.building_metadata(df, [1, 9], strict=True).collect()
 
 
 @pytest.fixture(scope="module")
@@ -146,6 +149,14 @@ def test_deduplicate(spark, series):
     assert top.where("abs(meter_reading - old - 1) > 1e-9").count() == 0
 
 
+def test_correlations(good_table):
+    cols = ["hour", "meter_reading_log", "rolling_mean_6hr"]
+    want = good_table.select(*cols).toPandas().astype(float).corr()
+    for r in features.correlation_matrix(good_table, cols).collect():
+        assert r["corr"] == pytest.approx(want.loc[r["row_feature"], r["col_feature"]], abs=1e-9)
+    assert features.correlation_matrix(good_table, cols, sample=50).count() == 9
+
+
 def test_calendar(spark):
     rows = [("2024-01-06 17:30:00",), ("2024-01-05 17:00:00",), ("2024-01-05 18:00:00",), ("2024-12-31 08:00:00",)]
     df = tables.parse_timestamps(spark.createDataFrame(rows, "timestamp string"), ["timestamp"])

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wattfleet.operators.forest import hash_sample
+from wattfleet.functions.sampling import hash_sample
 from wattfleet.operators.model import prepare_features, tree_inputs
 from wattfleet.operators.trees import Forest
 from wattfleet.schema import IDENTIFIERS, MODEL_FEATURES

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from wattfleet.functions import scalars
 from wattfleet.functions.quantiles import median_of
+from wattfleet.functions.sampling import hash_sample
 from wattfleet.functions.series import trailing
 from wattfleet.schema import ALL_COLUMNS, READING, SERIES_KEYS, TARGET_LOG
 
@@ -104,13 +105,15 @@ def band_baseline(df: DataFrame, reading: str = READING, split: bool | None = No
     }).withColumn("above_band", F.col(reading) > F.col("upper_band"))
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns over the complete rows.
+def correlation_matrix(df: DataFrame, columns: Sequence[str], sample: int | None = None) -> DataFrame:
+    """Pearson correlation of every pair of columns over the complete rows, or a seeded sample of them.
 
     Two passes, means first: the second then only sums products of deviations, which stays in
     generated code where one ``corr`` per pair does not.
     """
-    rows = df.dropna(subset=list(columns)).select(*[F.col(c).cast("double").alias(c) for c in columns])
+    rows = df.dropna(subset=list(columns))
+    rows = hash_sample(rows, sample) if sample else rows
+    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
     means = rows.agg(*[F.avg(c).alias(c) for c in columns]).select(F.struct(*columns)).scalar()
     centred = rows.withColumn("__m", means).select(*[(F.col(c) - F.col("__m")[c]).alias(c) for c in columns])
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]

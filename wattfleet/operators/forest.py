@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wattfleet.functions.quantiles import exact_quantile
+from wattfleet.functions.sampling import SEED, hash_sample
 from wattfleet.operators.trees import NODE_COLUMNS, Forest, collect_forest
 from wattfleet.schema import ANOMALY_FEATURES, IDENTIFIERS, require_columns
 from wattfleet.session import materialize
@@ -17,7 +18,6 @@ from wattfleet.session import materialize
 TREES = 100
 SAMPLE_ROWS = 256
 CONTAMINATION = 0.05
-SEED = 42
 
 _NODE_SCHEMA = (
     "tree_id int, node_id int, left int, right int, feature int, threshold double, value double, "
@@ -25,20 +25,6 @@ _NODE_SCHEMA = (
 )
 
 
-def hash_sample(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
-    """``n`` rows chosen by a hash of their key; the same rows whatever the partitioning.
-
-    Only rows whose hash falls in a share that holds about twice ``n`` rows are sorted, so
-    the final top-n stays small however large the table is.
-    """
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    share = F.least(F.lit(1.0), (2 * n + 1000) / F.greatest(total, F.lit(1)))
-    h = F.xxhash64(*[F.col(c) for c in IDENTIFIERS], F.lit(seed))
-    keep = F.pmod(h, F.lit(1 << 30)) < share * (1 << 30)
-    return (df.withColumn("__h", F.pmod(h, F.lit(1 << 30))).where(keep)
-            .orderBy("__h", *IDENTIFIERS).limit(int(n)).drop("__h"))
-
-
 def average_path(n: np.ndarray | float) -> np.ndarray:
     """Mean depth of an unsuccessful search in a binary tree of n rows."""
     n = np.asarray(n, dtype=float)

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from oracle.sql import SCENARIOS
 from wattfleet.functions.scalars import hours
 from wattfleet.operators import (
     advice, anomaly, cleaning, explain, features, forecast, forest, impact, model, quality, scenario, state, summaries,
@@ -68,18 +66,28 @@ def dense_features(spark, sf) -> DataFrame:
     return features.feature_table(merged(spark, sf, standin.dense(spark, sf)))
 
 
-# Reports and models read a feature table that was written once, as they would in operation.
-@lru_cache(maxsize=16)
-def _stored(app: str, sf: str, build: Query) -> DataFrame:
-    spark = SparkSession.active()
-    path = scratch_path(spark, build.__name__)
-    table = build(spark, sf)
-    tables.write_feature_table(table, path)
-    return tables.read_feature_table(spark, path, table.schema)
+# Reports and models read tables and models that were made once, as they would in operation.
+_ONCE: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark, sf, name: str, make: Callable[[], object]):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _ONCE:
+        _ONCE[key] = make()
+    return _ONCE[key]
 
 
 def stored(spark, sf, build: Query) -> DataFrame:
-    return _stored(spark.sparkContext.applicationId, sf, build)
+    def write() -> tuple[str, T.StructType]:
+        table, path = build(spark, sf), scratch_path(spark, build.__name__)
+        tables.write_feature_table(table, path)
+        return path, table.schema
+
+    path, schema = once(spark, sf, build.__name__, write)
+    if not tables.path_exists(spark, path):
+        _ONCE.clear()
+        path, schema = once(spark, sf, build.__name__, write)
+    return tables.read_feature_table(spark, path, schema)
 
 
 def featured(spark, sf) -> DataFrame:
@@ -102,24 +110,17 @@ def forecast_rows(spark, sf) -> DataFrame:
     return stored(spark, sf, build_forecast)
 
 
-@lru_cache(maxsize=8)
-def _fitted(app: str, sf: str) -> model.TreeModel:
-    spark = SparkSession.active()
-    train, test = model.temporal_split(model_table_once(spark, sf), SPLIT)
-    return model.with_nodes(spark, model.train_gbt(train, test, max_iter=TEST_TREES, max_depth=5))
-
-
 def fitted(spark, sf) -> model.TreeModel:
-    return _fitted(spark.sparkContext.applicationId, sf)
-
+    def fit() -> model.TreeModel:
+        train, test = model.temporal_split(model_table_once(spark, sf), SPLIT)
+        return model.with_nodes(spark, model.train_gbt(train, test, max_iter=TEST_TREES, max_depth=5))
 
-@lru_cache(maxsize=8)
-def _isolation(app: str, sf: str) -> forest.IsolationForest:
-    return forest.fit(model_table_once(SparkSession.active(), sf), scope=F.col("meter") == 0)
+    return once(spark, sf, "boosted trees", fit)
 
 
 def isolation(spark, sf) -> forest.IsolationForest:
-    return _isolation(spark.sparkContext.applicationId, sf)
+    return once(spark, sf, "isolation forest",
+                lambda: forest.fit(model_table_once(spark, sf), scope=F.col("meter") == 0))
 
 
 # ---- slices and sources ----------------------------------------------------------
@@ -534,12 +535,12 @@ def impact_summary(spark, sf):
 
 @query
 def scenario_sweep(spark, sf):
-    return rounded(scenario.sweep(forecast_rows(spark, sf), SCENARIOS)[0])
+    return rounded(scenario.sweep(forecast_rows(spark, sf), standin.SCENARIOS)[0])
 
 
 @query
 def scenario_summary(spark, sf):
-    return rounded(reports.scenario_report(forecast_rows(spark, sf), SCENARIOS).drop(
+    return rounded(reports.scenario_report(forecast_rows(spark, sf), standin.SCENARIOS).drop(
         "tariff_per_kwh", "carbon_intensity_kg_per_kwh"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattfleet.functions.scalars import display_time, hours
@@ -38,7 +39,7 @@ def anomaly_window(
     """Scored rows of the report window; the limit shapes the default window and never caps rows."""
     if not 1 <= limit <= MAX_LOOKBACK:
         raise ValueError(f"limit must lie in 1..{MAX_LOOKBACK}")
-    if start_time is not None and end_time is not None and str(start_time) > str(end_time):
+    if start_time is not None and end_time is not None and pd.Timestamp(start_time) > pd.Timestamp(end_time):
         raise ValueError("start_time lies after end_time")
     if references is None:
         references = references_at_latest(features) if end_time is None else references_at(features, end_time)

@@ -43,7 +43,7 @@ def _matches(column: str, wanted: int | Iterable[int]) -> Column:
 
 
 def _time(value) -> Column:
-    """A time bound; text and datetimes are cut to nothing, a bare date means its midnight."""
+    """A time bound with its full precision; a bare date means its midnight."""
     if isinstance(value, Column):
         return value
     return F.lit(str(value)).cast("timestamp_ntz")
@@ -94,13 +94,26 @@ def meters(df: DataFrame) -> DataFrame:
     return df.select("meter").distinct()
 
 
-def building_metadata(df: DataFrame, building_id: int | Iterable[int] | None = None) -> DataFrame:
-    """Metadata per building: the values of its first row in time (one pre-aggregated pass)."""
+def building_metadata(
+    df: DataFrame, building_id: int | Iterable[int] | None = None, strict: bool = False,
+) -> DataFrame:
+    """Metadata per building: the values of its first row in time (one pre-aggregated pass).
+
+    ``strict`` stops the job when a requested building has no row.
+    """
     require_columns(df.columns, ["building_id", *BUILDING_ATTRIBUTES, "timestamp"])
     rows = df if building_id is None else df.where(_matches("building_id", building_id))
     tie = [F.col("meter")] if "meter" in df.columns else []
     first = F.min_by(F.struct(*BUILDING_ATTRIBUTES), F.struct(F.col("timestamp"), *tie))
-    return rows.groupBy("building_id").agg(first.alias("m")).select("building_id", "m.*")
+    found = rows.groupBy("building_id").agg(first.alias("m"))
+    if strict and building_id is not None:
+        ids = [building_id] if isinstance(building_id, int) else [int(b) for b in building_id]
+        asked = df.sparkSession.createDataFrame([(b,) for b in ids], "building_id long")
+        absent = F.raise_error(F.concat(F.lit("no rows of building "), F.col("building_id").cast("string")))
+        kind = found.schema["m"].dataType
+        found = asked.join(found, "building_id", "left").withColumn(
+            "m", F.when(F.col("m").isNull(), absent.cast(kind)).otherwise(F.col("m")))
+    return found.select("building_id", "m.*")
 
 
 def latest_timestamps(df: DataFrame) -> DataFrame:
@@ -144,6 +157,11 @@ def read_feature_table(spark: SparkSession, path: str, schema: T.StructType) ->
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
