@@ -5,8 +5,8 @@ first along the output links, and each relaxes the best score of that position:
 over all segmentations, of equal sums the one with the longer last piece. A character
 that no piece covers costs ten below the least score and is spelled in byte pieces.
 
-No piece crosses the start of a run of blanks, a line break, or the place before a mark that no piece has behind
-a letter, so texts are cut there and equal chunks are solved once per task.
+No piece crosses the start of a run of blanks or a line break, so texts are cut there and equal
+chunks are solved once per task.
 
 Decoding returns the text exactly. A U+2581 of the text itself, which the model's own mapping takes for a
 blank, is spelled in bytes here and so survives.
@@ -18,8 +18,7 @@ are processed whole; repeated rows give equal rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-import string
-from itertools import chain, pairwise
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +40,8 @@ class Pieces:
         self.spelled = {i: p.encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         if any(" " in p.lstrip(" ") for p in pieces):
             raise ValueError("a piece has a blank behind other characters; chunks could not be solved apart")
-        # Marks that no piece has behind a letter or digit: a chunk may also end before them.
-        marks = set(string.punctuation)
-        while bad := {b for p in pieces for a, b in pairwise(p) if b in marks and a not in marks and a != " "}:
-            marks -= bad
-        p = re.escape("".join(sorted(marks)))
         breaks = "" if any("\n" in p for p in pieces) else "\n"
-        self.chunks = re.compile(rf" +[{p}]*[^ {p}{breaks}]*|[{p}]+[^ {p}{breaks}]*|[^ {p}{breaks}]+" + (f"|{breaks}" if breaks else "") if marks
-                                 else rf" +[^ {breaks}]*|[^ {breaks}]+" + (f"|{breaks}" if breaks else ""))
+        self.chunks = re.compile(rf" +[^ {breaks}]*|[^ {breaks}]+" + (f"|{breaks}" if breaks else ""))
         self._table: dict[str, bytes] = {}
         self._scan = None
 
