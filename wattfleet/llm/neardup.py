@@ -3,13 +3,15 @@
 A document's set holds its distinct runs of five lower-cased words (all words as one where there are fewer), as 64-bit hashes.
 Two collections of ``GROUPS`` small hashes, ``ROWS`` minhashes each, are computed per set; a table key combines
 one hash of either collection, so 2 x 20 x 4 = 160 minhashes serve 20 x 20 = 400 tables of eight. A pair of
-similarity s meets in some table with probability (1 - (1 - s^4)^20)^2: 0.999 at 0.75, 0.99999 at 0.85.
+similarity s meets in some table with probability (1 - (1 - s^4)^20)^2: 0.999 at 0.75, 0.99999 at 0.85. A candidate pair meets in
+a table and shares ``SHARED`` of all 40 small hashes (of which it shares 12.7 on average at 0.75, fewer than four in 3 of 10,000 cases).
 
 Equal sets are one class before anything is compared. Only small hashes that two classes share are combined,
-which loses no key that two classes share. Pairs are never listed within a bucket: first every member is
-confirmed against the bucket's least member, in a second round against another member where components still meet;
-what then still meets unconnected in a bucket is compared in full, minority against all. So no candidate
-pair across components stays untested, and components are those of all confirmed candidate links.
+which loses no key that two classes share. Pairs are never listed within a bucket: every member is confirmed
+against the first member of ``TRIES`` of its buckets (a common key is likeliest between close copies), and again
+against other members where components still meet; what then still meets unconnected is
+compared in full, minority against all. So no candidate pair across components stays untested,
+and components are those of all confirmed candidate links.
 Components come from alternating star contraction over stored edge tables.
 
 Defined results: documents without words or text, and rows without an id, are linked with nothing and kept;
@@ -32,6 +34,8 @@ from wattfleet.session import materialize
 SHINGLE = 5
 GROUPS = 20
 ROWS = 4
+SHARED = 4
+TRIES = 4
 PERCENT = 75
 SEED = 7
 #: Shingles hashed at once, and words one task remembers.
@@ -160,11 +164,14 @@ def _labelled(rows: DataFrame, stars: DataFrame) -> DataFrame:
             .withColumn("comp", F.coalesce("comp", "id")))
 
 
-def _against(keys: DataFrame, order) -> DataFrame:
-    """Distinct pairs of each bucket's members with its first member by ``order``, across components."""
+def _against(keys: DataFrame, salt: int) -> DataFrame:
+    """Distinct pairs of each member with the first members of ``TRIES`` of its buckets, across components; ``salt`` orders both."""
+    order = F.xxhash64(F.lit(salt), "id") if salt else F.col("id")
     pivot = keys.groupBy("key").agg(F.min_by(F.struct("id", "n", "comp"), order).alias("p"), F.count(F.lit(1)).alias("many")).where("many > 1")
     rows = keys.join(pivot, "key").where((F.col("comp") != F.col("p.comp")) & _similar_size("n", "p.n"))
-    return rows.select(F.greatest("id", "p.id").alias("x"), F.least("id", "p.id").alias("y")).distinct()
+    picks = rows.groupBy("id").agg(*[F.min_by("p.id", F.xxhash64("key", F.lit(salt * TRIES + i))).alias(f"p{i}") for i in range(TRIES)])
+    picks = picks.select("id", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(TRIES)]))).alias("p"))
+    return picks.select(F.greatest("id", "p").alias("x"), F.least("id", "p").alias("y")).distinct()
 
 
 def _unmet(docs: DataFrame) -> DataFrame:
@@ -178,8 +185,9 @@ def _unmet(docs: DataFrame) -> DataFrame:
     all_ = open_.select(*[F.col(c).alias(f"y_{c}") for c in ("id", "n", "comp", "first", "second", "main")], "g")
     once = (F.col("y_comp") == F.col("y_main")) | (F.col("x_id") < F.col("y_id"))
     least = F.array_min(F.array_intersect("x_first", "y_first")) == F.col("g")
+    shared = F.size(F.array_intersect("x_first", "y_first")) + F.size(F.array_intersect("x_second", "y_second"))
     rows = few.join(all_, "g").where((F.col("x_comp") != F.col("y_comp")) & once & _similar_size("x_n", "y_n")
-                                     & F.arrays_overlap("x_second", "y_second") & least)
+                                     & F.arrays_overlap("x_second", "y_second") & (shared >= SHARED) & least)
     return rows.select(F.greatest("x_id", "y_id").alias("x"), F.least("x_id", "y_id").alias("y"))
 
 
@@ -196,22 +204,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = F.col("at") < GROUPS
     members = (place.join(shared, "g").groupBy("id", "n")
                .agg(F.collect_list(F.when(first, F.col("g"))).alias("first"), F.collect_list(F.when(~first, F.col("g"))).alias("second"))
-               .where("size(first) > 0 and size(second) > 0"))
+               .where(f"size(first) > 0 and size(second) > 0 and size(first) + size(second) >= {SHARED}"))
     members = materialize(members, "members")
     keys = (members.select("id", "n", "second", F.explode("first").alias("g1")).select("id", "n", "g1", F.explode("second").alias("g2"))
             .select("id", "n", F.xxhash64("g1", "g2").alias("key")))
     keys = materialize(keys, "keys")
 
-    pairs = materialize(_against(keys.withColumn("comp", F.col("id")), F.col("id")), "pairs")
-    ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    sets = materialize(docs.join(ids, "doc_id").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+    pairs = _against(keys.withColumn("comp", F.col("id")), 0)
+    sets = materialize(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
     # texts that carry one id are one document
     same_id = linked.groupBy("doc_id").agg(F.min("set_key").alias("k"), F.max("set_key").alias("m")).where("k <> m").select("doc_id")
     by_id = linked.join(same_id, "doc_id").join(classes.select("set_key", "id"), "set_key").select("doc_id", "id").where("doc_id <> id")
     edges = _confirmed(pairs, sets).unionByName(by_id.select(F.greatest("doc_id", "id").alias("a"), F.least("doc_id", "id").alias("b")))
     stars = _contracted(edges)
 
-    for more in (lambda: _against(_labelled(keys, stars), F.xxhash64(F.lit(SEED), "id")), lambda: _unmet(_labelled(members, stars))):
+    for more in (lambda: _against(_labelled(keys, stars), 1), lambda: _unmet(_labelled(members, stars))):
         found = materialize(_confirmed(materialize(more(), "pairs"), sets), "links")
         if not found.isEmpty():
             stars = _contracted(stars.unionByName(found))
