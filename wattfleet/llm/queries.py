@@ -88,11 +88,11 @@ win AS (
     unnest(list_transform(range(1, greatest(len(words) - 12, 1) + 1), lambda k: array_to_string(words[k:k + 12], ' '))) AS t
   FROM i WHERE len(words) > 0),
 lens AS (SELECT DISTINCT n FROM win),
-at AS (
+place AS (
   SELECT doc_id, n, unnest(range(1, len(words) - n + 2)) AS k, words FROM d, lens WHERE len(words) >= n),
 hit AS (
-  SELECT at.doc_id, at.k, at.n, win.item_id FROM (SELECT doc_id, n, k, array_to_string(words[k:k + n - 1], ' ') AS t FROM at) at
-  JOIN win ON win.t = at.t AND win.n = at.n),
+  SELECT p.doc_id, p.k, p.n, win.item_id FROM (SELECT doc_id, n, k, array_to_string(words[k:k + n - 1], ' ') AS t FROM place) p
+  JOIN win ON win.t = p.t AND win.n = p.n),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY 1),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
