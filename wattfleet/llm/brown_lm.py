@@ -112,7 +112,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             n[a] -= s
             n[:, a] -= p
             n[a, a] -= self_
-            rows, cols = n.sum(1), n.sum(0)
+            # totals with the unit's neighbours in place, which they are whatever class it enters
+            rows, cols = n.sum(1) + p, n.sum(0) + s
             f = _plogp(n)
             down, across = _plogp(n + s) - f, _plogp(n + p[:, None]) - f
             gain = down.sum(1) - down[d, d] + across.sum(0) - across[d, d]

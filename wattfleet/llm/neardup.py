@@ -35,7 +35,7 @@ SHINGLE = 5
 GROUPS = 20
 ROWS = 4
 SHARED = 4
-TRIES = 4
+TRIES = 12
 PERCENT = 75
 SEED = 7
 #: Shingles hashed at once, and words one task remembers.

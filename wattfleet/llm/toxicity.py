@@ -49,7 +49,7 @@ REPORTS = "said says told wrote claimed quoted reported sagte schrieb meinte dit
 
 CHANNELS = ("plain", "targeted", "negated", "reported", "threat")
 #: Prior weights of the channels and of the constant.
-PRIOR = np.array([4.0, 6.0, 1.0, 1.5, 3.5, -3.0])
+PRIOR = np.array([4.0, 6.0, 1.0, 1.5, 6.0, -3.0])
 
 _CLAUSE = re.compile(r"[.,;:!?|\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
