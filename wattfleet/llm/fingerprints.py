@@ -83,24 +83,26 @@ def fingerprints(docs: DataFrame, fraction: int = FRACTION) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, sketch, edited_sketch, next_sketch`` of every document row.
 
     The edited text has its last third replaced by the start of the next document. Ids that repeat stand
-    for one document in that order, the one with the least text; null ids come after all others.
+    for one document in that order, the one whose start is least; null ids come after all others (and the lowest long counts as null).
     """
     lowest = F.lit(-(1 << 63)).cast("long")
-    full = docs.select("doc_id", F.coalesce("doc_id", lowest).alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
+    # Both joins read these two columns alone, so that the texts are dealt out once.
+    full = docs.select(F.coalesce("doc_id", lowest).alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
     order = with_next(full.select(F.col("__id").alias("doc_id"))).withColumnRenamed("doc_id", "__id")
     # A document sends the part that the one before it needs, and its sketch, instead of its text.
     need = (full.groupBy("__id").agg(F.max(F.expr("char_length(text) div 3")).alias("take"))
             .join(order, "__id").select(F.col("next_id").alias("__at"), F.col("__id").alias("__to"), "take"))
-    source = with_sketch(full.groupBy("__id").agg(F.min("text").alias("text")), "text", "next_sketch", fraction)
+    source = with_sketch(full, "text", "next_sketch", fraction)
     sent = source.join(need, source["__id"] == need["__at"]).select(
         F.col("__to").alias("__id"), F.expr("substring(text, 1, cast(take as int))").alias("piece"), "next_sketch")
+    sent = sent.groupBy("__id").agg(F.min(F.struct("piece", "next_sketch")).alias("s")).select("__id", "s.*")
     rows = full.join(sent, "__id").withColumn("n_chars", F.char_length("text").cast("long"))
     take = F.expr("cast(n_chars div 3 as int)")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - take),
                                               F.substring("piece", F.lit(1), take)))
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     rows = with_sketch(with_sketch(rows, "text", "sketch", fraction), "edited", "edited_sketch", fraction)
-    return rows.select("doc_id", "n_chars", "edited_sha256", "sketch", "edited_sketch", "next_sketch")
+    return rows.select(F.nullif("__id", lowest).alias("doc_id"), "n_chars", "edited_sha256", "sketch", "edited_sketch", "next_sketch")
 
 
 def report(docs: DataFrame) -> DataFrame:
