@@ -144,6 +144,33 @@ def test_near_duplicates_chain(spark):
     assert {r["component_id"] for r in got} == {100}
 
 
+def test_parity_bits_rule_out_no_link(spark):
+    """At most as many bits differ as hashes, so the exhaustive step keeps every pair that its links need."""
+    words, rows = [f"w{i}" for i in range(160)], []
+    for k in range(24):
+        rows.append((k, " ".join(words[:150 - k] + [f"y{k}"] * (k % 3))))
+        words[6 * k] = f"x{k}"
+    shingler = neardup.Shingler()
+    sets = [shingler.set_of(t) for _, t in rows]
+    bits = [{b for b in range(neardup.BITS) if (s % neardup.BITS == b).sum() % 2} for s in sets]
+    stored = [set((v.view("uint8").reshape(-1)[:, None] >> range(7, -1, -1) & 1).ravel().nonzero()[0].tolist()) for v in neardup.parity(sets)]
+    assert stored == bits
+    frame = spark.createDataFrame([(i, len(s), v.tolist()) for i, (s, v) in enumerate(zip(sets, neardup.parity(sets)))], "id int, n long, bits array<long>")
+    x, y = (frame.select(*[F.col(c).alias(f"{p}_{c}") for c in frame.columns]) for p in "xy")
+    kept = {(r[0], r[1]) for r in x.join(y, neardup._may_link("x", "y")).select("x_id", "y_id").collect()}
+    plain = [set(s.tolist()) for s in sets]
+    links = {(i, j) for i, a in enumerate(plain) for j, b in enumerate(plain) if 100 * len(a & b) >= 75 * len(a | b)}
+    assert links <= kept and len(kept) < len(sets) ** 2 and len(links) > len(sets)
+
+
+def test_near_duplicates_under_one_id(spark):
+    """Two texts of one id link what either of them is close to."""
+    left, right = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, left), (5, right), (6, left + " end"), (7, right + " end"), (8, "something else altogether in here")]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 5, 6: 5, 7: 5, 8: 8}
+
+
 def test_counts_equal_the_library(docs):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -9,9 +9,10 @@ a table and shares ``SHARED`` of all 40 small hashes (of which it shares 12.7 on
 Equal sets are one class before anything is compared. Only small hashes that two classes share are combined,
 which loses no key that two classes share. Pairs are never listed within a bucket: every member is confirmed
 against the first member of ``TRIES`` of its buckets (a common key is likeliest between close copies), and again
-against other members where components still meet; what then still meets unconnected is
-compared in full, minority against all. So no candidate pair across components stays untested,
-and components are those of all confirmed candidate links.
+against other members where components still meet. What then still meets unconnected is
+compared in full, minority against all, unless ``BITS`` parity bits rule it out: every hash flips one bit of its
+set, so two sets differ in at least as many hashes as bits, and this test loses no link. So no candidate pair
+across components stays untested, and components are those of all confirmed candidate links.
 Components come from alternating star contraction over stored edge tables.
 
 Defined results: documents without words or text, and rows without an id, are linked with nothing and kept;
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wattfleet.session import materialize
 
@@ -35,6 +36,7 @@ SHINGLE = 5
 GROUPS = 20
 ROWS = 4
 SHARED = 4
+BITS = 1024
 TRIES = 12
 PERCENT = 75
 SEED = 7
@@ -80,6 +82,13 @@ class Shingler:
         return np.unique(_mixed(total))
 
 
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """``BITS`` bits of each set, as longs: whether an odd number of its hashes falls on the bit."""
+    at = np.concatenate([(s & np.uint64(BITS - 1)).astype(np.int64) + i * BITS for i, s in enumerate(sets)])
+    odd = (np.bincount(at, minlength=len(sets) * BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sets), BITS), axis=1).view(np.int64)
+
+
 def small_hashes(sets: list[np.ndarray]) -> np.ndarray:
     """The 2 x ``GROUPS`` small hashes of each non-empty set."""
     flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
@@ -98,11 +107,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush(ids, sets):
         filled = [s for s in sets if len(s)]
-        hashes = iter(small_hashes(filled) if filled else ())
+        hashes = iter(zip(small_hashes(filled), parity(filled), strict=True) if filled else ())
+        made = [next(hashes) if len(s) else (None, None) for s in sets]
         return pa.RecordBatch.from_pydict({
             "doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
             "set_key": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-            "small": pa.array([next(hashes) if len(s) else None for s in sets], pa.list_(pa.int64()))})
+            "small": pa.array([m[0] for m in made], pa.list_(pa.int64())),
+            "bits": pa.array([m[1] for m in made], pa.list_(pa.int64()))})
 
     ids, sets, held = [], [], 0
     for batch in batches:
@@ -174,6 +185,13 @@ def _against(keys: DataFrame, salt: int) -> DataFrame:
     return picks.select(F.greatest("id", "p").alias("x"), F.least("id", "p").alias("y")).distinct()
 
 
+def _may_link(x: str, y: str) -> Column:
+    """Whether the parity bits leave room for a link: sets that differ in d hashes have (n - d) / 2 of their n in common."""
+    flips = [F.bit_count(F.get(f"{x}_bits", F.lit(i)).bitwiseXOR(F.get(f"{y}_bits", F.lit(i)))) for i in range(BITS // 64)]
+    room = (100 + PERCENT) * sum(flips[1:], flips[0]) <= (100 - PERCENT) * (F.col(f"{x}_n") + F.col(f"{y}_n"))
+    return F.coalesce(room, F.lit(True))
+
+
 def _unmet(docs: DataFrame) -> DataFrame:
     """Candidate pairs across components that still share a table: in each bucket of the first collection
     the members outside its largest component against all, each pair in the least bucket that it shares."""
@@ -181,12 +199,12 @@ def _unmet(docs: DataFrame) -> DataFrame:
     sizes = spread.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("g").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     open_ = spread.join(main, "g")
-    few = open_.where(F.col("comp") != F.col("main")).select(*[F.col(c).alias(f"x_{c}") for c in ("id", "n", "comp", "first", "second")], "g")
-    all_ = open_.select(*[F.col(c).alias(f"y_{c}") for c in ("id", "n", "comp", "first", "second", "main")], "g")
+    few = open_.where(F.col("comp") != F.col("main")).select(*[F.col(c).alias(f"x_{c}") for c in ("id", "n", "comp", "first", "second", "bits")], "g")
+    all_ = open_.select(*[F.col(c).alias(f"y_{c}") for c in ("id", "n", "comp", "first", "second", "bits", "main")], "g")
     once = (F.col("y_comp") == F.col("y_main")) | (F.col("x_id") < F.col("y_id"))
     least = F.array_min(F.array_intersect("x_first", "y_first")) == F.col("g")
     shared = F.size(F.array_intersect("x_first", "y_first")) + F.size(F.array_intersect("x_second", "y_second"))
-    rows = few.join(all_, "g").where((F.col("x_comp") != F.col("y_comp")) & once & _similar_size("x_n", "y_n")
+    rows = few.join(all_, "g").where((F.col("x_comp") != F.col("y_comp")) & once & _similar_size("x_n", "y_n") & _may_link("x", "y")
                                      & F.arrays_overlap("x_second", "y_second") & (shared >= SHARED) & least)
     return rows.select(F.greatest("x_id", "y_id").alias("x"), F.least("x_id", "y_id").alias("y"))
 
@@ -194,9 +212,9 @@ def _unmet(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, set_key binary, small array<long>"), "minhash")
+    rows = materialize(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, set_key binary, small array<long>, bits array<long>"), "minhash")
     linked = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = linked.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("small").alias("small"), F.first("n_shingles").alias("n"))
+    classes = linked.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("small").alias("small"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n"))
     classes = materialize(classes, "classes")
 
     place = classes.select("id", "n", F.posexplode("small").alias("at", "g"))
@@ -205,7 +223,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = (place.join(shared, "g").groupBy("id", "n")
                .agg(F.collect_list(F.when(first, F.col("g"))).alias("first"), F.collect_list(F.when(~first, F.col("g"))).alias("second"))
                .where(f"size(first) > 0 and size(second) > 0 and size(first) + size(second) >= {SHARED}"))
-    members = materialize(members, "members")
+    # an id of several texts has no bits of its own
+    bits = classes.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.first("bits")).alias("bits"))
+    members = materialize(members.join(bits, "id"), "members")
     keys = (members.select("id", "n", "second", F.explode("first").alias("g1")).select("id", "n", "g1", F.explode("second").alias("g2"))
             .select("id", "n", F.xxhash64("g1", "g2").alias("key")))
     keys = materialize(keys, "keys")
