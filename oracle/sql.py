@@ -377,6 +377,8 @@ recent AS (SELECT f.*, reference FROM features f JOIN refs USING (building_id, m
   UNION ALL SELECT 'month', CAST(month AS VARCHAR), count(*) FROM features
     WHERE meter = 0 AND lag_1hr IS NOT NULL AND lag_24hr IS NOT NULL AND rolling_mean_6hr IS NOT NULL GROUP BY month""",
         "validate_all": _validate(),
+        "validation_verdict": f"""SELECT bool_and(passed) AS passed, count(*) AS total_checks, count_if(passed) AS passed_checks
+  FROM (SELECT DISTINCT "check", passed FROM ({_validate()}))""",
         "clean_readings": with_(READINGS, CLEAN) + f"SELECT {slice_cols} FROM cleaned",
         "fill_weather": with_(WEATHER) + """SELECT site_id, timestamp, air_temperature, cloud_coverage, dew_temperature,
   precip_depth_1_hr, sea_level_pressure, wind_direction, wind_speed FROM weather""",
@@ -414,6 +416,8 @@ counted AS (SELECT c.source, c.building_id, c.meter, cutoff, count(b.timestamp)
         + """SELECT source, building_id, meter, cutoff, n AS history_rows, n AS history_hours, n = 168 AS eligible,
   CASE WHEN n = 168 THEN '' ELSE 'fewer than 168 readings' END AS reason FROM counted""",
         "forecast_24h": with_(*FORECAST, recursive=True) + f"SELECT {_FC_COLS} FROM forecast",
+        "forecast_rejects": with_(*FORECAST, recursive=True) + """SELECT DISTINCT d.building_id, d.meter, 'fewer than 168 readings' AS reason
+  FROM dense d ANTI JOIN forecast f ON f.building_id = d.building_id AND f.meter = d.meter""",
         "forecast_given_weather": with_(*DENSE_MERGED, forecast(GIVEN, "provided"), recursive=True) + f"SELECT {_FC_COLS} FROM forecast",
         "forecast_summary": with_(*FORECAST, recursive=True) + f"""SELECT building_id, meter, count(*) AS horizon_hours, {r('sum(predicted_kwh)')} AS total_kwh,
   {r('avg(predicted_kwh)')} AS average_kwh, {r('max(predicted_kwh)')} AS peak_kwh, first(timestamp ORDER BY predicted_kwh DESC, step) AS peak_hour,
@@ -432,6 +436,7 @@ counted AS (SELECT c.source, c.building_id, c.meter, cutoff, count(b.timestamp)
         + f"SELECT l_orderkey, l_linenumber, l_partkey, {_RES}, anomaly_type, priority_rank FROM typed",
         "anomaly_report": with_(*week) + f"""SELECT building_id, meter, count(*) AS total_records, CAST(sum(is_anomaly) AS BIGINT) AS anomaly_count, {flat_counts}
   FROM typed GROUP BY 1, 2""",
+        "anomaly_flagged": with_(*week) + f"SELECT {_KEYS}, {_RES}, anomaly_type FROM typed WHERE is_anomaly = 1",
         "anomaly_overlay": with_(*FEATURED, SCORED) + f"""SELECT {_KEYS}, {r('exp(meter_reading_log) - 1')} AS marker_kwh, severity,
   CASE WHEN {COMPLETE} THEN {r('exp(meter_reading_log) - 1')} END AS actual FROM scored WHERE is_anomaly = 1 AND meter = 0 AND {month(2)}""",
         "top_anomalies": with_(*FEATURED, SCORED) + f"""SELECT {_KEYS}, place, more, severity, {r('residual')} AS residual, strftime(timestamp, '%d %b %H:%M') AS shown_time
@@ -456,6 +461,8 @@ best AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY (timesta
         "impact_summary": with_(*FORECAST, IMPACT, _IMPACT_SUM, recursive=True) + f"SELECT {sum_cols} FROM impact_sum",
         "scenario_sweep": with_(*FORECAST, SWEEP, recursive=True) + f"""SELECT {_KEYS}, scenario_type, scenario_value, {", ".join(
             f"{r(c)} AS {c}" for c in ("baseline_kwh", "simulated_kwh", "delta_kwh", "delta_percent"))} FROM sweep""",
+        "scenario_rejects": with_(*FORECAST, SWEEP, recursive=True) + """SELECT building_id, meter, scenario_type, scenario_value,
+  'energy would fall below zero' AS reason FROM crossed GROUP BY 1, 2, 3, 4 HAVING min(simulated_kwh) < 0""",
         "scenario_summary": with_(*FORECAST, SWEEP, recursive=True) + "SELECT building_id, meter, scenario_type, scenario_value, " + ", ".join(
             f"{r(f'{s}_total_kwh')} AS {s}_total_kwh, {r(f'{s}_peak_kwh')} AS {s}_peak_kwh, {s}_peak_hour, "
             f"{r(f'{s}_total_kwh * 8.0')} AS {s}_total_cost, {r(f'{s}_total_kwh * 0.7')} AS {s}_total_carbon_kg"

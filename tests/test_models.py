@@ -41,6 +41,19 @@ def fitted(spark, table):
     return model.with_nodes(spark, model.train_gbt(train, test, max_iter=8, max_depth=4, step_size=0.3))
 
 
+def test_number_of_trees_from_the_hold_out(table):
+    train, test = model.temporal_split(table, "2024-02-25")
+    fit = model.train_gbt(train, test, max_iter=60, max_depth=3, step_size=0.2, patience=8, first_rounds=10)
+    errors = fit.evaluateEachIteration(model._assembled(test.dropna(subset=["meter_reading_log"])), "squared")
+    assert 1 < fit.getNumTrees < 60 and errors[-1] == min(errors)
+    held = forecast.evaluate(model.predict(test, fit)).first()["rmse_log"]
+    y = [r[0] for r in train.select("meter_reading_log").collect()]
+    constant = forecast.evaluate(test.withColumn("predicted_log", F.lit(float(np.mean(y))))).first()["rmse_log"]
+    six = forecast.evaluate(test.withColumn("predicted_log", F.col("rolling_mean_6hr"))).first()["rmse_log"]
+    assert held < min(constant, six)
+    assert model.best_prefix([3, 2, 1, 2, 2, 0], 2) == (3, True) and model.best_prefix([3, 2, 1, 2], 2) == (3, False)
+
+
 def matrix(df):
     return df.select(*model.tree_inputs(df).values()).toPandas().to_numpy(dtype=float)
 

@@ -59,3 +59,13 @@ def test_patterns_agree(series):
     a = {(r[0], r[1]): r[2] for r in summaries.median_patterns(df, meter=None, refine=False).collect()}
     b = {(r[0], r[1]): r[2] for r in summaries.median_patterns(df, meter=None, refine=True).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_nan_and_infinities_both_ways(spark):
+    values = [1.0, 2.5, float("nan"), 3.3, None, 7.7, float("inf"), 0.1, float("-inf")]
+    df = spark.createDataFrame([(g, v) for g in (1, 2) for v in values], "g int, v double")
+    for prob in (0.0, 0.3, 0.5, 0.999 / 2, 0.7):
+        plain, narrowed = (
+            sorted(map(tuple, exact_quantile(df, ["g"], "v", prob, "q", refine=r).collect())) for r in (False, True))
+        assert plain == narrowed
+    assert exact_quantile(df, ["g"], "v", 0.5, "q").first()["q"] == 2.5

@@ -113,3 +113,18 @@ def test_fill_weather(spark, split):
         want[c] = want[c].fillna(want[c].median())
     for c in [*FILLED_WEATHER, "cloud_coverage"]:
         np.testing.assert_allclose(got[c].astype(float).to_numpy(), want[c].to_numpy())
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_null_keys_and_times_both_ways(spark, descending):
+    rows = [(None if i % 2 else 1, i % 3, None if i % 10 == 0 else f"2024-01-{1 + i // 20:02d} {i % 20:02d}:00:00",
+             float(i) if i % 4 else None, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "building_id int, meter int, t string, v double, id int").withColumn(
+        "timestamp", F.col("t").cast("timestamp_ntz")).drop("t")
+    order = ("timestamp", "id")
+    last = [running_last(df, lambda p: {"seen": F.col("v")}, order=order, split=s, segment_rows=16, descending=descending,
+                         position="pos") for s in (False, True)]
+    assert sorted(map(str, last[0].collect())) == sorted(map(str, last[1].collect()))
+    make = lambda w: {"back": F.lag("id", 3).over(w), "n": F.count("v").over(w.rowsBetween(-7, 0))}
+    both = [trailing(df, make, order=order, reach=8, split=s, segment_rows=16) for s in (False, True)]
+    assert sorted(map(str, both[0].collect())) == sorted(map(str, both[1].collect()))

@@ -127,3 +127,21 @@ def test_scenarios_order_and_lists(spark):
             advice.recommendations(states, cost_threshold=bad)
     for word in ("caused", "failure", "fault diagnosed"):
         assert all(word not in (rule[4] + rule[5]) for rule in advice.RULES)
+
+
+def test_several_scenarios_of_a_series_give_one_list(spark):
+    states = spark.createDataFrame(
+        [(1, 0, "CRITICAL", "HIGH_DEMAND", "WATCH", 50000.0, 1.0, 9.0, 5.0, 0.8)],
+        "building_id int, meter int, severity string, anomaly_type string, state_status string, forecast_total_cost double, "
+        "forecast_total_carbon_kg double, actual_kwh double, expected_kwh double, deviation_ratio double",
+    ).withColumn("timestamp", F.lit("2024-01-01").cast("timestamp_ntz"))
+    runs = spark.createDataFrame(
+        [(1, 0, "A", 0.1, -5.0, -1.0), (1, 0, "B", 0.2, -9.0, -2.0), (1, 0, "C", 1.0, 4.0, 3.0)],
+        "building_id int, meter int, scenario_type string, scenario_value double, delta_total_kwh double, delta_total_cost double")
+    recs = advice.recommendations(states, runs)
+    got = recs.orderBy("rank").collect()
+    assert [r["code"] for r in got] == ["CRIT", "ANOM", "COST", "SIM"] and "B at 0.2" in got[-1]["evidence"]
+    later = states.withColumn("timestamp", F.lit("2024-01-02").cast("timestamp_ntz"))
+    two = states.unionByName(later)
+    lists = advice.recommendation_lists(two, advice.recommendations(two, runs)).collect()
+    assert [r["total_count"] for r in lists] == [4, 4]

@@ -23,10 +23,10 @@ _FINE = 1 << 20         # linear cells inside one coarse cell
 def exact_quantile(
     df: DataFrame, groups: Sequence[str], value: str, prob: float, name: str, refine: bool | None = None,
 ) -> DataFrame:
-    """One row per group: the interpolated ``prob`` quantile of the non-null values."""
+    """One row per group: the interpolated ``prob`` quantile of the values that are neither NULL nor NaN."""
     if refine is None:
         refine = input_bytes(df) > REFINE_BYTES
-    rows = df.select(*groups, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    rows = df.select(*groups, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     for g in groups:
         rows = rows.where(F.col(g).isNotNull())
     if not refine:
@@ -74,8 +74,8 @@ def _refined(rows: DataFrame, groups: list[str], prob: float, name: str) -> Data
     at = lambda r: F.max(F.when((F.col("__cum") - F.col("__n") <= r) & (F.col("__cum") > r), v))
     found = last.groupBy(*keys).agg(
         at(low).alias("__a"), at(high).alias("__b"), F.first("__rank").alias("__rank"))
-    frac = F.col("__rank") - F.floor("__rank")
-    return found.select(*groups, (F.col("__a") * (1 - frac) + F.col("__b") * frac).alias(name))
+    between = (high - F.col("__rank")) * F.col("__a") + (F.col("__rank") - low) * F.col("__b")
+    return found.select(*groups, F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise(between).alias(name))
 
 
 def _holding(cells: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ One plain window per series is the cheapest plan: one exchange, one sort. It hol
 every series fits a task. Inputs above ``SPLIT_BYTES`` are therefore measured first (a count
 over the key columns), and when the longest series exceeds ``LONG_SERIES`` rows all series
 are cut into segments of equal row count, each with a copy of the rows its frames look back
-to. Both ways give the same rows.
+to. Both ways give the same rows: NULL keys form a series of their own, NULL times come first.
 """
 
 from __future__ import annotations
@@ -33,6 +33,13 @@ def should_split(df: DataFrame, keys: Sequence[str], split: bool | None) -> bool
     return (longest or 0) > LONG_SERIES
 
 
+def _beside(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join in which NULL keys match each other, as they do in a window's partition."""
+    named = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on]
+    return left.join(named, same, "left").drop(*[f"__r_{c}" for c in on])
+
+
 def _order(order: Sequence[str], descending: bool = False) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
@@ -54,8 +61,7 @@ def _positions(
         .drop("__n")
     )
     return (
-        blocked.withColumn("__rn", F.row_number().over(in_block))
-        .join(offsets, [*keys, _BLOCK], "left")
+        _beside(blocked.withColumn("__rn", F.row_number().over(in_block)), offsets, [*keys, _BLOCK])
         .withColumn(_POS, F.coalesce("__before", F.lit(0)) + F.col("__rn") - 1)
         .withColumn(_SEG, F.floor(F.col(_POS) / segment_rows))
         .drop("__before", "__rn", _BLOCK)
@@ -121,10 +127,9 @@ def running_last(
                    for n, v in exprs.items()])
             .withColumns({f"__c_{n}": F.last(f"__c_{n}", ignorenulls=True).over(earlier) for n in exprs})
         )
+        local = placed.withColumns({f"__l_{n}": F.last(v, ignorenulls=True).over(so_far) for n, v in exprs.items()})
         out = (
-            placed.withColumns({f"__l_{n}": F.last(v, ignorenulls=True).over(so_far)
-                                for n, v in exprs.items()})
-            .join(carried, [*keys, _SEG], "left")
+            _beside(local, carried, [*keys, _SEG])
             .withColumns({n: F.coalesce(f"__l_{n}", f"__c_{n}") for n in exprs})
             .drop(_SEG, *[f"__l_{n}" for n in exprs], *[f"__c_{n}" for n in exprs])
         )

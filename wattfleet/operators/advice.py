@@ -13,25 +13,25 @@ CARBON_THRESHOLD = 1000.0
 
 # code, priority, category, title, action, reason; the order numbers the recommendations
 RULES = [
-    ("CRIT", "CRITICAL", "ANOMALY", "Look into a critical deviation",
-     "Review running loads and operating conditions now.", "Energy is far from its expected level."),
+    ("CRIT", "CRITICAL", "ANOMALY", "Critical reading",
+     "Send someone to the meter's loads today.", "The severity of the latest reading is CRITICAL."),
     ("ANOM", "HIGH", "ANOMALY", "Look into high demand",
      "Inspect the schedules of heating, cooling and large equipment.", "Energy is well above its expected level."),
     ("SPIKE", "HIGH", "ANOMALY", "Look into a sudden spike",
      "Check for sudden load changes or unplanned equipment runs.", "Energy rose sharply over the last hours."),
     ("PERS", "HIGH", "OPERATIONS", "Review lasting high demand",
      "Review base loads and schedules over the affected hours.", "High demand has lasted for several readings."),
-    ("LOW", "MEDIUM", "OPERATIONS", "Check low demand",
-     "Verify whether the low demand is planned or a sign of idle systems or a sensor fault.",
-     "Energy is well below its expected level."),
-    ("COST", "MEDIUM", "COST", "Consider shifting load to cut cost",
-     "Evaluate moving load out of expensive hours.", "The forecast cost exceeds its threshold."),
+    ("LOW", "MEDIUM", "OPERATIONS", "Demand has dropped",
+     "Ask for planned closures first, then test the sensor.",
+     "The latest reading was typed LOW_DEMAND."),
+    ("COST", "MEDIUM", "COST", "Tomorrow's bill is high",
+     "List loads that can run at cheaper times.", "The 24-hour cost is over the limit given."),
     ("CARB", "MEDIUM", "CARBON", "Review the carbon forecast",
      "Consider saving energy in carbon-intensive hours.", "The forecast carbon exceeds its threshold."),
-    ("SIM", "LOW", "ENERGY", "A scenario promises savings",
-     "Consider the evaluated scenario for operation.", "The scenario estimate lies below the baseline."),
-    ("NORM", "INFO", "ENERGY", "Energy is as expected",
-     "Continue regular monitoring.", "No notable deviation was found."),
+    ("SIM", "LOW", "ENERGY", "A what-if run saves energy or money",
+     "Try its change on one day and compare.", "Its total of energy or cost is negative against the baseline."),
+    ("NORM", "INFO", "ENERGY", "Nothing to do",
+     "Look again with the next reading.", "No other rule fired and the state is NORMAL."),
 ]
 assert all(r[1] in PRIORITY_RANK and r[2] in CATEGORIES for r in RULES)
 
@@ -54,14 +54,27 @@ def _evidence(cost: float, carbon: float) -> dict[str, Column]:
     }
 
 
+def _saves() -> Column:
+    return (F.coalesce("delta_total_kwh", F.lit(0.0)) < 0) | (F.coalesce("delta_total_cost", F.lit(0.0)) < 0)
+
+
+def _best_scenario(scenarios: DataFrame, fields: list[str]) -> DataFrame:
+    """One row per series: a scenario that saves before one that does not, the largest saving first."""
+    rank = F.struct(~_saves(), F.coalesce("delta_total_kwh", F.lit(0.0)), F.coalesce("delta_total_cost", F.lit(0.0)),
+                    "scenario_type", "scenario_value")
+    best = scenarios.groupBy(*SERIES_KEYS).agg(F.min_by(F.struct(*fields), rank).alias("__s"))
+    return best.select(*SERIES_KEYS, *[F.col(f"__s.{c}").alias(c) for c in fields])
+
+
 def recommendations(
     states: DataFrame, scenarios: DataFrame | None = None,
     cost_threshold: float = COST_THRESHOLD, carbon_threshold: float = CARBON_THRESHOLD,
 ) -> DataFrame:
     """Recommendations per state, most urgent first within ``rank``.
 
-    ``scenarios`` holds at most one scenario summary row per series. Ids are numbered in rule
-    order before sorting. A (category, title, action) occurs once per state.
+    Of several scenario summary rows of a series the one that saves most energy counts (then most
+    cost, then the first type and value). Ids are numbered in rule order before sorting. A
+    (category, title, action) occurs once per state.
     """
     cost = number(cost_threshold, "cost_threshold", 0.0)
     carbon = number(carbon_threshold, "carbon_threshold", 0.0)
@@ -70,15 +83,14 @@ def recommendations(
     if scenarios is None:
         rows = states.withColumns({c: F.lit(None).cast(t) for c, t in wanted.items()})
     else:
-        rows = states.join(scenarios.select(*SERIES_KEYS, *wanted), SERIES_KEYS, "left")
+        rows = states.join(_best_scenario(scenarios, list(wanted)), SERIES_KEYS, "left")
     kind = F.col("anomaly_type")
-    saves = (F.coalesce("delta_total_kwh", F.lit(0.0)) < 0) | (F.coalesce("delta_total_cost", F.lit(0.0)) < 0)
     fires = {
         "CRIT": F.col("severity") == "CRITICAL",
         "ANOM": kind == "HIGH_DEMAND", "SPIKE": kind == "RAPID_SPIKE",
         "PERS": kind == "PERSISTENT_HIGH", "LOW": kind == "LOW_DEMAND",
         "COST": F.col("forecast_total_cost") > cost, "CARB": F.col("forecast_total_carbon_kg") > carbon,
-        "SIM": saves,
+        "SIM": _saves(),
     }
     any_fired = F.greatest(*[F.coalesce(c, F.lit(False)) for c in fires.values()])
     fires["NORM"] = (F.col("state_status") == "NORMAL") & ~any_fired
@@ -104,10 +116,13 @@ def recommendations(
 
 
 def recommendation_lists(states: DataFrame, recs: DataFrame, stamp: bool = True) -> DataFrame:
-    """One row per state: its ordered list of recommendations and their number (at most nine)."""
+    """One row per state (series and time): its ordered list of recommendations and their number (at most nine)."""
     item = F.struct("rank", "recommendation_id", "priority", "category", "title", "action", "reason", "evidence")
-    lists = recs.groupBy(*SERIES_KEYS).agg(F.array_sort(F.collect_list(item)).alias("recommendations"))
-    out = states.select(*SERIES_KEYS, "state_status").join(lists, SERIES_KEYS, "left").withColumns({
+    keys = [*SERIES_KEYS, "timestamp"]
+    lists = recs.groupBy(*[F.col(c).alias(f"__r_{c}") for c in keys]).agg(
+        F.array_sort(F.collect_list(item)).alias("recommendations"))
+    same = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in keys]
+    out = states.select(*keys, "state_status").join(lists, same, "left").drop(*[f"__r_{c}" for c in keys]).withColumns({
         "recommendations": F.coalesce("recommendations", F.array().cast(lists.schema["recommendations"].dataType)),
     }).withColumn("total_count", F.size("recommendations").cast("long"))
     return out.withColumn("generated_at", F.current_timestamp()) if stamp else out

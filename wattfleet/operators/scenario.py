@@ -85,7 +85,9 @@ def sweep(forecast: DataFrame, scenarios: Sequence[tuple[str, float]], keys=SERI
         .where("reason IS NOT NULL").drop("valid", "low")
     )
     delta = F.col("simulated_kwh") - base
-    hourly = rows.join(rejects.drop("reason"), [*keys, "scenario_type", "scenario_value"], "left_anti").select(
+    on = [*keys, "scenario_type", "scenario_value"]
+    bad = rejects.drop("reason").withColumnsRenamed({c: f"__r_{c}" for c in on})
+    hourly = rows.join(bad, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on], "left_anti").select(
         *keys, "scenario_type", "scenario_value", "timestamp", base.alias("baseline_kwh"), "simulated_kwh",
         delta.alias("delta_kwh"), percent_of(delta, base).alias("delta_percent"))
     return hourly, rejects

@@ -22,7 +22,6 @@ _QUERIES: dict[str, Query] = {}
 
 MONTH = 2
 SPLIT = "2024-03-01"
-TEST_TREES = 10         # boosted trees in the registered queries; ``train_gbt`` defaults to 500
 
 
 def query(fn: Query) -> Query:
@@ -113,14 +112,13 @@ def forecast_rows(spark, sf) -> DataFrame:
 def fitted(spark, sf) -> model.TreeModel:
     def fit() -> model.TreeModel:
         train, test = model.temporal_split(model_table_once(spark, sf), SPLIT)
-        return model.with_nodes(spark, model.train_gbt(train, test, max_iter=TEST_TREES, max_depth=5))
+        return model.with_nodes(spark, model.train_gbt(train, test))
 
     return once(spark, sf, "boosted trees", fit)
 
 
 def isolation(spark, sf) -> forest.IsolationForest:
-    return once(spark, sf, "isolation forest",
-                lambda: forest.fit(model_table_once(spark, sf), scope=F.col("meter") == 0))
+    return once(spark, sf, "isolation forest", lambda: forest.fit(model_table_once(spark, sf)))
 
 
 # ---- slices and sources ----------------------------------------------------------
@@ -222,6 +220,11 @@ def validate_all(spark, sf):
         "check", "passed", F.explode("metrics").alias("metric", "value"))
 
 
+@query
+def validation_verdict(spark, sf):
+    return quality.validation_summary(quality.validate_all(featured(spark, sf)))
+
+
 # ---- cleaning and features -------------------------------------------------------------
 
 @query
@@ -336,6 +339,12 @@ def forecast_24h(spark, sf):
     return rounded(build_forecast(spark, sf))
 
 
+@query
+def forecast_rejects(spark, sf):
+    """Series without a forecast; with ``forecast_24h`` they make up the fleet."""
+    return forecast.forecast_24h(dense_table(spark, sf))[1].select(*SERIES_KEYS, "reason")
+
+
 @query
 def forecast_given_weather(spark, sf):
     table = dense_table(spark, sf)
@@ -393,7 +402,7 @@ def model_persist(spark, sf):
 @query
 def model_metadata(spark, sf):
     trees = model.model_metadata(spark, fitted(spark, sf))
-    return trees.unionByName(forest.forest_metadata(spark, isolation(spark, sf), "electricity"), allowMissingColumns=True)
+    return trees.unionByName(forest.forest_metadata(spark, isolation(spark, sf), "all meters"), allowMissingColumns=True)
 
 
 @query
@@ -470,6 +479,12 @@ def anomaly_report(spark, sf):
         *[entry("counts_by_type", t).alias(f"t_{t.lower()}") for t in anomaly.TYPE_RANK])
 
 
+@query
+def anomaly_flagged(spark, sf):
+    """The flagged rows of the anomaly report."""
+    return rounded(reports.anomaly_report(featured(spark, sf))[1].select(*IDENTIFIERS, *_RESIDUAL, "anomaly_type"))
+
+
 @query
 def anomaly_overlay(spark, sf):
     return rounded(reports.anomaly_overlay(featured(spark, sf), MONTH))
@@ -538,6 +553,12 @@ def scenario_sweep(spark, sf):
     return rounded(scenario.sweep(forecast_rows(spark, sf), standin.SCENARIOS)[0])
 
 
+@query
+def scenario_rejects(spark, sf):
+    """Series and scenarios without a projection, and why."""
+    return rounded(scenario.sweep(forecast_rows(spark, sf), standin.SCENARIOS)[1])
+
+
 @query
 def scenario_summary(spark, sf):
     return rounded(reports.scenario_report(forecast_rows(spark, sf), standin.SCENARIOS).drop(
