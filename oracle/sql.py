@@ -416,8 +416,12 @@ counted AS (SELECT c.source, c.building_id, c.meter, cutoff, count(b.timestamp)
         + """SELECT source, building_id, meter, cutoff, n AS history_rows, n AS history_hours, n = 168 AS eligible,
   CASE WHEN n = 168 THEN '' ELSE 'fewer than 168 readings' END AS reason FROM counted""",
         "forecast_24h": with_(*FORECAST, recursive=True) + f"SELECT {_FC_COLS} FROM forecast",
-        "forecast_rejects": with_(*FORECAST, recursive=True) + """SELECT DISTINCT d.building_id, d.meter, 'fewer than 168 readings' AS reason
-  FROM dense d ANTI JOIN forecast f ON f.building_id = d.building_id AND f.meter = d.meter""",
+        "forecast_rejects": with_(*DENSE_MERGED, """cut AS (SELECT building_id, meter, max(timestamp) - INTERVAL 24 HOUR AS cutoff FROM merged GROUP BY 1, 2),
+around AS (SELECT building_id, meter, count_if(timestamp <= cutoff AND timestamp > cutoff - INTERVAL 168 HOUR) AS before,
+  count_if(timestamp > cutoff) AS after, count_if(timestamp > cutoff AND air_temperature IS NOT NULL) AS warm
+  FROM merged JOIN cut USING (building_id, meter) GROUP BY 1, 2)""") + """SELECT building_id, meter, CASE WHEN before < 168 THEN 'fewer than 168 readings'
+  WHEN after < 24 THEN 'weather does not cover the horizon' ELSE 'weather is missing' END AS reason
+  FROM around WHERE before < 168 OR after < 24 OR warm < 24""",
         "forecast_given_weather": with_(*DENSE_MERGED, forecast(GIVEN, "provided"), recursive=True) + f"SELECT {_FC_COLS} FROM forecast",
         "forecast_summary": with_(*FORECAST, recursive=True) + f"""SELECT building_id, meter, count(*) AS horizon_hours, {r('sum(predicted_kwh)')} AS total_kwh,
   {r('avg(predicted_kwh)')} AS average_kwh, {r('max(predicted_kwh)')} AS peak_kwh, first(timestamp ORDER BY predicted_kwh DESC, step) AS peak_hour,
