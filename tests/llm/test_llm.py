@@ -121,6 +121,13 @@ def test_language_held_out(docs):
     assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.95 * len(got)
 
 
+def test_stage_keeps_clean_texts_without_a_model(spark):
+    rows = [(1, "a clean text"), (2, None), (3, "12 !"), (None, "one more")]
+    for lang in (None, "en"):
+        got = langid.keep_identified(spark.createDataFrame([(i, t, lang, "a", 9, 0, "x", "y") for i, t in rows], SCHEMA)).collect()
+        assert [r["text"] for r in got] == ["a clean text", "one more"]
+
+
 def test_codewords_are_apart():
     for n in (2, 4, 7, 12):
         code = langid.codewords(n)

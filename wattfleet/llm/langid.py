@@ -165,6 +165,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without texts that have no language (null, or no letter)."""
-    known = predict(docs.select(F.struct("*").alias("row"), "text"), fit(docs)).where(F.col("lang_pred") != UNDETERMINED)
-    return known.select("row.*")
+    """``docs`` without texts that have no language (null, or no letter).
+
+    Nothing that a model decides rejects a text: every language stays, and an ambiguous one too. So none is fitted.
+    """
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([t is not None and any(map(str.isalpha, t)) for t in batch["text"].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
