@@ -3,8 +3,9 @@
 Templates are cut into five-word shingles and belong to a window width, the power of two from
 twice their length on. Texts are covered by windows of that width at half-width steps, so a whole
 occurrence always lies in one window. A window that holds a template of ``t`` shingles has a Jaccard similarity of at
-least ``t`` over its own shingles; ``BANDS`` bands of one row each collide with probability
-1 - (1 - s)^BANDS, over 0.9999 for the shortest template in the widest window that it can have (s = 1/7).
+least ``t`` over its own shingles; bands of one row each collide with probability
+1 - (1 - s)^bands. ``bands`` takes as many as keep the miss of a whole occurrence under ``MISS`` for the template
+with the least s: for the notices below it is one shingle among the twelve of a window of 16 words (s = 1/12), which takes 106.
 
 A band can only collide in a window that holds the template's own least shingle of that band, so the texts'
 shingles are first joined with those (a broadcast of templates x bands, bounded by ``MAX_TEMPLATES``),
@@ -17,12 +18,15 @@ template of fewer than five words is refused; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattfleet.llm.common import NON_WORD, shingle_at, shingle_hashes, words_of
 
 SHINGLE = 5
-BANDS = 64
+#: Probability that the bands miss a whole occurrence in one window, at most.
+MISS = 1e-4
 CONTAINED = 0.75
 MAX_TEMPLATES = 2_000
 
@@ -61,9 +65,15 @@ def _least(hashes: Column, band: Column) -> Column:
     return F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64(band, h).alias("o"), h.alias("h"))))["h"]
 
 
-def _bands(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``band, least`` for each band of the column ``shingles``."""
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+def bands(notices: DataFrame) -> int:
+    """Bands that the template with the least share of its window needs for ``MISS``."""
+    s = notices.agg(F.min(F.size("shingles") / (F.col("width") - (SHINGLE - 1)))).first()[0]
+    return 1 if s is None or s >= 1 else math.ceil(math.log(MISS) / math.log1p(-s))
+
+
+def _bands(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` with ``band, least`` for each of ``n`` bands of the column ``shingles``."""
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("band"))
     return rows.withColumn("least", _least(F.col("shingles"), F.col("band")))
 
 
@@ -71,7 +81,8 @@ def matches(docs: DataFrame, notices: DataFrame) -> DataFrame:
     """``doc_id, text_key, n_words, copies`` per distinct document row with ``found``: structs of license, template,
     start, width and containment, one per matching window."""
     words = F.col("words")
-    wanted = _bands(notices).select("template", "license", "width", "band", "least", F.col("shingles").alias("t_shingles"))
+    n_bands = bands(notices)
+    wanted = _bands(notices, n_bands).select("template", "license", "width", "band", "least", F.col("shingles").alias("t_shingles"))
     anchors = wanted.select("width", F.col("least").alias("h")).distinct()
     myself = notices.sparkSession.range(1).select(F.lit(0).alias("width"), F.lit(0).cast("long").alias("h"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text"), NON_WORD).alias("words"))
@@ -90,7 +101,7 @@ def matches(docs: DataFrame, notices: DataFrame) -> DataFrame:
     near = near.groupBy("doc_id", "text_key", "n_words", "width", "start", "window").agg(F.count(F.lit(1)).alias("n"))
     real = F.col("start") >= 0
     rows = near.withColumn("shingles", F.array_distinct(shingle_hashes(F.col("window"), SHINGLE)))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.when(real, F.lit(BANDS - 1)).otherwise(0))).alias("band"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.when(real, F.lit(n_bands - 1)).otherwise(0))).alias("band"))
     rows = rows.withColumn("least", F.when(real, _least(F.col("shingles"), F.col("band"))))
     rows = rows.join(F.broadcast(wanted), ["width", "band", "least"], "left")
     rows = rows.withColumn("containment", F.size(F.array_intersect("t_shingles", "shingles")) / F.size("t_shingles"))
