@@ -97,6 +97,14 @@ def test_short_notices_are_found_at_every_offset(spark):
     assert licenses.report(df, wanted).where("n_templates <> 1").count() <= 6
 
 
+def test_license_matches_of_one_window_stand_apart(spark):
+    gpl, lgpl = dict(licenses.NOTICES)["GPL-3.0"], dict(licenses.NOTICES)["LGPL-3.0"]
+    sa = "Creative Commons Attribution-ShareAlike 4.0 International License"
+    rows = [(1, f"{gpl} that {lgpl.split(' ', 1)[1]}"), (2, gpl), (3, f"This work is licensed under a {sa}")]
+    got = licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licenses"] for r in got} == {1: "GPL-3.0,LGPL-3.0", 2: "GPL-3.0", 3: "CC-BY-SA-4.0"}
+
+
 def test_base_score_and_distribution(docs):
     raw = texts(docs)
     words = {i: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)), ""] for i, t in raw.items()}

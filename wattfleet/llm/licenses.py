@@ -42,7 +42,17 @@ NOTICES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights"),
 ]
@@ -79,7 +89,7 @@ def _bands(rows: DataFrame, n: int) -> DataFrame:
 
 def matches(docs: DataFrame, notices: DataFrame) -> DataFrame:
     """``doc_id, text_key, n_words, copies`` per distinct document row with ``found``: structs of license, template,
-    start, width and containment, one per matching window."""
+    start, width, containment and the word positions ``at`` of matched shingles, one per matching window."""
     words = F.col("words")
     n_bands = bands(notices)
     wanted = _bands(notices, n_bands).select("template", "license", "width", "band", "least", F.col("shingles").alias("t_shingles"))
@@ -105,11 +115,13 @@ def matches(docs: DataFrame, notices: DataFrame) -> DataFrame:
     rows = rows.withColumn("least", F.when(real, _least(F.col("shingles"), F.col("band"))))
     rows = rows.join(F.broadcast(wanted), ["width", "band", "least"], "left")
     rows = rows.withColumn("containment", F.size(F.array_intersect("t_shingles", "shingles")) / F.size("t_shingles"))
-    hit = F.when(F.col("containment") >= CONTAINED, F.struct("license", "template", "start", "width", "containment"))
+    placed = F.transform(shingle_hashes(F.col("window"), SHINGLE), lambda h, i: F.when(F.array_contains("t_shingles", h), F.col("start") + i))
+    hit = F.when(F.col("containment") >= CONTAINED, F.struct("license", "template", "start", "width", "containment", F.array_compact(placed).alias("at")))
     found = (rows.groupBy("doc_id", "text_key", "n_words")
              .agg(F.sum(F.when(~real, F.col("n"))).alias("copies"), F.sort_array(F.collect_set(hit)).alias("all")))
-    # notices that differ in a version number share most shingles: the best of a window stands
-    beaten = lambda x: F.exists("all", lambda y: (y["width"] == x["width"]) & (y["start"] == x["start"]) & (y["containment"] > x["containment"]))
+    # notices that differ in a version number share most shingles: the best of a window stands where both match
+    beaten = lambda x: F.exists("all", lambda y: (y["width"] == x["width"]) & (y["start"] == x["start"])
+                                & (y["containment"] > x["containment"]) & F.arrays_overlap(y["at"], x["at"]))
     return found.withColumn("found", F.filter("all", lambda x: ~beaten(x))).drop("all")
 
 
