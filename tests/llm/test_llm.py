@@ -134,6 +134,40 @@ def test_exchange_finds_planted_classes():
     assert len(set(of[:3])) == 1 and len(set(of[3:])) == 1 and of[0] != of[3]
 
 
+def planted(spark):
+    """Two kinds of 1,500 words in turn, with endings that say nothing."""
+    import random
+
+    r = random.Random(5)
+    words = [[f"{kind}{i}q{r.randrange(10)}x" for i in range(1500)] for kind in "ab"]
+    rows = [(i, " ".join(words[j % 2][r.randrange(1500)] for j in range(60))) for i in range(2500)]
+    return words, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_all_words_above_the_count_are_clustered(spark):
+    words, df = planted(spark)
+    model, _ = brown_lm.fit(df)
+    a, b = ({int(model.of[model.units.get(w, brown_lm.ending(w))]) for w in ws} for ws in words)
+    assert len(model.units.codes) > 2900 and not a & b
+
+
+def test_units_beyond_the_table_are_joined(spark, monkeypatch):
+    """Words that are units but have no room in the tasks' table get classes by context and scores by them."""
+    words, df = planted(spark)
+    monkeypatch.setattr(brown_lm, "KNOWN", 1500)
+    model, counts = brown_lm.fit(df)
+    own = {r["word"]: (r["c"], r["own"]) for r in counts.collect()}
+    cls = lambda w: own[w][1] if own.get(w, (0, None))[1] is not None else int(model.of[model.units.get(w, brown_lm.ending(w))])
+    assert sum(o is not None for _, o in own.values()) > 1000
+    assert not {cls(w) for w in words[0]} & {cls(w) for w in words[1]}
+    text, unseen = {r[0]: r[1] for r in df.collect()}, model.unseen()
+    for r in brown_lm.scored(df, model, counts).collect()[:200]:
+        ws = [*text[r["doc_id"]].split(), ""]
+        cs = [cls(w) for w in ws]
+        emit = [math.log10((own[w][0] - brown_lm.DISCOUNT) / model.mass[c]) if w in own else unseen[c] for w, c in zip(ws, cs, strict=True)]
+        assert math.isclose(r["score"], sum(model.step[x, y] for x, y in zip([cs[-1], *cs], cs, strict=False)) + sum(emit), rel_tol=1e-9)
+
+
 def test_language_held_out(docs):
     got = langid.report(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.95 * len(got)

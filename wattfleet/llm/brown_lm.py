@@ -1,16 +1,18 @@
 """Brown class-based bigrams: word classes by exchange clustering, smoothed log-probabilities of texts.
 
-P(w | v) = P(class of w | class of v) x P(w | class of w). Classes are assigned to units: the ``WORDS`` most
-frequent words are units of their own, all other words are the unit of their ending (``ENDINGS`` hashed
-endings), so that every word, seen or not, has a class. Exchange clustering moves units between
-``CLASSES`` classes while that raises the likelihood of the unit bigrams of the whole training corpus.
+P(w | v) = P(class of w | class of v) x P(w | class of w). Every word counted at least ``LEAST`` times is a unit of
+its own, so the units grow with the vocabulary; the tail, seen or not, is the unit of its ending (``ENDINGS`` hashed
+endings), so that every word has a class. Exchange clustering moves units between ``CLASSES`` classes while that raises the
+likelihood of the unit bigrams of the whole training corpus: one by one on the driver for the ``WORDS`` most frequent
+words and the endings, which gives the first classes, then all units at once in tasks, each against the table of
+class bigrams, until a sweep adds less than ``RISE`` of the information between neighbouring classes.
 
 Inside a class words are discounted by ``DISCOUNT``; what that frees is the one unseen word of the class, as
 the base model gives its one unseen word a share. Class transitions are smoothed by a half count.
 
-Words are counted over the whole corpus. The ``FREQUENT`` most frequent ones travel to the tasks as a table;
-occurrences of the others are joined with the counts by word, so no unbounded table is broadcast and no
-frequent word makes a hot key. A bounded matrix of units x units comes to the driver for clustering.
+Words are counted over the whole corpus. The ``FREQUENT`` most frequent ones travel to the tasks with their counts, up to ``KNOWN``
+units as a table of hashes with classes; counts of the others, and classes of units beyond ``KNOWN``, are joined,
+so no unbounded table is broadcast and no frequent word makes a hot key.
 
 Defined results: null and empty texts hold the end token alone; rows without an id teach nothing and are not held out;
 with nothing to learn from every count is 0; repeated rows are each scored; other columns are ignored.
@@ -25,15 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from wattfleet.llm.common import crc_fold
 from wattfleet.session import materialize
 
 FOLDS, HELD_OUT = 7, 2
+LEAST = 10
 WORDS = 1024
 ENDINGS = 512
-UNITS = WORDS + ENDINGS
+#: Units whose hashes and classes travel to the tasks, at most; those beyond are joined.
+KNOWN = 1 << 20
+RISE = 0.005
 CLASSES = 64
 SWEEPS = 8
 FREQUENT = 1 << 16
@@ -53,7 +59,46 @@ def tokens(text: str | None) -> list[str]:
 
 def ending(word: str) -> int:
     """The unit of a word that has none of its own."""
-    return WORDS + zlib.crc32(word[-2:].encode()) % ENDINGS
+    return zlib.crc32(word[-2:].encode()) % ENDINGS
+
+
+def code(word: str) -> int:
+    """A negative number for a word: 53 bits of a hash, then its ending."""
+    return -1 - ((xxhash.xxh3_64_intdigest(word.encode()) & ((1 << 53) - 1)) * ENDINGS + ending(word))
+
+
+def _ending_of(codes):
+    return (-1 - codes) % ENDINGS
+
+
+class Units:
+    """Units of words: endings first, then the known words by code; codes stand for words that may be units beyond ``KNOWN``."""
+
+    def __init__(self, codes: np.ndarray, whole: bool):
+        self.codes, self.whole, self.memo = np.sort(codes), whole, {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"memo": {}}
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self.memo) > TABLE:
+            self.memo = {}
+        memo = self.memo
+        new = [w for w in set(words) if w not in memo]
+        if new:
+            memo.update(zip(new, self.coded(np.array([code(w) for w in new], np.int64)).tolist(), strict=True))
+        return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+
+    def coded(self, codes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.codes, codes)
+        hit = np.zeros(len(codes), bool)
+        inside = at < len(self.codes)
+        hit[inside] = self.codes[at[inside]] == codes[inside]
+        return np.where(hit, ENDINGS + at, _ending_of(codes) if self.whole else codes)
+
+    def get(self, word: str, default: int) -> int:
+        unit = int(self.of([word])[0])
+        return unit if unit >= ENDINGS else default
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,13 +118,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _codes(words: list[str], units: dict[str, int]) -> np.ndarray:
-    """Unit of each word and of the end."""
-    get = units.get
-    at = [get(w, -1) for w in words]
-    return np.array([u if u >= 0 else ending(w) for u, w in zip(at, words, strict=True)] + [units.get(END, ending(END))], np.int64)
-
-
 def _plogp(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -136,21 +174,182 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return of
 
 
+def best_class(n: np.ndarray, a: int, s: np.ndarray, p: np.ndarray, self_: float) -> int:
+    """Where the likelihood is greatest for one unit of class ``a``, which has counts ``s`` after and ``p`` before it by class."""
+    s, p = s.astype(float), p.astype(float)
+    s[a] -= self_
+    p[a] -= self_
+    rows, cols, d = n.sum(1), n.sum(0), np.arange(len(n))
+    rows[a] -= s.sum() + self_
+    cols[a] -= p.sum() + self_
+    rows, cols = rows.clip(0), cols.clip(0)
+    gain = np.zeros(len(n))
+    diag = n[d, d].copy()
+    diag[a] -= s[a] + p[a] + self_
+    for table, k, other in ((n, s, p), (n.T, p, s)):
+        at = np.flatnonzero(k)
+        if len(at):
+            f = table[:, at].copy()
+            f[a] -= k[at]
+            hit = np.flatnonzero(at == a)
+            if len(hit):
+                f[:, hit[0]] -= other
+                f[a, hit[0]] -= self_
+            f = f.clip(0)
+            grown = _plogp(f + k[at]) - _plogp(f)
+            gain += grown.sum(1)
+            gain[at] -= grown[at, np.arange(len(at))]
+    diag = diag.clip(0)
+    gain += _plogp(diag + s + p + self_) - _plogp(diag)
+    gain -= _plogp(rows + s.sum() + self_) - _plogp(rows) + _plogp(cols + p.sum() + self_) - _plogp(cols)
+    best = int(np.argmax(gain))
+    return best if gain[best] > gain[a] + 1e-9 else a
+
+
+def _likelihood(n: np.ndarray) -> float:
+    return _plogp(n).sum() - _plogp(n.sum(0)).sum() - _plogp(n.sum(1)).sum()
+
+
+def _summed(keys: list[np.ndarray], k: np.ndarray) -> list[np.ndarray]:
+    """Distinct rows of ``keys`` with their summed ``k``."""
+    order = np.lexsort(keys[::-1])
+    keys = [x[order] for x in keys]
+    new = np.ones(len(k), bool)
+    if len(k):
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
+    at = np.flatnonzero(new)
+    return [*(x[at] for x in keys), np.add.reduceat(k[order], at) if len(at) else k[:0]]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 500_000) -> Iterator[list[np.ndarray]]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+            held, n = [], 0
+    if n:
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in columns.items()})
+
+
+class Clusters:
+    """Bigrams ``a, b, k`` of units and the class of each: ``of`` for endings and known units, ``beyond`` (code, cls) for the others, if any."""
+
+    def __init__(self, bigrams: DataFrame, of: np.ndarray, beyond: DataFrame | None):
+        self.bigrams, self.of, self.beyond = bigrams, of, beyond
+        self.sent = bigrams.sparkSession.sparkContext.broadcast(of.astype(np.int16))      # bounded by KNOWN
+
+    def classed(self) -> DataFrame:
+        """``a, b, k, ca, cb``; classes of known units are -1 and looked up in the tasks."""
+        rows = self.bigrams
+        for unit, cls in (("a", "ca"), ("b", "cb")):
+            none = rows if self.beyond is None else rows.where(F.col(unit) >= 0)
+            none = none.withColumn(cls, F.lit(-1).cast("long"))
+            if self.beyond is not None:
+                named = self.beyond.select(F.col("code").alias(unit), F.col("cls").alias(cls))
+                none = none.unionByName(rows.where(F.col(unit) < 0).join(named, unit))
+            rows = none
+        return rows.select("a", "b", "k", "ca", "cb")
+
+    def table(self) -> np.ndarray:
+        """Class x class counts."""
+        sent = self.sent
+
+        def run(batches):
+            n = np.zeros(CLASSES * CLASSES, np.int64)
+            for a, b, k, ca, cb in _chunks(batches):
+                ca, cb = (np.where(u >= 0, sent.value[np.maximum(u, 0)], c) for u, c in ((a, ca), (b, cb)))
+                np.add.at(n, ca.astype(np.int64) * CLASSES + cb, k)
+            at = np.flatnonzero(n)
+            yield _batch(cell=at, k=n[at])
+
+        got = self.classed().mapInArrow(run, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
+        n = np.zeros(CLASSES * CLASSES)
+        n[got["cell"].to_numpy()] = got["k"].to_numpy()
+        return n.reshape(CLASSES, CLASSES)
+
+    def moves(self, n: np.ndarray) -> DataFrame:
+        """``unit, cls`` of the units that would be better off in another class, with all others where they are."""
+        sent = self.sent
+
+        def sides(batches):
+            for a, b, k, ca, cb in _chunks(batches):
+                ca, cb = (np.where(u >= 0, sent.value[np.maximum(u, 0)], c).astype(np.int64) for u, c in ((a, ca), (b, cb)))
+                me = a == b
+                unit, own, cell, k = _summed([np.concatenate(x) for x in (
+                    (a, b, a[me]), (ca, cb, ca[me]), (cb, CLASSES + ca, np.full(me.sum(), 2 * CLASSES)))], np.concatenate((k, k, k[me])))
+                yield _batch(unit=unit, own=own, cell=cell, k=k)
+
+        def choose(batches):
+            left = [np.zeros(0, np.int64)] * 4
+
+            def best(rows):
+                unit, own, cell, k = rows
+                starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1]))) if len(unit) else np.zeros(0, np.int64)
+                out = []
+                for i, j in zip(starts, [*starts[1:], len(unit)], strict=True):
+                    c = np.bincount(cell[i:j], k[i:j], 2 * CLASSES + 1)
+                    to = best_class(n, int(own[i]), c[:CLASSES], c[CLASSES:-1], c[-1])
+                    if to != own[i]:
+                        out.append((unit[i], to))
+                return _batch(unit=[u for u, _ in out], cls=[c for _, c in out])
+
+            for rows in _chunks(batches, 100_000):
+                rows = [np.concatenate(x) for x in zip(left, rows, strict=True)]
+                # the last unit may go on in the next rows; what it has so far is summed
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))
+                yield best([x[:cut] for x in rows])
+                left = _summed([x[cut:] for x in rows[:3]], rows[3][cut:])
+            yield best(left)
+
+        rows = self.classed().mapInArrow(sides, "unit long, own long, cell long, k long")
+        return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(choose, "unit long, cls long")
+
+    def moved(self, moves: DataFrame) -> Clusters:
+        got = moves.where("unit >= 0").toArrow()
+        of, beyond = self.of.copy(), self.beyond
+        of[got["unit"].to_numpy()] = got["cls"].to_numpy()
+        if beyond is not None:
+            new = moves.where("unit < 0").select(F.col("unit").alias("code"), F.col("cls").alias("new"))
+            beyond = materialize(beyond.join(new, "code", "left").select("code", F.coalesce("new", "cls").alias("cls")), "classes")
+        return Clusters(self.bigrams, of, beyond)
+
+    def settled(self) -> tuple[Clusters, np.ndarray]:
+        """Classes after sweeps over all units, with their table. A sweep that does not pay moves half, a quarter, an eighth of its units."""
+        now, n = self, self.table()
+        while True:
+            moves = materialize(now.moves(n), "moves")
+            for share in (1, 2, 4, 8):
+                new = now.moved(moves.where(F.pmod(F.xxhash64("unit"), F.lit(share)) == 0))
+                after = new.table()
+                rise = _likelihood(after) - _likelihood(n)
+                if rise > 0:
+                    break
+            else:
+                return now, n
+            now, n = new, after
+            if rise < RISE * (_likelihood(n) + _plogp(n.sum())):
+                return now, n
+
+
 class Model:
     """What tasks need to score: frequent words with counts, classes of units, log tables."""
 
-    def __init__(self, n: int, v: int, frequent: dict[str, tuple[int, int]], units: dict[str, int], of: np.ndarray,
-                 bigrams: np.ndarray, mass: np.ndarray, kinds: np.ndarray):
+    def __init__(self, n: int, v: int, frequent: dict[str, int], units: Units, of: np.ndarray, joint: np.ndarray, kinds: np.ndarray):
         self.n, self.v, self.units, self.of = n, v, units, of
-        hot = np.eye(CLASSES)[of]
-        joint = hot.T @ bigrams @ hot + 0.5
+        self.mass, self.kinds = joint.sum(0), kinds
+        joint = joint + 0.5
         self.step = np.log10(joint / joint.sum(1, keepdims=True))
-        self.mass, self.kinds = hot.T @ mass, hot.T @ kinds
         self.index = {w: i for i, w in enumerate(frequent)}
-        self.unit = np.array([units.get(w, ending(w)) for w in frequent], np.int64)
+        unit = units.of(list(frequent)) if frequent else np.zeros(0, np.int64)
         count = np.array(list(frequent.values()), float)
         self.base = np.log10(count + 1)
-        self.emit = self.emission(count, of[self.unit]) if len(count) else count
+        self.emit = self.emission(count, of[np.maximum(unit, 0)]) if len(count) else count
 
     def emission(self, count, cls):
         """log10 P(word | class) of words seen in training."""
@@ -161,84 +360,158 @@ class Model:
         return [math.log10(DISCOUNT * k / m) if k else -math.log10(self.n + self.v + 1) for k, m in zip(self.kinds, self.mass, strict=True)]
 
     def local(self, text: str | None):
-        """Of a text: tokens, then over frequent words known tokens, base and model sums with all class steps, and the rare words left."""
+        """Of a text: tokens, then over frequent words known tokens, base and model sums with all class steps, the rare words left with their
+        classes, and those whose class is not known here: place, word, class of its ending, classes before and after (-1: not known either)."""
         words = [*tokens(text), END]
         get = self.index.get
         at = np.array([get(w, -1) for w in words], np.int64)
-        seen = at >= 0
-        unit = np.empty(len(at), np.int64)
-        unit[seen] = self.unit[at[seen]]
-        rare = [words[i] for i in np.flatnonzero(~seen)]
-        unit[~seen] = [self.units.get(w, -1) if w in self.units else ending(w) for w in rare]
-        cls = self.of[unit]
-        first = self.of[self.units.get(END, ending(END))]
-        total = self.step[np.concatenate(([first], cls[:-1])), cls].sum()
+        unit = self.units.of(words)
+        named = unit >= 0
+        seen = (at >= 0) & named
+        cls = np.where(named, self.of[np.maximum(unit, 0)], -1)
+        before, after = np.concatenate((cls[-1:], cls[:-1])), np.concatenate((cls[1:], cls[:1]))
+        both = named & (before >= 0)
+        total = self.step[before[both], cls[both]].sum()
         known = at[seen]
+        rare = np.flatnonzero(~seen & named)
+        open_ = [(int(i), words[i], int(self.of[_ending_of(unit[i])]), int(before[i]), int(after[i])) for i in np.flatnonzero(~named)]
         return (len(words), len(known), float(self.base[known].sum()), float(total + self.emit[known].sum()),
-                Counter(zip(rare, cls[~seen].tolist(), strict=True)))
+                Counter(zip([words[i] for i in rare], cls[rare].tolist(), strict=True)), open_)
+
+    def steps(self, open_: list[dict]) -> float:
+        """Sum of the class steps into and out of the places that ``local`` left, in order."""
+        total, last = 0.0, -1
+        for r in open_:
+            total += self.step[r["before"] if r["before"] >= 0 else last, r["cls"]]
+            if r["after"] >= 0:
+                total += self.step[r["cls"], r["after"]]
+            last = r["cls"]
+        return float(total)
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the stored ``word, c`` counts over all training documents."""
+    """The model and the stored ``word, c`` counts over all training documents, with the class ``own`` of units beyond ``KNOWN``."""
+    spark = docs.sparkSession
     train = docs.where(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT).select("text")
     counts = materialize(train.mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
     frequent = {r["word"]: r["c"] for r in top}
-    own = [w for w in list(frequent)[:WORDS] if w != END]
-    units = {w: i for i, w in enumerate(([END] if END in frequent else []) + own) if i < WORDS}
+
+    def coded(batches):
+        for batch in batches:
+            made = pa.array([code(w) for w in batch["word"].to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], made], ["word", "c", "code"])
+
+    codes = counts.mapInArrow(coded, "word string, c long, code long")
+    # the least count of a known unit: as many as there is room for
+    cut, room = LEAST, KNOWN - 1
+    many = sorted(counts.where(F.col("c") >= LEAST).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    for r in many:
+        room -= r["n"]
+        if room < 0:
+            cut = r["c"] + 1
+            break
+    whole = cut == LEAST
+    table = codes.where((F.col("c") >= cut) | (F.col("word") == END)).select("code").distinct().toArrow()["code"].to_numpy()
+    units = Units(table, whole)
+    sent = spark.sparkContext.broadcast(units)      # bounded by KNOWN
+    others = None if whole else materialize(codes.where((F.col("c") >= LEAST) & (F.col("c") < cut) & (F.col("word") != END)).select("code").distinct(), "others")
 
     def pairs(batches):
+        own = sent.value
         for batch in batches:
             for part in (batch.slice(i, 2500) for i in range(0, batch.num_rows, 2500)):
-                codes = []
+                a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for text in part["text"].to_pylist():
-                    u = _codes(tokens(text), units)
-                    codes.append(np.concatenate((u[-1:], u[:-1])) * UNITS + u)
-                code, k = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"code": pa.array(code.astype(np.int32)), "k": pa.array(k.astype(np.int64))})
+                    u = own.of([*tokens(text), END])
+                    a += [u[-1:], u[:-1]]
+                    b.append(u)
+                a, b, k = _summed([np.concatenate(a), np.concatenate(b)], np.ones(sum(map(len, b)), np.int64))
+                yield _batch(a=a, b=b, k=k)
+
+    bigrams = train.mapInArrow(pairs, "a long, b long, k long").groupBy("a", "b").agg(F.sum("k").alias("k"))
+    if not whole:
+        bigrams = materialize(bigrams, "pairs")
+        for unit in ("a", "b"):
+            left = bigrams.where(F.col(unit) < 0).join(others.select(F.col("code").alias(unit), F.lit(True).alias("__own")), unit, "left")
+            left = left.withColumn(unit, F.when(F.col("__own"), F.col(unit)).otherwise(F.expr(f"pmod(-1 - {unit}, {ENDINGS})"))).drop("__own")
+            bigrams = bigrams.where(F.col(unit) >= 0).unionByName(left)
+        bigrams = bigrams.groupBy("a", "b").agg(F.sum("k").alias("k"))
+    bigrams = materialize(bigrams, "bigrams")
+
+    # first classes: the most frequent words and the endings, one by one
+    coarse = np.concatenate((np.arange(ENDINGS), _ending_of(units.codes))).astype(np.int64)
+    own = units.of([END, *[w for w in list(frequent)[:WORDS] if w != END][:WORDS - 1]])
+    own = own[own >= ENDINGS]
+    coarse[own] = ENDINGS + np.arange(len(own))
+    side = ENDINGS + WORDS
+    first = spark.sparkContext.broadcast(coarse)
+
+    def rough(batches):
+        for a, b, k in _chunks(batches):
+            a, b = (np.where(u >= 0, first.value[np.maximum(u, 0)], _ending_of(u)) for u in (a, b))
+            cell, k = _summed([a * side + b], k)
+            yield _batch(cell=cell, k=k)
+
+    got = bigrams.mapInArrow(rough, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
+    matrix = np.zeros(side * side)
+    matrix[got["cell"].to_numpy()] = got["k"].to_numpy()
+    of = exchange(matrix.reshape(side, side))
+    start = of[:ENDINGS]
+
+    def inherited(batches):
+        for batch in batches:
+            c = batch["code"].to_numpy()
+            yield _batch(code=c, cls=start[_ending_of(c)])
 
-    got = train.mapInArrow(pairs, "code int, k long").groupBy("code").agg(F.sum("k").alias("k")).toPandas()
-    bigrams = np.zeros(UNITS * UNITS)
-    bigrams[got["code"].to_numpy()] = got["k"].to_numpy()
-    bigrams = bigrams.reshape(UNITS, UNITS)
+    beyond = None if whole else materialize(others.mapInArrow(inherited, "code long, cls long"), "classes")
+    clusters, joint = Clusters(bigrams, of[coarse], beyond).settled()
 
-    def placed(batches):
+    placed = codes.withColumn("own", F.lit(None).cast("long")) if whole else codes.join(clusters.beyond.withColumnRenamed("cls", "own"), "code", "left")
+    classes = clusters.sent
+
+    def kinds_of(batches):
         for batch in batches:
-            u = [units.get(w, -1) if w in units else ending(w) for w in batch["word"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"unit": pa.array(u, pa.int32()), "c": batch["c"]})
+            unit = sent.value.coded(batch["code"].to_numpy())
+            cls = classes.value[np.where(unit >= 0, unit, _ending_of(unit))].astype(np.int64)
+            own = batch["own"].fill_null(-1).to_numpy()
+            k = np.bincount(np.where(own >= 0, own, cls), minlength=CLASSES)
+            yield _batch(cls=np.arange(CLASSES), k=k)
 
-    per = counts.mapInArrow(placed, "unit int, c long").groupBy("unit").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("kinds")).collect()
-    mass, kinds = np.zeros(UNITS), np.zeros(UNITS)
-    for r in per:
-        mass[r["unit"]], kinds[r["unit"]] = r["c"], r["kinds"]
-    return Model(n, v, frequent, units, exchange(bigrams), bigrams, mass, kinds), counts
+    kinds = np.zeros(CLASSES)
+    for r in placed.select("code", "own").mapInArrow(kinds_of, "cls long, k long").groupBy("cls").agg(F.sum("k").alias("k")).collect():
+        kinds[r["cls"]] = r["k"]
+    counts = counts.withColumn("own", F.lit(None).cast("long")) if whole else materialize(placed.select("word", "c", "own"), "words")
+    return Model(n, v, frequent, units, clusters.of, joint, kinds), counts
 
 
 def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` of every document row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)      # bounded by FREQUENT and UNITS
+    sent = docs.sparkSession.sparkContext.broadcast(model)      # bounded by FREQUENT and KNOWN
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = f"row long, doc_id {kind}, word string, cls int, k long, n_tokens long, n_known long, base double, model double"
+    fields = f"row long, doc_id {kind}, word string, cls int, k long, pos long, before long, after long, n_tokens long, n_known long, base double, model double"
 
     def run(batches):
         own = sent.value
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                out: list[list] = [[] for _ in range(9)]
+                out: list[list] = [[] for _ in range(12)]
                 for row, doc_id, text in zip(*(part[c].to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-                    n, known, base, total, rare = own.local(text)
+                    n, known, base, total, rare, open_ = own.local(text)
                     # the row of the text itself meets no word: it has a blank
-                    values = [(row, doc_id, f" {row}", 0, 0, n, known, base, total)]
-                    values += [(row, None, w, c, k, None, None, None, None) for (w, c), k in rare.items()]
+                    values = [(row, doc_id, f" {row}", 0, 0, None, None, None, n, known, base, total)]
+                    values += [(row, None, w, c, k, *[None] * 7) for (w, c), k in rare.items()]
+                    values += [(row, None, w, c, 1, i, x, y, None, None, None, None) for i, w, c, x, y in open_]
                     for column, new in zip(out, zip(*values, strict=True), strict=True):
                         column.extend(new)
-                types = (pa.int64(), part.schema.field("doc_id").type, pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                types = (pa.int64(), part.schema.field("doc_id").type, pa.string(), pa.int32(), *[pa.int64()] * 6, pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)],
-                                                 ["row", "doc_id", "word", "cls", "k", "n_tokens", "n_known", "base", "model"])
+                                                 ["row", "doc_id", "word", "cls", "k", "pos", "before", "after", "n_tokens", "n_known", "base", "model"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, fields)
     rows = rows.join(counts.hint("shuffle_hash"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rows = rows.withColumn("cls", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("own").cast("int"), "cls")).otherwise(F.col("cls")))
     floor = math.log10(model.n + model.v + 1)
     at = F.col("cls") + 1
     mass = F.element_at(F.array(*[F.lit(float(m)) for m in model.mass]), at)
@@ -248,7 +521,16 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
         (F.max("n_known") + F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0))).alias("n_known"),
         (F.max("base") + F.sum(F.col("k") * F.log10(F.col("c") + 1.0))).alias("base"),
-        (F.max("model") + F.sum(F.col("k") * emit)).alias("score"))
+        (F.max("model") + F.sum(F.col("k") * emit)).alias("score"),
+        *([] if model.units.whole else [F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "cls", "before", "after")))).alias("open")]))
+    if not model.units.whole:
+
+        def finished(batches):
+            for batch in batches:
+                add = np.array([sent.value.steps(x) for x in batch["open"].to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(batch["score"].to_numpy() + add)], batch.schema.names[:-1])
+
+        sums = sums.mapInArrow(finished, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double")
     return sums.select("doc_id", "n_tokens", "n_known", (F.col("base") - floor * F.col("n_tokens")).alias("base_score"), "score")
 
 
