@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from wattfleet.llm import alignment, brown_lm, decontaminate, fill_middle, fingerprints, langid, licenses, neardup, pieces, sharding, token_counts, toxicity
+from wattfleet.llm import alignment, brown_lm, decontaminate, fill_middle, fingerprints, langid, licenses, neardup, neighbours, pieces, sharding, token_counts, toxicity
 from wattfleet.llm.common import table
 
 SHARDS = 24
@@ -63,11 +63,15 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(table(spark, sf_dir, "documents"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_proportional_shards, op2_license_scan, op3_fingerprints, op4_brown_lm, op5_language_id, op6_near_dedup,
         op7_token_counts, op8_toxicity, op9_decontamination, op10_pieces, op11_fill_in_middle,
-        op12_token_alignment)
+        op12_token_alignment, op13_nearest_neighbours)
 } | {"pipeline": corpus_pipeline.run}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
