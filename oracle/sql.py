@@ -178,7 +178,7 @@ def _score() -> str:
         f"{c} * ({fc.BLEND[c]!r})" for c in MODEL_FEATURES if fc.BLEND.get(c)]])
 
 
-def forecast(temps: str, source: str) -> str:
+def forecast(temps: str, source: str, back: int = 24) -> str:
     """Recursive CTE over the series of ``merged``; ``temps`` is the CTE text of the temperatures."""
     cal = ", ".join(f"{e} AS {c}" for c, e in calendar("timestamp", 18).items())
     rest = """buf[-1] AS lag_1hr, buf[-24] AS lag_24hr, buf[-168] AS lag_168hr, list_avg(buf[-6:]) AS rolling_mean_6hr,
@@ -186,7 +186,7 @@ def forecast(temps: str, source: str) -> str:
       list_avg(buf[-168:]) AS rolling_mean_168hr, temps[step] AS air_temperature, area AS square_feet"""
     carried = ", ".join(MODEL_FEATURES)
     empty = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in MODEL_FEATURES)
-    return f"""cutoffs AS (SELECT building_id, meter, max(timestamp) - INTERVAL 24 HOUR AS cutoff FROM merged GROUP BY 1, 2),
+    return f"""cutoffs AS (SELECT building_id, meter, max(timestamp) - INTERVAL {back} HOUR AS cutoff FROM merged GROUP BY 1, 2),
 past AS (SELECT building_id, meter, cutoff, list(meter_reading_log ORDER BY timestamp) AS buf, any_value(CAST(square_feet AS DOUBLE)) AS area
   FROM merged JOIN cutoffs USING (building_id, meter)
   WHERE timestamp <= cutoff AND timestamp > cutoff - INTERVAL 168 HOUR GROUP BY 1, 2, 3 HAVING count(*) = 168),
@@ -211,6 +211,12 @@ OBSERVED = """temps AS (SELECT building_id, meter, list(air_temperature ORDER BY
   FROM merged JOIN cutoffs USING (building_id, meter) WHERE timestamp > cutoff
   GROUP BY 1, 2 HAVING count(air_temperature) = 24)"""
 GIVEN = """temps AS (SELECT building_id, meter, list_transform(range(24), lambda i: 18.5 + i % 5) AS temps FROM cutoffs)"""
+TABLE_WEATHER = """given AS (SELECT site_id, timestamp, air_temperature FROM weather_raw WHERE air_temperature IS NOT NULL OR site_id = 2),
+coming AS (SELECT c.building_id, c.meter, w.air_temperature, w.timestamp,
+    row_number() OVER (PARTITION BY c.building_id, c.meter ORDER BY w.timestamp) AS k
+  FROM cutoffs c JOIN building_meta b ON b.building_id = c.building_id JOIN given w ON w.site_id = b.site_id AND w.timestamp > c.cutoff),
+temps AS (SELECT building_id, meter, list(air_temperature ORDER BY timestamp) AS temps FROM coming WHERE k <= 24
+  GROUP BY 1, 2 HAVING count(air_temperature) = 24)"""
 FORECAST = (*DENSE_MERGED, forecast(OBSERVED, "dataset_observed"))
 _FC_COLS = "building_id, meter, timestamp, CAST(step AS BIGINT) AS step, weather_source, " + ", ".join(
     f"{r(c)} AS {c}" for c in ("predicted_log", "predicted_kwh")) + ", " + ", ".join(
@@ -423,6 +429,12 @@ around AS (SELECT building_id, meter, count_if(timestamp <= cutoff AND timestamp
   WHEN after < 24 THEN 'weather does not cover the horizon' ELSE 'weather is missing' END AS reason
   FROM around WHERE before < 168 OR after < 24 OR warm < 24""",
         "forecast_given_weather": with_(*DENSE_MERGED, forecast(GIVEN, "provided"), recursive=True) + f"SELECT {_FC_COLS} FROM forecast",
+        "forecast_table_weather": with_(*DENSE_MERGED, forecast(TABLE_WEATHER, "provided", 72), recursive=True) + f"SELECT {_FC_COLS} FROM forecast",
+        "forecast_table_weather_rejects": with_(*DENSE_MERGED, """cutoffs AS (SELECT building_id, meter, max(timestamp) - INTERVAL 72 HOUR AS cutoff FROM merged GROUP BY 1, 2),
+past AS (SELECT building_id, meter, count_if(timestamp <= cutoff AND timestamp > cutoff - INTERVAL 168 HOUR) AS before FROM merged JOIN cutoffs USING (building_id, meter) GROUP BY 1, 2)""",
+            TABLE_WEATHER, "ahead AS (SELECT building_id, meter, count(*) AS n, count(air_temperature) AS known FROM coming WHERE k <= 24 GROUP BY 1, 2)")
+        + """SELECT building_id, meter, CASE WHEN before < 168 THEN 'fewer than 168 readings' WHEN coalesce(n, 0) < 24 THEN 'weather does not cover the horizon'
+  ELSE 'weather is missing' END AS reason FROM past LEFT JOIN ahead USING (building_id, meter) WHERE before < 168 OR coalesce(n, 0) < 24 OR known < 24""",
         "forecast_summary": with_(*FORECAST, recursive=True) + f"""SELECT building_id, meter, count(*) AS horizon_hours, {r('sum(predicted_kwh)')} AS total_kwh,
   {r('avg(predicted_kwh)')} AS average_kwh, {r('max(predicted_kwh)')} AS peak_kwh, first(timestamp ORDER BY predicted_kwh DESC, step) AS peak_hour,
   {r('min(predicted_kwh)')} AS low_kwh, first(timestamp ORDER BY predicted_kwh, step) AS low_hour FROM forecast GROUP BY 1, 2""",
@@ -438,7 +450,27 @@ around AS (SELECT building_id, meter, count_if(timestamp <= cutoff AND timestamp
         "anomaly_classify": with_(*FEATURED, SCORED, streak(), TYPED) + f"SELECT {_KEYS}, {_RES}, streak_hours, anomaly_type, priority_rank FROM typed",
         "anomaly_points": with_(_POINTS, residual("points", "a", "e"), typed("scored", "rolling_mean_6hr_kwh", "rolling_mean_24hr_kwh"))
         + f"SELECT l_orderkey, l_linenumber, l_partkey, {_RES}, anomaly_type, priority_rank FROM typed",
-        "anomaly_report": with_(*week) + f"""SELECT building_id, meter, count(*) AS total_records, CAST(sum(is_anomaly) AS BIGINT) AS anomaly_count, {flat_counts}
+        "anomaly_model": with_(*FEATURED, f"""ready AS (SELECT *, {COMPLETE} AS whole, bool_and({COMPLETE}) OVER (PARTITION BY building_id, meter) AS all_whole,
+    greatest(exp({_score()}) - 1, 0.0) AS model, {MEAN6_EXPECTED} AS mean6 FROM features),
+sides AS (SELECT 'row' AS rule, *, CASE WHEN whole THEN model ELSE mean6 END AS e FROM ready
+  UNION ALL SELECT 'frame', *, CASE WHEN all_whole THEN model ELSE mean6 END FROM ready
+  UNION ALL SELECT 'complete frame', *, model FROM ready WHERE whole)""", residual("sides", "meter_reading", "e")) + f"SELECT rule, {_KEYS}, {_RES} FROM scored",
+        "monthly_kpis_model": with_(*FEATURED, f"""in_month AS (SELECT *, greatest(exp({_score()}) - 1, 0.0) AS model, {COMPLETE} AS whole,
+    bool_and({COMPLETE}) OVER (PARTITION BY building_id, meter) AS all_whole FROM features WHERE meter = 0 AND {month(2)}),
+expecting AS (SELECT *, CASE WHEN all_whole THEN model ELSE {MEAN6_EXPECTED} END AS e FROM in_month)""", residual("expecting", "meter_reading", "e"), """panel AS (
+  SELECT building_id, arg_max(exp(meter_reading_log) - 1, timestamp) AS current_kwh, arg_max(model, timestamp) AS predicted_kwh,
+    avg(exp(meter_reading_log) - 1) AS average_kwh, sum(exp(meter_reading_log) - 1) AS total_kwh FROM in_month WHERE whole GROUP BY 1),
+flags AS (SELECT building_id, CAST(sum(is_anomaly) AS BIGINT) AS anomaly_count FROM scored GROUP BY 1)""")
+        + f"""SELECT building_id, {", ".join(f"{r(c)} AS {c}" for c in ("current_kwh", "predicted_kwh", "average_kwh", "total_kwh"))}, anomaly_count,
+  {r('total_kwh * 0.7')} AS co2_kg, {r('(current_kwh - predicted_kwh) / predicted_kwh * 100')} AS delta_percent FROM panel LEFT JOIN flags USING (building_id)""",
+        "month_alerts_model": with_(*FEATURED, f"""in_month AS (SELECT *, greatest(exp({_score()}) - 1, 0.0) AS model,
+    bool_and({COMPLETE}) OVER (PARTITION BY building_id, meter) AS all_whole FROM features WHERE {month(2)}),
+expecting AS (SELECT *, CASE WHEN all_whole THEN model ELSE {MEAN6_EXPECTED} END AS e FROM in_month)""", residual("expecting", "meter_reading", "e"))
+        + f"""SELECT {_KEYS}, place, more, severity, {r('residual')} AS residual, strftime(timestamp, '%d %b %H:%M') AS shown_time
+  FROM (SELECT *, row_number() OVER ({W}) AS place, greatest(count(*) OVER (PARTITION BY building_id, meter) - 8, 0) AS more
+        FROM scored WHERE is_anomaly = 1) WHERE place <= 8""",
+        "unexpected_meters": """SELECT DISTINCT CAST(c_nationkey % 9 - 2 AS BIGINT) AS meter FROM customer WHERE c_nationkey % 9 - 2 NOT IN (0, 1, 2, 3)""",
+        "anomaly_report": with_(*week) + f"""SELECT building_id, meter, count(*) AS total_records, CAST(sum(is_anomaly) AS BIGINT) AS anomaly_count, CAST(0 AS BIGINT) AS forest_count, {flat_counts}
   FROM typed GROUP BY 1, 2""",
         "anomaly_flagged": with_(*week) + f"SELECT {_KEYS}, {_RES}, anomaly_type FROM typed WHERE is_anomaly = 1",
         "anomaly_overlay": with_(*FEATURED, SCORED) + f"""SELECT {_KEYS}, {r('exp(meter_reading_log) - 1')} AS marker_kwh, severity,
@@ -485,4 +517,8 @@ best AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY (timesta
   SELECT *, 'state_status is unknown', state_status = 'ODD' FROM candidates UNION ALL
   SELECT *, 'actual_kwh is not finite', NOT isfinite(actual_kwh) FROM candidates) WHERE bad""",
         "recommendations": _recommendations(),
+        "recommendation_lists": f"""SELECT s.building_id, s.meter, s.timestamp, s.state_status, coalesce(l.ids, '') AS ids, coalesce(l.n, 0) AS total_count
+  FROM ({with_(*STATE, recursive=True)} SELECT * FROM states) s LEFT JOIN (
+    SELECT building_id, meter, string_agg(recommendation_id, ',' ORDER BY rank) AS ids, count(*) AS n FROM ({_recommendations()}) GROUP BY 1, 2) l
+  ON s.building_id = l.building_id AND s.meter = l.meter""",
     }

@@ -9,7 +9,7 @@ to. Both ways give the same rows: NULL keys form a series of their own, NULL tim
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -68,18 +68,61 @@ def _positions(
     )
 
 
+#: Weights of the kinds of value in a packed count, of which any frame holds fewer than 2^16.
+_INFINITE, _OTHER = 1 << 16, 1 << 32
+_GRID = float(1 << 10)
+
+
+def sliding_means(w: WindowSpec, value: Column, names: Mapping[str, int], current: bool = False) -> list[dict[str, Column]]:
+    """Means of the last ``n`` rows, before the current one or with it, at a cost per row that does not grow with ``n``.
+
+    Two steps for ``trailing``: sums from the start of the series or segment, and their differences at two positions. Values are
+    cut into a multiple of 2^-10, whose sums are exact (below 2^43), and a rest that is small, so that a
+    difference carries no error of far larger values before the frame. NULL counts as absent, as in ``avg``; frames with
+    infinite or undefined values are told by their counts and give what ``avg`` gives.
+    """
+    v = value.cast("double")
+    finite = F.abs(v) < float("inf")
+    whole = F.rint(v * _GRID) / _GRID
+    count = F.when(finite, F.lit(1)).when(v == float("inf"), F.lit(_INFINITE)).when(v.isNotNull(), F.lit(_OTHER)).otherwise(F.lit(0))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0 if current else -1)
+    total = lambda c, zero: F.coalesce(F.sum(c).over(so_far), zero)
+    zero = F.lit(0.0)
+    sums = {"__p_whole": total(F.when(finite, whole), zero), "__p_rest": total(F.when(finite, v - whole), zero),
+            "__p_count": total(count.cast("long"), F.lit(0).cast("long"))}
+
+    def mean(n: int) -> Column:
+        between = lambda c: F.col(c) - F.coalesce(F.lag(c, n).over(w), F.lit(0))
+        packed = between("__p_count")
+        known = packed % _INFINITE
+        clean = (between("__p_whole") + between("__p_rest")) / F.nullif(known, F.lit(0))
+        return (F.when(packed == known, clean).when(packed >= _OTHER, F.lit(float("nan"))).otherwise(F.lit(float("inf"))))
+
+    return [sums, {name: mean(n) for name, n in names.items()}]
+
+
 def trailing(
     df: DataFrame,
-    make: Callable[[WindowSpec], dict[str, Column]],
+    make: Callable[[WindowSpec], dict[str, Column] | list[dict[str, Column]]],
     keys: Sequence[str] = SERIES_KEYS,
     order: Sequence[str] = ("timestamp",),
     reach: int = 168,
     split: bool | None = None,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Add window columns whose frames look back at most ``reach`` rows and never ahead."""
+    """Add window columns whose frames look back at most ``reach`` rows and never ahead.
+
+    ``make`` gives the columns, or several steps of which later ones may use earlier ones; columns
+    named ``__p_…`` are dropped at the end.
+    """
+    def added(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        steps = make(w)
+        for step in steps if isinstance(steps, list) else [steps]:
+            rows = rows.withColumns(step)
+        return rows.drop(*[c for c in rows.columns if c.startswith("__p_")])
+
     if not should_split(df, keys, split):
-        return df.withColumns(make(Window.partitionBy(*keys).orderBy(*_order(order))))
+        return added(df, Window.partitionBy(*keys).orderBy(*_order(order)))
     if reach > segment_rows:
         raise ValueError("a segment must be at least as long as the frames reach")
     own = F.struct(F.col(_SEG).alias("seg"), F.lit(True).alias("own"))
@@ -91,7 +134,7 @@ def trailing(
         .withColumn(_SEG, F.col("__to.seg")).withColumn(_OWN, F.col("__to.own")).drop("__to")
     )
     w = Window.partitionBy(*keys, _SEG).orderBy(_POS)
-    return copies.withColumns(make(w)).where(_OWN).drop(_POS, _SEG, _OWN)
+    return added(copies, w).where(_OWN).drop(_POS, _SEG, _OWN)
 
 
 def running_last(

@@ -15,19 +15,22 @@ CARBON_THRESHOLD = 1000.0
 RULES = [
     ("CRIT", "CRITICAL", "ANOMALY", "Critical reading",
      "Send someone to the meter's loads today.", "The severity of the latest reading is CRITICAL."),
-    ("ANOM", "HIGH", "ANOMALY", "Look into high demand",
-     "Inspect the schedules of heating, cooling and large equipment.", "Energy is well above its expected level."),
-    ("SPIKE", "HIGH", "ANOMALY", "Look into a sudden spike",
-     "Check for sudden load changes or unplanned equipment runs.", "Energy rose sharply over the last hours."),
-    ("PERS", "HIGH", "OPERATIONS", "Review lasting high demand",
-     "Review base loads and schedules over the affected hours.", "High demand has lasted for several readings."),
+    ("ANOM", "HIGH", "ANOMALY", "This hour is typed HIGH_DEMAND",
+     "Compare the hour with the same weekday of earlier weeks and list what ran in addition.",
+     "The reading lies over the warning ratio and neither a spike nor a streak explains it."),
+    ("SPIKE", "HIGH", "ANOMALY", "This hour is typed RAPID_SPIKE",
+     "Find out what was switched on within the last six hours.",
+     "The reading lies over its six-hour mean by more than the spike ratio."),
+    ("PERS", "HIGH", "OPERATIONS", "The type is PERSISTENT_HIGH",
+     "Plot the run of flagged hours against the night level and see where it began.",
+     "Flagged readings follow each other, or the day's mean is itself high."),
     ("LOW", "MEDIUM", "OPERATIONS", "Demand has dropped",
      "Ask for planned closures first, then test the sensor.",
      "The latest reading was typed LOW_DEMAND."),
     ("COST", "MEDIUM", "COST", "Tomorrow's bill is high",
      "List loads that can run at cheaper times.", "The 24-hour cost is over the limit given."),
-    ("CARB", "MEDIUM", "CARBON", "Review the carbon forecast",
-     "Consider saving energy in carbon-intensive hours.", "The forecast carbon exceeds its threshold."),
+    ("CARB", "MEDIUM", "CARBON", "Tomorrow's carbon is over its limit",
+     "Rank the 24 hours by their kilograms and start with the largest.", "The sum of hourly kilograms is over the limit given."),
     ("SIM", "LOW", "ENERGY", "A what-if run saves energy or money",
      "Try its change on one day and compare.", "Its total of energy or cost is negative against the baseline."),
     ("NORM", "INFO", "ENERGY", "Nothing to do",

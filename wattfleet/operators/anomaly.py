@@ -7,9 +7,9 @@ starts with the window.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattfleet.functions.scalars import kwh_from_log, non_negative
 from wattfleet.functions.series import running_last
@@ -52,8 +52,13 @@ def resolve_actual(df: DataFrame, actual: str | Column | None = None) -> Column:
 
 def resolve_expected(
     df: DataFrame, actual: Column, expected: str | Column | None = None, model: Column | None = None,
+    frame: Sequence[str] | None = None,
 ) -> Column:
-    """The expected energy; ``model`` is a prediction column, used for rows with all features."""
+    """The expected energy; ``model`` is a prediction column, used for rows with all features.
+
+    With ``frame``, the columns that tell report frames apart, a frame takes the model only if none of its rows lacks a
+    feature, and else the six-hour mean throughout.
+    """
     found = _column(df, expected)
     if found is None:
         named = [c for c in ("expected", "expected_kwh", "predicted", "predicted_kwh") if c in df.columns]
@@ -66,6 +71,8 @@ def resolve_expected(
                 found = F.when(mean6 > 0, kwh_from_log(mean6)).otherwise(actual)
             if model is not None and set(MODEL_FEATURES) <= set(df.columns):
                 complete = ~F.greatest(*[F.col(c).isNull() for c in MODEL_FEATURES])
+                if frame is not None:
+                    complete = F.every(complete).over(Window.partitionBy(*frame))
                 found = F.when(complete, model).otherwise(found)
     return non_negative(found.cast("double"))
 
@@ -89,10 +96,12 @@ def score_residual(df: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     })
 
 
-def add_residual(df, expected=None, actual=None, epsilon: float = EPSILON, model: Column | None = None) -> DataFrame:
+def add_residual(
+    df, expected=None, actual=None, epsilon: float = EPSILON, model: Column | None = None, frame: Sequence[str] | None = None,
+) -> DataFrame:
     """Resolve both sides and score the difference."""
     act = resolve_actual(df, actual)
-    exp = resolve_expected(df, act, expected, model)
+    exp = resolve_expected(df, act, expected, model, frame)
     return score_residual(df.withColumns({"actual_kwh": act, "expected_kwh": exp}), epsilon)
 
 
@@ -148,10 +157,10 @@ def classify(df: DataFrame, mean6: Column | None, mean24: Column | None, epsilon
 
 def analyze(
     df: DataFrame, expected=None, actual=None, epsilon: float = EPSILON, model: Column | None = None,
-    split: bool | None = None,
+    split: bool | None = None, frame: Sequence[str] | None = None,
 ) -> DataFrame:
     """All residual columns, the streak, and the type with its reason."""
-    scored = add_streak(add_residual(df, expected, actual, epsilon, model), split)
+    scored = add_streak(add_residual(df, expected, actual, epsilon, model, frame), split)
     mean = lambda c: kwh_from_log(F.col(c)) if c in df.columns else None
     return classify(scored, mean("rolling_mean_6hr"), mean("rolling_mean_24hr"), epsilon)
 
@@ -168,10 +177,10 @@ def analyze_points(points: DataFrame, epsilon: float = EPSILON) -> DataFrame:
 
 def detect(
     df: DataFrame, expected=None, forest_score: Callable[[DataFrame], DataFrame] | None = None,
-    model: Column | None = None, split: bool | None = None,
+    model: Column | None = None, split: bool | None = None, frame: Sequence[str] | None = None,
 ) -> DataFrame:
     """``analyze`` plus the forest signal, or its neutral values without a forest or its features."""
-    out = analyze(df, expected, model=model, split=split)
+    out = analyze(df, expected, model=model, split=split, frame=frame)
     if forest_score is not None and set(ANOMALY_FEATURES) <= set(df.columns):
         out = forest_score(out)
     else:

@@ -7,14 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 from wattfleet.functions.quantiles import exact_quantile, medians_row
 from wattfleet.functions.scalars import log_reading
 from wattfleet.functions.series import running_last
-from wattfleet.schema import FILLED_WEATHER, METER_NAMES, READING, SERIES_KEYS, TARGET_LOG
+from wattfleet.schema import FILLED_WEATHER, READING, SERIES_KEYS, TARGET_LOG
+from wattfleet.session import materialize
 
 
 def fill_weather(weather: DataFrame, split: bool | None = None) -> DataFrame:
     """Fill the four core measures per site forwards, then backwards, then by the overall median.
 
     The median is that of the already filled column and only reaches sites that never
-    reported the measure.
+    reported the measure. The filled rows, sites × hours, are written once, as the medians need them all before
+    the first can be completed.
     """
     columns = [c for c in FILLED_WEATHER if c in weather.columns]
     seen = lambda prefix: lambda _: {f"__{prefix}_{c}": F.col(c) for c in columns}
@@ -23,6 +25,7 @@ def fill_weather(weather: DataFrame, split: bool | None = None) -> DataFrame:
     both = running_last(ahead, seen("b"), ["site_id"], ["timestamp"], split, descending=True)
     filled = both.select(*[
         F.coalesce(f"__f_{c}", f"__b_{c}").alias(c) if c in columns else F.col(c) for c in weather.columns])
+    filled = materialize(filled, "weather")
     middle = medians_row(filled, columns).select(F.struct(*columns)).scalar()
     return (filled.withColumn("__mid", middle)
             .withColumns({c: F.coalesce(F.col(c), F.col("__mid")[c]) for c in columns}).drop("__mid"))
@@ -41,13 +44,10 @@ def filter_outliers(df: DataFrame, reading_col: str = READING, quantile_cutoff:
     positive = df.where(F.col(reading_col) > 0)
     if "meter" not in df.columns:
         return positive.where(F.col(reading_col) <= limits.scalar())
-    # Four meter codes at most are broadcast. Codes outside the contract, if there are any, take a
-    # plain join; on a table stored by meter that branch reads no file.
-    known = F.col("meter").isin(list(METER_NAMES))
-    listed = positive.where(known).join(F.broadcast(limits.where(known)), "meter")
-    unlisted = positive.where(~known).join(limits.where(~known), "meter")
-    return (listed.unionByName(unlisted)
-            .where(F.col(reading_col) <= F.col("limit")).select(*df.columns))
+    # Written, the limits have a known size: Spark broadcasts a few of them, so that the readings are
+    # cut in the scan, and joins by meter if there are very many.
+    limits = materialize(limits, "limits")
+    return positive.join(limits, "meter").where(F.col(reading_col) <= F.col("limit")).select(*df.columns)
 
 
 def merge_sources(readings: DataFrame, buildings: DataFrame, weather: DataFrame) -> DataFrame:

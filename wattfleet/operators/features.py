@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 from wattfleet.functions import scalars
 from wattfleet.functions.quantiles import median_of
 from wattfleet.functions.sampling import hash_sample
-from wattfleet.functions.series import trailing
+from wattfleet.functions.series import sliding_means, trailing
 from wattfleet.schema import ALL_COLUMNS, READING, SERIES_KEYS, TARGET_LOG
 
 MODEL_TABLE_REQUIRED = ["lag_1hr", "lag_24hr", "rolling_mean_6hr"]
@@ -36,13 +36,11 @@ def _lags(w: WindowSpec, target: str) -> dict[str, Column]:
     return {f"lag_{n}hr": F.lag(target, n).over(w) for n in (1, 24, 168)}
 
 
-def _rolling(w: WindowSpec, target: str) -> dict[str, Column]:
-    past = lambda n: w.rowsBetween(-n, -1)
-    y = F.col(target)
-    return {
-        **{f"rolling_mean_{n}hr": F.avg(y).over(past(n)) for n in (6, 24, 168)},
-        "rolling_std_24hr": F.coalesce(F.stddev_samp(y).over(past(24)), F.lit(0.0)),
-    }
+def _rolling(w: WindowSpec, target: str) -> list[dict[str, Column]]:
+    """Means as differences of running sums; the deviation, which these would not give exactly, over its own 24 rows."""
+    sums, means = sliding_means(w, F.col(target), {f"rolling_mean_{n}hr": n for n in (6, 24, 168)})
+    spread = F.coalesce(F.stddev_samp(F.col(target)).over(w.rowsBetween(-24, -1)), F.lit(0.0))
+    return [{**sums, "__p_spread": spread}, {**means, "rolling_std_24hr": F.col("__p_spread")}]
 
 
 def _backfill_week_lag(df: DataFrame) -> DataFrame:
@@ -75,14 +73,33 @@ def interaction_features(df: DataFrame, temperature_fill: Column | None = None)
     })
 
 
-def feature_table(df: DataFrame, closing_hour_open: bool = False, split: bool | None = None) -> DataFrame:
+def joined_median(
+    readings: DataFrame, buildings: DataFrame, weather: DataFrame, column: str = "air_temperature", refine: bool | None = None,
+) -> Column:
+    """The median that a weather column has in the merged table, without merging.
+
+    Each weather row counts as often as readings meet it. These counts, per site and hour, are
+    pre-aggregated from two columns of the readings and one of the buildings; only they meet the weather.
+    """
+    met = (readings.select("building_id", "timestamp").join(buildings.select("building_id", "site_id"), "building_id")
+           .groupBy("site_id", "timestamp").agg(F.count(F.lit(1)).alias("__met")))
+    met = met.join(weather.select("site_id", "timestamp", column), ["site_id", "timestamp"])
+    return median_of(met, column, refine, weight="__met")
+
+
+def feature_table(
+    df: DataFrame, closing_hour_open: bool = False, split: bool | None = None, temperature_fill: Column | None = None,
+) -> DataFrame:
     """All engineered columns over the merged table, in one window stage.
 
-    The temperature median is taken from the input, before the windows, so that its pass
-    reads one column.
+    Without ``temperature_fill`` the temperature median is taken from the input, before the windows, so that its pass
+    reads one column; where the sources are at hand, ``joined_median`` gives it without a second merge.
     """
-    fill = median_of(df, "air_temperature")
-    windows = lambda w: {**_lags(w, TARGET_LOG), **_rolling(w, TARGET_LOG)}
+    fill = median_of(df, "air_temperature") if temperature_fill is None else temperature_fill
+    def windows(w: WindowSpec) -> list[dict[str, Column]]:
+        first, second = _rolling(w, TARGET_LOG)
+        return [{**_lags(w, TARGET_LOG), **first}, second]
+
     out = trailing(df, windows, _keys(df, None), _order(df, TARGET_LOG), 168, split)
     out = _backfill_week_lag(calendar_features(out, closing_hour_open))
     out = interaction_features(out, fill)
@@ -97,7 +114,7 @@ def model_table(features: DataFrame) -> DataFrame:
 
 def band_baseline(df: DataFrame, reading: str = READING, split: bool | None = None) -> DataFrame:
     """Mean of the last 168 rows including the current one, with a band of half to one and a half."""
-    out = trailing(df, lambda w: {"baseline": F.avg(reading).over(w.rowsBetween(-167, 0))},
+    out = trailing(df, lambda w: sliding_means(w, F.col(reading), {"baseline": 168}, current=True),
                    _keys(df, None), _order(df, reading), 168, split)
     return out.withColumns({
         "upper_band": F.col("baseline") * 1.5,

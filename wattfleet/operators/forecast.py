@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from wattfleet.functions import scalars
 from wattfleet.functions.scalars import hours
-from wattfleet.schema import MODEL_FEATURES, READING, SERIES_KEYS, TARGET_LOG, column_type, require_columns
+from wattfleet.schema import MODEL_FEATURES, READING, SERIES_KEYS, TARGET_LOG, YEAR_MONTH, column_type, require_columns
 from wattfleet.session import materialize
+from wattfleet.sources import slices
 
 HISTORY_HOURS = 168
 HORIZON = 24
@@ -50,19 +51,15 @@ def history_buffers(history: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Per series with a cutoff: the 168 hours up to it, and why they do not serve (``reason``).
 
     Rows are first reduced per hour, before they meet the cutoffs, so a series with repeated rows
-    grows neither the join nor the buffer. Rows before the earliest window are pruned at the scan.
+    grows neither the join nor the buffer. Of a stored table only the months of the windows are read.
     """
-    earliest = cutoffs.agg((F.min("cutoff") - hours(HISTORY_HOURS - 1)).alias("t")).scalar()
     area = F.col("square_feet").cast("double") if "square_feet" in history.columns else F.lit(None).cast("double")
-    rows = (
-        history.where(F.col("timestamp") >= earliest)
-        .select(*SERIES_KEYS, "timestamp", _log_target(history).alias("y"), area.alias("area"))
-        .groupBy(*SERIES_KEYS, "timestamp")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y"), F.max("area").alias("area"))
-        .join(cutoffs, SERIES_KEYS)
-        .where((F.col("timestamp") <= F.col("cutoff"))
-               & (F.col("timestamp") > F.col("cutoff") - hours(HISTORY_HOURS)))
-    )
+    known = [c for c in (YEAR_MONTH,) if c in history.columns]
+    past = history.select(*SERIES_KEYS, "timestamp", _log_target(history).alias("y"), area.alias("area"), *known)
+    per_hour = lambda rows: rows.groupBy(*SERIES_KEYS, "timestamp", *known).agg(
+        F.count(F.lit(1)).alias("n"), F.max("y").alias("y"), F.max("area").alias("area"))
+    rows = slices.around(per_hour(past), cutoffs, "cutoff", hours(-HISTORY_HOURS), hours(0)).where(
+        F.col("timestamp") > F.col("cutoff") - hours(HISTORY_HOURS))
     apart = F.unix_micros(F.col("cutoff").cast("timestamp")) - F.unix_micros(F.col("timestamp").cast("timestamp"))
     aligned = apart % 3_600_000_000 == 0
     per_series = rows.groupBy(*SERIES_KEYS, "cutoff").agg(
@@ -92,13 +89,12 @@ def forecast_eligibility(history: DataFrame, cutoffs: DataFrame | None = None) -
 
 def observed_weather(df: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Temperatures of the 24 hours after each cutoff, from the table's own rows."""
-    first = cutoffs.agg(F.min("cutoff").alias("t")).scalar()
+    known = [c for c in (YEAR_MONTH,) if c in df.columns]
     ahead = (F.unix_micros(F.col("timestamp").cast("timestamp"))
              - F.unix_micros(F.col("cutoff").cast("timestamp"))) / 3600e6
+    hourly = df.groupBy(*SERIES_KEYS, "timestamp", *known).agg(F.min("air_temperature").alias("air_temperature"))
     return (
-        df.where(F.col("timestamp") > first)
-        .groupBy(*SERIES_KEYS, "timestamp").agg(F.min("air_temperature").alias("air_temperature"))
-        .join(cutoffs, SERIES_KEYS)
+        slices.around(hourly, cutoffs, "cutoff", hours(0), hours(HORIZON))
         .select(*SERIES_KEYS, ahead.alias("step"), "air_temperature")
         .where((F.col("step") > 0) & (F.col("step") <= HORIZON))
     )
@@ -116,6 +112,32 @@ def weather_from_list(cutoffs: DataFrame, values) -> DataFrame:
     return cutoffs.select(*SERIES_KEYS, F.explode(table).alias("w")).select(*SERIES_KEYS, "w.*")
 
 
+def weather_from_table(cutoffs: DataFrame, weather: DataFrame, buildings: DataFrame | None = None) -> DataFrame:
+    """Temperatures given as a table, taken as they come: the n-th row after a series' cutoff is its n-th hour.
+
+    ``weather`` has ``timestamp``, ``air_temperature`` and the keys it holds for: ``building_id``, both series keys, or
+    ``site_id``, which needs ``buildings``. Rows of one time count once, the lowest temperature of them; gaps
+    are not filled, so later rows move up. A missing or NaN temperature among the 24 rejects the series, and so do fewer than 24 rows
+    (``forecast_inputs`` states which). Rows up to the cutoff are not read. Series of one place and cutoff share one look-up.
+    """
+    require_columns(weather.columns, ["timestamp", "air_temperature"], "weather table")
+    keys = [c for c in (*SERIES_KEYS, "site_id") if c in weather.columns]
+    places = cutoffs
+    if "site_id" in keys:
+        if buildings is None:
+            raise ValueError("weather by site needs the buildings")
+        places = cutoffs.join(buildings.select("building_id", "site_id"), "building_id")
+    if not keys:
+        raise ValueError("the weather table names no building, meter or site")
+    temp = F.col("air_temperature").cast("double")
+    given = weather.groupBy(*keys, "timestamp").agg(F.min(F.when(~F.isnan(temp), temp)).alias("air_temperature"))
+    in_order = Window.partitionBy(*keys, "cutoff").orderBy("timestamp")
+    first = (
+        places.select(*keys, "cutoff").distinct().join(given, keys).where(F.col("timestamp") > F.col("cutoff"))
+        .withColumn("step", F.row_number().over(in_order)).where(F.col("step") <= HORIZON))
+    return places.join(first, [*keys, "cutoff"]).select(*SERIES_KEYS, F.col("step").cast("double").alias("step"), "air_temperature")
+
+
 def forecast_inputs(
     history: DataFrame, cutoffs: DataFrame, weather: DataFrame, source: str, buildings: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from wattfleet.functions.quantiles import median_of
 from wattfleet.operators.trees import Forest, boosted_nodes, collect_forest
 from wattfleet.schema import MODEL_FEATURES, TARGET_LOG, require_columns
 from wattfleet.session import materialize, scratch_path
+from wattfleet.sources import slices
 
 DEFAULT_AREA = 10000.0      # fixed value: floor area when no row knows one
 MISSING = -1.0e6            # stands for a missing feature, below every real value
@@ -21,7 +22,7 @@ def temporal_split(df: DataFrame, split_time, meter: int | None = 0) -> tuple[Da
     """(train, test): before the time, and on or after it; electricity unless told otherwise."""
     rows = df if meter is None else df.where(F.col("meter") == int(meter))
     at = F.lit(str(split_time)).cast("timestamp_ntz")
-    return rows.where(F.col("timestamp") < at), rows.where(F.col("timestamp") >= at)
+    return slices.before(rows, at), slices.between(rows, first=at)
 
 
 def prepare_features(df: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def train_gbt(
     With a validation table the number of trees is the one before ``patience`` rounds without a lower
     hold-out error. The learner's own stop asks each round for a relative gain, which small steps never
     reach; so ``first_rounds`` trees are fitted, doubled while the error still falls, and the best
-    prefix is fitted once more. Equal seeds give equal prefixes.
+    prefix of them is the model.
     """
     rows = train.select(*MODEL_FEATURES, TARGET_LOG, F.lit(False).alias("__held"))
     if validation is not None:
@@ -78,10 +79,24 @@ def train_gbt(
         fitted = learner.setMaxIter(rounds).fit(fit_rows)
         best, waited = best_prefix(fitted.evaluateEachIteration(held, "squared"), patience)
         if waited or rounds == max_iter:
-            return fitted if best == rounds else learner.setMaxIter(best).fit(fit_rows)
+            return first_trees(fitted, best)
         rounds = min(2 * rounds, max_iter)
 
 
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model of the first ``n`` trees: each tree was fitted to what the earlier ones left over, so none changes."""
+    whole = model._java_obj
+    if n >= len(whole.trees()):
+        return model
+    gateway, jvm = model._sc._gateway, model._sc._jvm
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = whole.trees()[i], whole.treeWeights()[i]
+    part = jvm.org.apache.spark.ml.regression.GBTRegressionModel(whole.uid(), trees, weights, whole.numFeatures())
+    return GBTRegressionModel._from_java(part.copy(whole.extractParamMap()))
+
+
 def best_prefix(errors: list[float], patience: int) -> tuple[int, bool]:
     """(trees with the lowest error before ``patience`` rounds without a lower one, whether these rounds passed)."""
     best = 0

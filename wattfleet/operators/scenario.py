@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattfleet.functions.scalars import is_finite, number, percent_of
 from wattfleet.operators.impact import CARBON, TARIFF, rates
@@ -57,8 +57,8 @@ def sweep(forecast: DataFrame, scenarios: Sequence[tuple[str, float]], keys=SERI
     """(hourly rows, rejected series) of every scenario.
 
     A series whose baseline holds a missing, infinite or negative value is rejected, and so is
-    a fixed addition that drives a series below zero: one small aggregate per series and
-    scenario tells which.
+    a fixed addition that drives a series below zero; no other scenario can make a sound baseline negative. Both
+    are known per series, before the scenarios are unfolded, from one window over its hours, whose exchange also serves the summary.
     """
     require_columns(forecast.columns, ["timestamp", "predicted_kwh"], "forecast")
     checked = [check_scenario(k, v) for k, v in scenarios]
@@ -73,21 +73,17 @@ def sweep(forecast: DataFrame, scenarios: Sequence[tuple[str, float]], keys=SERI
         .when(kind == "TEMPERATURE_CHANGE", base * warm)
         .otherwise(base * value)
     )
+    series = Window.partitionBy(*keys)
+    reason = (F.when(~F.col("__valid"), F.lit("baseline is missing, infinite or negative"))
+              .when((kind == "FIXED_KWH_ADDITION") & (F.col("__low") + value < 0), F.lit("energy would fall below zero")))
+    judged = forecast.withColumns({"__valid": F.every(valid_baseline(forecast)).over(series), "__low": F.min("predicted_kwh").over(series)})
     rows = (
-        forecast.withColumn("__s", F.explode(table)).select("*", "__s.*").drop("__s")
-        .withColumn("simulated_kwh", simulated).withColumn("__valid", valid_baseline(forecast))
-    )
-    rejects = (
-        rows.groupBy(*keys, "scenario_type", "scenario_value")
-        .agg(F.every("__valid").alias("valid"), F.min("simulated_kwh").alias("low"))
-        .withColumn("reason", F.when(~F.col("valid"), F.lit("baseline is missing, infinite or negative"))
-                    .when(F.col("low") < 0, F.lit("energy would fall below zero")))
-        .where("reason IS NOT NULL").drop("valid", "low")
+        judged.withColumn("__s", F.explode(table)).select("*", "__s.*").drop("__s")
+        .withColumn("simulated_kwh", simulated).withColumn("reason", reason)
     )
+    rejects = rows.where("reason IS NOT NULL").select(*keys, "scenario_type", "scenario_value", "reason").distinct()
     delta = F.col("simulated_kwh") - base
-    on = [*keys, "scenario_type", "scenario_value"]
-    bad = rejects.drop("reason").withColumnsRenamed({c: f"__r_{c}" for c in on})
-    hourly = rows.join(bad, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in on], "left_anti").select(
+    hourly = rows.where("reason IS NULL").select(
         *keys, "scenario_type", "scenario_value", "timestamp", base.alias("baseline_kwh"), "simulated_kwh",
         delta.alias("delta_kwh"), percent_of(delta, base).alias("delta_percent"))
     return hourly, rejects

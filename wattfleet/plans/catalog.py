@@ -13,9 +13,10 @@ from wattfleet.operators import (
 from wattfleet.plans import offline, reports
 from wattfleet.schema import (
     ALL_COLUMNS, CORRELATION_COLUMNS, IDENTIFIERS, MODEL_FEATURES, RAW_READINGS, RAW_WEATHER, SERIES_KEYS,
+    YEAR_MONTH,
 )
 from wattfleet.session import configure, scratch_path
-from wattfleet.sources import standin, tables
+from wattfleet.sources import slices, standin, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -47,30 +48,33 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 # ---- inputs --------------------------------------------------------------------
 
-def merged(spark, sf, rows: DataFrame | None = None) -> DataFrame:
+def merged(spark, sf) -> DataFrame:
+    return offline.merged_table(*_sources(spark, sf))
+
+
+def _sources(spark, sf, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = standin.readings(spark, sf) if rows is None else rows
-    return offline.merged_table(rows, standin.building_meta(spark, sf), standin.weather_raw(spark, sf))
+    return rows, standin.building_meta(spark, sf), standin.weather_raw(spark, sf)
 
 
 def built_features(spark, sf) -> DataFrame:
-    return features.feature_table(merged(spark, sf))
+    return offline.build_features(*_sources(spark, sf))
 
 
 def model_rows(spark, sf) -> DataFrame:
-    return offline.build_model_table(
-        standin.readings(spark, sf), standin.building_meta(spark, sf), standin.weather_raw(spark, sf))
+    return offline.build_model_table(*_sources(spark, sf))
 
 
 def dense_features(spark, sf) -> DataFrame:
-    return features.feature_table(merged(spark, sf, standin.dense(spark, sf)))
+    return offline.build_features(*_sources(spark, sf, standin.dense(spark, sf)))
 
 
 # Reports and models read tables and models that were made once, as they would in operation.
-_ONCE: dict[tuple[str, str, str], object] = {}
+_ONCE: dict[tuple, object] = {}
 
 
 def once(spark, sf, name: str, make: Callable[[], object]):
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, name, *(tables.stored_state(spark, f"{sf}/{t}.parquet") for t in standin.TABLES))
     if key not in _ONCE:
         _ONCE[key] = make()
     return _ONCE[key]
@@ -84,7 +88,8 @@ def stored(spark, sf, build: Query) -> DataFrame:
 
     path, schema = once(spark, sf, build.__name__, write)
     if not tables.path_exists(spark, path):
-        _ONCE.clear()
+        for key in [k for k, v in _ONCE.items() if v == (path, schema)]:
+            del _ONCE[key]
         path, schema = once(spark, sf, build.__name__, write)
     return tables.read_feature_table(spark, path, schema)
 
@@ -216,13 +221,20 @@ def value_counts(spark, sf):
 
 @query
 def validate_all(spark, sf):
-    return quality.validate_all(featured(spark, sf)).select(
+    return quality.validate_all(featured(spark, sf).drop(YEAR_MONTH)).select(
         "check", "passed", F.explode("metrics").alias("metric", "value"))
 
 
+@query
+def unexpected_meters(spark, sf):
+    """Meter codes outside the contract, by name."""
+    codes = standin.table(spark, sf, "customer").select((F.col("c_nationkey") % 9 - 2).cast("long").alias("meter"))
+    return quality.unexpected_meters(codes)
+
+
 @query
 def validation_verdict(spark, sf):
-    return quality.validation_summary(quality.validate_all(featured(spark, sf)))
+    return quality.validation_summary(quality.validate_all(featured(spark, sf).drop(YEAR_MONTH)))
 
 
 # ---- cleaning and features -------------------------------------------------------------
@@ -261,8 +273,9 @@ def rolling_features(spark, sf):
 
 @query
 def interactions(spark, sf):
-    rows = features.calendar_features(merged(spark, sf).select(*IDENTIFIERS, "meter_reading_log", "air_temperature"))
-    out = features.interaction_features(features.rolling_features(rows))
+    rows, fill = offline.merged_with_fill(*_sources(spark, sf))
+    rows = features.calendar_features(rows.select(*IDENTIFIERS, "meter_reading_log", "air_temperature"))
+    out = features.interaction_features(features.rolling_features(rows), fill)
     return rounded(out.select(*IDENTIFIERS, "temp_x_hour", "temp_x_weekend", "occupancy_proxy"))
 
 
@@ -353,6 +366,26 @@ def forecast_given_weather(spark, sf):
     return rounded(forecast.forecast_24h(table, cutoffs, temps)[0])
 
 
+def _table_weather(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Weather given per site, with holes, for forecasts from three days before the end."""
+    table = dense_table(spark, sf)
+    cutoffs = forecast.default_cutoffs(table, 72)
+    given = standin.weather_raw(spark, sf).where("air_temperature IS NOT NULL OR site_id = 2")
+    temps = forecast.weather_from_table(cutoffs, given, standin.building_meta(spark, sf))
+    return forecast.forecast_24h(table, cutoffs, temps)
+
+
+@query
+def forecast_table_weather(spark, sf):
+    return rounded(_table_weather(spark, sf)[0])
+
+
+@query
+def forecast_table_weather_rejects(spark, sf):
+    """Series whose given weather does not serve, or whose history does not, and why."""
+    return _table_weather(spark, sf)[1].select(*SERIES_KEYS, "reason")
+
+
 @query
 def forecast_summary(spark, sf):
     return rounded(summaries.forecast_summary(forecast_rows(spark, sf)))
@@ -469,12 +502,35 @@ def anomaly_reason(spark, sf):
     return anomaly.analyze(featured(spark, sf)).select(*IDENTIFIERS, "anomaly_type", "classification_reason")
 
 
+@query
+def anomaly_model(spark, sf):
+    """Expectations by a model: per row, per frame (no series is complete from its first row on), and per frame of complete rows."""
+    table = featured(spark, sf)
+    whole = table.dropna(subset=MODEL_FEATURES)
+    model = F.greatest(F.expm1(forecast.linear_log()), F.lit(0.0))
+    part = lambda rows, rule, frame: anomaly.add_residual(rows, model=model, frame=frame).select(
+        F.lit(rule).alias("rule"), *IDENTIFIERS, *_RESIDUAL)
+    return rounded(part(table, "row", None).unionByName(part(table, "frame", SERIES_KEYS))
+                   .unionByName(part(whole, "complete frame", SERIES_KEYS)))
+
+
+@query
+def monthly_kpis_model(spark, sf):
+    return rounded(reports.monthly_kpis(featured(spark, sf), MONTH, expect_model=True))
+
+
+@query
+def month_alerts_model(spark, sf):
+    return rounded(reports.month_alerts(featured(spark, sf), MONTH, forecast.linear_log()).select(
+        *IDENTIFIERS, "place", "more", "severity", "residual", "shown_time"))
+
+
 @query
 def anomaly_report(spark, sf):
     counts, _ = reports.anomaly_report(featured(spark, sf))
     entry = lambda m, k: F.coalesce(F.element_at(m, k), F.lit(0).cast("long"))
     return counts.select(
-        *SERIES_KEYS, "total_records", "anomaly_count",
+        *SERIES_KEYS, "total_records", "anomaly_count", "forest_count",
         *[entry("counts_by_severity", s).alias(f"n_{s.lower()}") for s in ("NORMAL", "WARNING", "CRITICAL")],
         *[entry("counts_by_type", t).alias(f"t_{t.lower()}") for t in anomaly.TYPE_RANK])
 
@@ -492,7 +548,7 @@ def anomaly_overlay(spark, sf):
 
 @query
 def top_anomalies(spark, sf):
-    scored = anomaly.add_residual(reports.month_rows(featured(spark, sf), MONTH))
+    scored = anomaly.add_residual(slices.calendar_month(featured(spark, sf), MONTH))
     return rounded(reports.top_anomalies(scored).select(
         *IDENTIFIERS, "place", "more", "severity", "residual", "shown_time"))
 
@@ -599,12 +655,24 @@ def twin_state_checks(spark, sf):
     return state.state_faults(rows).select("building_id", "meter", "timestamp", "fault")
 
 
-@query
-def recommendations(spark, sf):
+def _advised(spark, sf) -> tuple[DataFrame, DataFrame]:
     rows = forecast_rows(spark, sf)
     sweep, _ = scenario.sweep(rows, [("FIXED_KWH_ADDITION", -60.0)])
-    states = reports.fleet_state(dense_table(spark, sf), forecast_rows=rows)
-    out = advice.recommendations(states, scenario.scenario_summary(sweep), cost_threshold=13000.0)
+    states = _states(spark, sf)
+    return states, advice.recommendations(states, scenario.scenario_summary(sweep), cost_threshold=13000.0)
+
+
+@query
+def recommendation_lists(spark, sf):
+    """The list of each state as ids in order, and its length."""
+    out = advice.recommendation_lists(*_advised(spark, sf), stamp=False)
+    ids = F.array_join(F.transform("recommendations", lambda r: r["recommendation_id"]), ",")
+    return out.select(*SERIES_KEYS, "timestamp", "state_status", ids.alias("ids"), "total_count")
+
+
+@query
+def recommendations(spark, sf):
+    out = _advised(spark, sf)[1]
     return rounded(out.select(*SERIES_KEYS, "rank", "priority", "category", "priority_rank", "number", "recommendation_id"))
 
 

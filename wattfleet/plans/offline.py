@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from wattfleet.operators import cleaning, features
 
@@ -11,9 +11,16 @@ def merged_table(readings: DataFrame, buildings: DataFrame, weather: DataFrame)
     return cleaning.merge_sources(readings, buildings, cleaning.fill_weather(weather))
 
 
+def merged_with_fill(readings: DataFrame, buildings: DataFrame, weather: DataFrame) -> tuple[DataFrame, Column]:
+    """The merged table and its temperature median, which is found without merging a second time."""
+    filled = cleaning.fill_weather(weather)
+    return cleaning.merge_sources(readings, buildings, filled), features.joined_median(readings, buildings, filled)
+
+
 def build_features(readings: DataFrame, buildings: DataFrame, weather: DataFrame) -> DataFrame:
     """Features of readings that already are one row per series and hour."""
-    return features.feature_table(merged_table(readings, buildings, weather))
+    merged, fill = merged_with_fill(readings, buildings, weather)
+    return features.feature_table(merged, temperature_fill=fill)
 
 
 def build_model_table(readings: DataFrame, buildings: DataFrame, weather: DataFrame, quantile_cutoff: float = 0.999) -> DataFrame:

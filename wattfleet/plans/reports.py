@@ -12,6 +12,7 @@ from wattfleet.operators import advice, anomaly, forecast, impact, scenario, sta
 from wattfleet.operators.impact import CARBON, TARIFF
 from wattfleet.schema import MODEL_FEATURES, READING, SERIES_KEYS, TARGET_LOG
 from wattfleet.session import materialize
+from wattfleet.sources import slices
 from wattfleet.sources.tables import latest_timestamps
 
 MAX_LOOKBACK = 1000     # fixed value: longest look-back a report accepts
@@ -25,13 +26,6 @@ def references_at(table: DataFrame, time) -> DataFrame:
     return table.select(*SERIES_KEYS).distinct().withColumn("reference", F.lit(str(time)).cast("timestamp_ntz"))
 
 
-def lookback_window(table: DataFrame, references: DataFrame, back_hours: int) -> DataFrame:
-    """Rows of [reference − back_hours, reference] per series."""
-    first = references.agg((F.min("reference") - hours(back_hours)).alias("t")).scalar()
-    inside = (F.col("timestamp") <= F.col("reference")) & (F.col("timestamp") >= F.col("reference") - hours(back_hours))
-    return table.where(F.col("timestamp") >= first).join(references, SERIES_KEYS).where(inside)
-
-
 def anomaly_window(
     features: DataFrame, references: DataFrame | None = None, limit: int = 168, start_time=None, end_time=None,
     forest_score: Callable[[DataFrame], DataFrame] | None = None, expected=None,
@@ -44,11 +38,11 @@ def anomaly_window(
     if references is None:
         references = references_at_latest(features) if end_time is None else references_at(features, end_time)
     if start_time is None:
-        rows = lookback_window(features, references, limit - 1)
+        rows = slices.look_back(features, references, limit - 1)
     else:
         at = F.lit(str(start_time)).cast("timestamp_ntz")
-        rows = features.where(F.col("timestamp") >= at).join(references, SERIES_KEYS).where(
-            F.col("timestamp") <= F.col("reference"))
+        rows = slices.between(features, first=at, last=None if end_time is None else F.lit(str(end_time)).cast("timestamp_ntz"))
+        rows = rows.join(references, SERIES_KEYS).where(F.col("timestamp") <= F.col("reference"))
     return anomaly.detect(rows, expected=expected, forest_score=forest_score)
 
 
@@ -66,6 +60,13 @@ def anomaly_report(features: DataFrame, references: DataFrame | None = None, **w
     return counts, scored.where("is_anomaly = 1")
 
 
+def month_alerts(features: DataFrame, month: int, predicted_log: Column, n: int = 8) -> DataFrame:
+    """The first ``n`` alerts of each series in a month, against the model where the month is complete."""
+    rows = slices.calendar_month(features, month)
+    model = F.greatest(F.expm1(predicted_log), F.lit(0.0))
+    return top_anomalies(anomaly.add_residual(rows, model=model, frame=SERIES_KEYS), n)
+
+
 def top_anomalies(scored: DataFrame, n: int = 8, keys: Sequence[str] = SERIES_KEYS) -> DataFrame:
     """The first n flagged rows of each series and how many more there are.
 
@@ -111,7 +112,7 @@ def fleet_state(
     rows = forecast_report(features, references, scorer=scorer)[0] if forecast_rows is None else forecast_rows
     ahead = impact.hourly_impact(rows, tariff, carbon).groupBy(*SERIES_KEYS).agg(
         *state.forecast_figures(), *impact.impact_figures())
-    scored = anomaly.detect(lookback_window(features, references, 24), forest_score=forest_score).drop("reference")
+    scored = anomaly.detect(slices.look_back(features, references, 24), forest_score=forest_score).drop("reference")
     return state.build_state(references, state.row_at(scored, references), ahead, ahead)
 
 
@@ -119,17 +120,14 @@ def recommendation_report(states: DataFrame, scenarios: DataFrame | None = None,
     return advice.recommendations(states, scenarios, **thresholds)
 
 
-def month_rows(features: DataFrame, month: int) -> DataFrame:
-    return features.where(F.month("timestamp") == int(month))
-
-
 def monthly_kpis(features: DataFrame, month: int, predicted_log: Column | None = None, carbon: float = CARBON,
-                 meter: int = 0) -> DataFrame:
+                 meter: int = 0, expect_model: bool = False) -> DataFrame:
     """Month panel per building: last actual and predicted energy, mean, total, anomalies, carbon, delta.
 
-    Energy figures use complete feature rows; anomalies count all rows of the month.
+    Energy figures use complete feature rows; anomalies count all rows of the month, against the six-hour mean or,
+    with ``expect_model``, against the prediction in months of which every row is complete.
     """
-    rows = month_rows(features, month).where(F.col("meter") == int(meter))
+    rows = slices.calendar_month(features, month).where(F.col("meter") == int(meter))
     log = forecast.linear_log() if predicted_log is None else predicted_log
     clean = rows.dropna(subset=MODEL_FEATURES).withColumns({
         "actual": F.expm1(TARGET_LOG), "predicted": F.greatest(F.expm1(log), F.lit(0.0))})
@@ -137,7 +135,8 @@ def monthly_kpis(features: DataFrame, month: int, predicted_log: Column | None =
         F.max_by("actual", "timestamp").alias("current_kwh"),
         F.max_by("predicted", "timestamp").alias("predicted_kwh"),
         F.avg("actual").alias("average_kwh"), F.sum("actual").alias("total_kwh"))
-    flags = anomaly.add_residual(rows).groupBy("building_id").agg(F.sum("is_anomaly").alias("anomaly_count"))
+    model = F.greatest(F.expm1(log), F.lit(0.0)) if expect_model else None
+    flags = anomaly.add_residual(rows, model=model, frame=SERIES_KEYS).groupBy("building_id").agg(F.sum("is_anomaly").alias("anomaly_count"))
     delta = F.try_divide(F.col("current_kwh") - F.col("predicted_kwh"), F.col("predicted_kwh")) * 100
     return panel.join(flags, "building_id", "left").withColumns({
         "co2_kg": F.col("total_kwh") * float(carbon), "delta_percent": delta})
@@ -145,7 +144,7 @@ def monthly_kpis(features: DataFrame, month: int, predicted_log: Column | None =
 
 def anomaly_overlay(features: DataFrame, month: int, meter: int = 0) -> DataFrame:
     """Flagged rows of a month with the actual energy of the complete row at the same time, if any."""
-    rows = month_rows(features, month).where(F.col("meter") == int(meter))
+    rows = slices.calendar_month(features, month).where(F.col("meter") == int(meter))
     clean = rows.dropna(subset=MODEL_FEATURES).select(*SERIES_KEYS, "timestamp", F.expm1(TARGET_LOG).alias("actual"))
     flagged = anomaly.add_residual(rows).where("is_anomaly = 1").select(
         *SERIES_KEYS, "timestamp", F.expm1(TARGET_LOG).alias("marker_kwh"), "severity")
@@ -155,7 +154,7 @@ def anomaly_overlay(features: DataFrame, month: int, meter: int = 0) -> DataFram
 def explain_targets(features: DataFrame, month: int, at=None, meter: int = 0) -> DataFrame:
     """Per building the complete row to explain: the one at the chosen time, by default the time of the
     first flagged row, else the first complete row; the row of highest energy when nothing is flagged."""
-    rows = month_rows(features, month).where(F.col("meter") == int(meter))
+    rows = slices.calendar_month(features, month).where(F.col("meter") == int(meter))
     complete = ~F.greatest(*[F.col(c).isNull() for c in MODEL_FEATURES])
     scored = anomaly.add_residual(rows).withColumn("__whole", complete)
     row = F.struct(*[F.col(c) for c in features.columns])

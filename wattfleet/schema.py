@@ -46,6 +46,7 @@ SEVERITIES = ["NORMAL", "WARNING", "CRITICAL"]
 STATE_STATUSES = ["NORMAL", "WARNING", "CRITICAL", "UNAVAILABLE"]
 PRIORITY_RANK = {"CRITICAL": 1, "HIGH": 2, "MEDIUM": 3, "LOW": 4, "INFO": 5}
 CATEGORIES = ["ENERGY", "ANOMALY", "COST", "CARBON", "OPERATIONS"]
+YEAR_MONTH = "year_month"     # folder column of stored tables, beside meter
 MONTH_LABELS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 # ---- types -----------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wattfleet.functions.scalars import hours
 from wattfleet.schema import RAW_BUILDINGS, RAW_WEATHER
 
+TABLES = ("lineitem", "customer")      # the tables the views read
 HOURS = 2160
 SITES = 4
 SCENARIOS = [

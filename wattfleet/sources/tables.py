@@ -7,7 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from wattfleet.functions.scalars import null_if_nan
-from wattfleet.schema import BUILDING_ATTRIBUTES, IDENTIFIERS, SERIES_KEYS, require_columns
+from wattfleet.schema import BUILDING_ATTRIBUTES, IDENTIFIERS, SERIES_KEYS, YEAR_MONTH, require_columns
+from wattfleet.sources import slices
 
 SAMPLE_BUILDINGS = [0, 1, 2, 20, 100, 500]      # fixed value: the default extract
 
@@ -72,10 +73,7 @@ def load_slice(
         out = out.where(_matches("building_id", building_id))
     if meter is not None:
         out = out.where(_matches("meter", meter))
-    if start_time is not None:
-        out = out.where(F.col("timestamp") >= _time(start_time))
-    if end_time is not None:
-        out = out.where(F.col("timestamp") <= _time(end_time))
+    out = slices.between(out, *[None if t is None else _time(t) for t in (start_time, end_time)])
     if limit is not None or ordered:
         out = out.orderBy("timestamp", *[k for k in SERIES_KEYS if k in out.columns])
     if limit is not None:
@@ -144,17 +142,20 @@ def write_parquet(
 
 
 def write_feature_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The table the reports slice: one folder per meter, rows of a series together and in time order.
+    """The table the reports slice: folders by meter and month, in them rows of a series together and in time order.
 
     Rows leave the window stage hashed by series, so they are only sorted, not moved again.
     """
-    (df.sortWithinPartitions("meter", "building_id", "timestamp")
-       .write.mode(mode).option("compression", "zstd").partitionBy("meter").parquet(path))
+    (df.withColumn(YEAR_MONTH, slices.year_month(F.col("timestamp")))
+       .sortWithinPartitions("meter", YEAR_MONTH, "building_id", "timestamp")
+       .write.mode(mode).option("compression", "zstd").partitionBy("meter", YEAR_MONTH).parquet(path))
 
 
 def read_feature_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A stored feature table in its own column order (the folder column would come last)."""
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
+    """A stored feature table in its own column order, and its folder's month last, by which slices prune."""
+    names = [c for c in schema.names if c != YEAR_MONTH]
+    stored = T.StructType([*[schema[c] for c in names], T.StructField(YEAR_MONTH, T.IntegerType())])
+    return spark.read.schema(stored).parquet(path).select(*names, YEAR_MONTH)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -162,6 +163,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))
 
 
+def stored_state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Size and time of the last change of a table, by which a later version can be told apart."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(target).getLength()), int(fs.getFileStatus(target).getModificationTime())
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
