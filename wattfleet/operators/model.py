@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -88,7 +89,8 @@ def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
     whole = model._java_obj
     if n >= len(whole.trees()):
         return model
-    gateway, jvm = model._sc._gateway, model._sc._jvm
+    context = SparkContext.getOrCreate()
+    gateway, jvm = context._gateway, context._jvm
     trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
     weights = gateway.new_array(gateway.jvm.double, n)
     for i in range(n):
