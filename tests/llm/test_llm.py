@@ -300,3 +300,31 @@ def test_odd_rows_keep_their_number(spark, odd):
     for rows in (langid.report(none), toxicity.report(none, labels), token_counts.report(none), fingerprints.report(none),
                  sharding.proportional_shards(none, 24), brown_lm.report(none), pieces.report(none)):
         assert rows.count() == 0
+
+
+def test_pieces_replace_columns_of_their_names(spark):
+    public = pytest.importorskip("public_tokenizers")
+    own = pieces.load(public.path("piece_bpe_32k.model"))
+    rows = pieces.encoded(spark.createDataFrame([(1, "a text", "old", False)], "doc_id long, text string, piece_ids string, round_trip boolean"), own)
+    assert rows.columns == ["doc_id", "text", "piece_ids", "round_trip"] and rows.first()["piece_ids"] == own.encode("a text").tolist()
+    back = pieces.decoded(rows.withColumn("decoded", F.lit(1)), own)
+    assert back.columns[-1] == "decoded" and back.first()["decoded"] == "a text"
+
+
+def test_generations_of_chunks_change_nothing(docs, monkeypatch):
+    """With room for a few chunks only, every text gets the same ids, and what is remembered stays small."""
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("piece_bpe_32k.model")
+    whole, small = pieces.load(path), pieces.load(path)
+    raw = list(texts(docs).values())[:40]
+    want = [whole.encode(t).tolist() for t in raw]
+    monkeypatch.setattr(pieces, "TABLE", 5000)
+    assert [small.encode(t).tolist() for t in raw] == want and len(small._new) < len(whole._new)
+    assert small._lossy == set() and all(whole.encode_checked(t)[1] for t in raw)
+
+
+def test_a_chunk_that_does_not_come_back_is_told(docs):
+    own = pieces.Pieces({"a": (300, -1.0), " ": (301, -1.0)}, list(range(256)))
+    own.spelled[300] = b"b"
+    assert own.encode_checked("a")[1] is False and own.encode_checked("c")[1] is True
+    assert own.encode_checked("c a")[1] is False and own.encode_checked(None)[1] is True

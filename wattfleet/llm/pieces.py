@@ -6,13 +6,14 @@ over all segmentations, of equal sums the one with the longer last piece. A char
 that no piece covers costs ten below the least score and is spelled in byte pieces.
 
 No piece crosses the start of a run of blanks or a line break, so texts are cut there and equal
-chunks are solved once per task.
+chunks are solved once per task. Chunks that were met lately stay: when a generation of them is full, the one before it goes.
+A chunk is decoded when it is solved, so texts need no second pass to know that they come back.
 
 Decoding returns the text exactly. A U+2581 of the text itself, which the model's own mapping takes for a
 blank, is spelled in bytes here and so survives.
 
 Defined results: null and empty texts have no pieces, and no pieces decode to the empty text; texts of any length
-are processed whole; repeated rows give equal rows; other columns are ignored.
+are processed whole; repeated rows give equal rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from wattfleet.llm.common import extended
 
-#: Chunks one task remembers, beyond which it starts anew.
-TABLE = 300_000
+#: Bytes of solved chunks in each of the two generations that one task remembers.
+TABLE = 32 << 20
+#: Bytes of an entry besides its characters and ids.
+ENTRY = 180
 UNKNOWN_COST = 10.0
 
 
@@ -42,11 +45,17 @@ class Pieces:
             raise ValueError("a piece has a blank behind other characters; chunks could not be solved apart")
         breaks = "" if any("\n" in p for p in pieces) else "\n"
         self.chunks = re.compile(rf" +[^ {breaks}]*|[^ {breaks}]+" + (f"|{breaks}" if breaks else ""))
-        self._table: dict[str, bytes] = {}
-        self._scan = None
+        self._reset()
 
     def __getstate__(self):
-        return self.__dict__ | {"_scan": None, "_table": {}}
+        return self.__dict__ | {"_scan": None, "_new": {}, "_old": {}, "_held": 0, "_lossy": set()}
+
+    def _reset(self) -> None:
+        self._scan = None
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._held = 0
+        self._lossy: set[str] = set()           # chunks that do not come back
 
     def solve(self, chunk: str) -> list[int]:
         """Ids of one chunk's best segmentation."""
@@ -86,18 +95,28 @@ class Pieces:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text, with the model's blank in front."""
+        return self.encode_checked(text)[0]
+
+    def encode_checked(self, text: str | None) -> tuple[np.ndarray, bool]:
+        """Ids of a whole text, and whether they decode to it."""
         if not text:
-            return np.zeros(0, np.int32)
-        table, found = self._table, self.chunks.findall(" " + text)
-        for chunk in [c for c in set(found) if c not in table]:
-            if len(table) > TABLE:
-                table = self._table = {}
-                return self.encode(text) if len(set(found)) <= TABLE else self._large(found)
-            table[chunk] = np.array(self.solve(chunk), np.int32).tobytes()
-        return np.frombuffer(b"".join([table[c] for c in found]), np.int32)
-
-    def _large(self, found: list[str]) -> np.ndarray:
-        return np.array(list(chain.from_iterable(map(self.solve, found))), np.int32)
+            return np.zeros(0, np.int32), True
+        found, new = self.chunks.findall(" " + text), self._new
+        kinds = set(found)
+        for chunk in kinds.difference(new):
+            ids = self._old.get(chunk)
+            if ids is None:
+                solved = self.solve(chunk)
+                ids = np.array(solved, np.int32).tobytes()
+                if b"".join([self.spelled[i] for i in solved]) != chunk.encode("utf-8", "replace"):
+                    self._lossy.add(chunk)
+            new[chunk] = ids
+            self._held += len(chunk) + len(ids) + ENTRY
+        out = np.frombuffer(b"".join([new[c] for c in found]), np.int32)
+        if self._held > TABLE:
+            self._old, self._new, self._held = new, {}, 0
+        good = not self._lossy or self._lossy.isdisjoint(kinds) or self.decode(out.tolist()) == text
+        return out, good
 
     def decode(self, ids) -> str:
         """The text of ``encode``."""
@@ -129,7 +148,11 @@ def default_path() -> str:
 
 
 def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """All columns of ``docs`` with ``piece_ids`` and ``round_trip``, whether they decode to the text."""
+    """All columns of ``docs`` with ``piece_ids`` and ``round_trip``, whether they decode to the text.
+
+    Columns of these two names in ``docs`` are replaced.
+    """
+    docs = docs.drop("piece_ids", "round_trip")
     sent = docs.sparkSession.sparkContext.broadcast(pieces)      # bounded by the vocabulary
 
     def run(batches):
@@ -137,8 +160,7 @@ def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 texts = part["text"].to_pylist()
-                ids = [own.encode(t) for t in texts]
-                same = [own.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
+                ids, same = zip(*map(own.encode_checked, texts), strict=True)
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(same)], [*part.schema.names, "piece_ids", "round_trip"])
@@ -147,7 +169,8 @@ def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """All columns of ``rows`` with ``decoded``, the text of ``piece_ids``; null ids decode to the empty text."""
+    """All columns of ``rows`` with ``decoded`` (replaced if it is there), the text of ``piece_ids``; null ids decode to the empty text."""
+    rows = rows.drop("decoded")
     sent = rows.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches):
