@@ -89,11 +89,11 @@ def fingerprints(docs: DataFrame, fraction: int = FRACTION) -> DataFrame:
     # Both joins read these two columns alone, so that the texts are dealt out once.
     full = docs.select(F.coalesce("doc_id", lowest).alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
     order = with_next(full.select(F.col("__id").alias("doc_id"))).withColumnRenamed("doc_id", "__id")
-    # A document sends the part that the one before it needs, and its sketch, instead of its text.
+    # A document sends the part that the one before it needs, and its sketch, instead of its text. The sketch is made
+    # behind the join, so that the exchange in front of it is the one that the second join reads again.
     need = (full.groupBy("__id").agg(F.max(F.expr("char_length(text) div 3")).alias("take"))
             .join(order, "__id").select(F.col("next_id").alias("__at"), F.col("__id").alias("__to"), "take"))
-    source = with_sketch(full, "text", "next_sketch", fraction)
-    sent = source.join(need, source["__id"] == need["__at"]).select(
+    sent = with_sketch(full.join(need, F.col("__id") == F.col("__at")).select("__to", "take", "text"), "text", "next_sketch", fraction).select(
         F.col("__to").alias("__id"), F.expr("substring(text, 1, cast(take as int))").alias("piece"), "next_sketch")
     sent = sent.groupBy("__id").agg(F.min(F.struct("piece", "next_sketch")).alias("s")).select("__id", "s.*")
     rows = full.join(sent, "__id").withColumn("n_chars", F.char_length("text").cast("long"))
