@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from wattfleet.operators import forecast as fc
-from wattfleet.operators.advice import RULES
-from wattfleet.operators.quality import CRITICAL_COLUMNS
-from wattfleet.schema import (
-    ALL_COLUMNS, ANOMALY_FEATURES, CORRELATION_COLUMNS, FILLED_WEATHER, MODEL_FEATURES, PRIORITY_RANK, column_type,
+from oracle.contract import (
+    ALL_COLUMNS, ANOMALY_FEATURES, BLEND, CORRELATION_COLUMNS, CRITICAL_COLUMNS, FILLED_WEATHER, HOURS, MODEL_FEATURES, PRIORITY_RANK,
+    RULES, SCENARIOS, WHOLE_NUMBERS, is_double,
 )
-from wattfleet.sources.standin import HOURS, SCENARIOS
 
 W = "PARTITION BY building_id, meter ORDER BY timestamp"
 
@@ -22,8 +19,7 @@ def cols(names, prefix: str = "") -> str:
     """Columns with doubles rounded."""
     out = []
     for c in names:
-        double = column_type(c).simpleString() == "double" and c not in ("timestamp",)
-        out.append(f"{r(prefix + c)} AS {c}" if double else f"{prefix}{c}")
+        out.append(f"{r(prefix + c)} AS {c}" if is_double(c) else f"{prefix}{c}")
     return ", ".join(out)
 
 
@@ -164,6 +160,23 @@ def typed(source: str, mean6: str, mean24: str, name: str = "typed") -> str:
     WHEN 'PERSISTENT_HIGH' THEN 4 ELSE 5 END AS BIGINT) AS priority_rank FROM {name}_kind)"""
 
 
+def reason(mean6: str, mean24: str) -> str:
+    """The sentence that says why a row has its type; numbers with one decimal, halves away from zero."""
+    one = lambda e: f"printf('%.1f', round({e}, 1))"
+    pct, kwh = lambda e: f"{one(f'({e}) * 100.0')} || '%'", lambda e: f"{one(e)} || ' kWh'"
+    surge = f"(actual_kwh - {mean6}) / greatest({mean6}, 0.001)"
+    act, exp, ratio = kwh("actual_kwh"), kwh("expected_kwh"), pct("deviation_ratio")
+    return f"""CASE
+    WHEN severity = 'NORMAL' THEN 'Within the normal range, deviation ' || {ratio} || '.'
+    WHEN residual < 0 THEN 'Demand of ' || {act} || ' is ' || {pct('abs(deviation_ratio)')} || ' below the expected ' || {exp} || '.'
+    WHEN {mean6} > 0 AND {surge} > 0.35 AND deviation_ratio > 0.35 THEN 'Demand jumped to ' || {act} || ', ' || {pct(surge)}
+      || ' over the six-hour mean of ' || {kwh(mean6)} || ' and ' || {ratio} || ' over the expected level.'
+    WHEN streak_hours >= 3 THEN 'Demand stayed high for ' || streak_hours || ' readings in a row (' || {act} || ' against ' || {exp} || ' expected).'
+    WHEN {mean24} > 0 AND {mean24} > 1.25 * expected_kwh AND deviation_ratio > 0.25 THEN 'The day mean of ' || {kwh(mean24)} || ' is high against the expected '
+      || {exp} || coalesce(' by ' || {pct(f'({mean24} - expected_kwh) / nullif(expected_kwh, 0)')}, '') || '; demand is now ' || {ratio} || ' over it.'
+    ELSE 'Demand of ' || {act} || ' exceeds the expected ' || {exp} || ' by ' || {ratio} || '.' END"""
+
+
 TYPED = typed("streaked", "(exp(rolling_mean_6hr) - 1)", "(exp(rolling_mean_24hr) - 1)")
 _KEYS = "building_id, meter, timestamp"
 _RES = ", ".join([*[f"{r(c)} AS {c}" for c in (
@@ -174,8 +187,8 @@ _RES = ", ".join([*[f"{r(c)} AS {c}" for c in (
 # ---- forecasts -------------------------------------------------------------
 
 def _score() -> str:
-    return " + ".join([repr(fc.BLEND["intercept"]), *[
-        f"{c} * ({fc.BLEND[c]!r})" for c in MODEL_FEATURES if fc.BLEND.get(c)]])
+    return " + ".join([repr(BLEND["intercept"]), *[
+        f"{c} * ({BLEND[c]!r})" for c in MODEL_FEATURES if BLEND.get(c)]])
 
 
 def forecast(temps: str, source: str, back: int = 24) -> str:
@@ -220,7 +233,7 @@ temps AS (SELECT building_id, meter, list(air_temperature ORDER BY timestamp) AS
 FORECAST = (*DENSE_MERGED, forecast(OBSERVED, "dataset_observed"))
 _FC_COLS = "building_id, meter, timestamp, CAST(step AS BIGINT) AS step, weather_source, " + ", ".join(
     f"{r(c)} AS {c}" for c in ("predicted_log", "predicted_kwh")) + ", " + ", ".join(
-    f"CAST({c} AS BIGINT) AS {c}" if column_type(c).simpleString() == "bigint" and c != "square_feet" else f"{r(c)} AS {c}"
+    f"CAST({c} AS BIGINT) AS {c}" if c in WHOLE_NUMBERS and c != "square_feet" else f"{r(c)} AS {c}"
     for c in MODEL_FEATURES)
 IMPACT = """impact AS (SELECT *, predicted_kwh * 8.0 AS hourly_cost, predicted_kwh * 0.7 AS hourly_carbon_kg FROM forecast)"""
 _IMPACT_SUM = """impact_sum AS (SELECT building_id, meter, sum(predicted_kwh) AS total_kwh, sum(hourly_cost) AS total_cost,
@@ -243,6 +256,47 @@ sweep_sum AS (SELECT building_id, meter, scenario_type, scenario_value,
     {", ".join(f"sum({s}_kwh) AS {s}_total_kwh, max({s}_kwh) AS {s}_peak_kwh, first(timestamp ORDER BY {s}_kwh DESC, step) AS {s}_peak_hour" for s in ("baseline", "simulated"))}
   FROM sweep GROUP BY 1, 2, 3, 4)"""
 
+# ---- isolation forest ----------------------------------------------------------
+
+def isolation_forest(trees: int = 100, rows: int = 256, depth: int = 8, seed: int = 42) -> str:
+    """CTEs that draw and grow the forest on the complete rows of ``model_rows``, walk the rows of ``features`` and ``model_rows``
+    down it, and cut at the 5 % quantile: ``forest_nodes``, ``forest_cut``, ``forest_scored``."""
+    f = [f"CAST({c} AS DOUBLE)" for c in ANOMALY_FEATURES]
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in ANOMALY_FEATURES)
+    path = lambda n: f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649015329) - 2.0 * ({n} - 1) / {n} WHEN {n} = 2 THEN 1.0 ELSE 0.0 END"
+    width = range(1, len(f) + 1)
+    ctes = [f"""pool AS (SELECT x, row_number() OVER (ORDER BY d, building_id, meter, timestamp) - 1 AS place FROM (
+    SELECT *, [{", ".join(f)}] AS x, md5('{seed}|' || building_id || '|' || meter || '|' || strftime(timestamp, '%Y-%m-%d %H:%M:%S')) AS d
+    FROM model_rows WHERE {whole}) QUALIFY row_number() OVER (ORDER BY d, building_id, meter, timestamp) <= {trees * rows})""",
+            f"""level0 AS (SELECT CAST(t AS BIGINT) AS tree, CAST(0 AS BIGINT) AS node, x FROM range({trees}) a(t), range({rows}) b(i), (SELECT count(*) AS p FROM pool) c
+    JOIN pool ON place = (t * least({rows}, p) + i) % p WHERE i < p)"""]
+    for k in range(depth + 1):
+        ctes.append(f"""size{k} AS (SELECT tree, node, count(*) AS n, [{", ".join(f"min(x[{i}])" for i in width)}] AS lo,
+    [{", ".join(f"max(x[{i}])" for i in width)}] AS hi, md5('{seed}|' || tree || '|' || node) AS d FROM level{k} GROUP BY 1, 2)""")
+        ctes.append(f"""usable{k} AS (SELECT *, list_filter(range(1, {len(f) + 1}), lambda i: hi[i] > lo[i]) AS u FROM size{k}),
+pick{k} AS (SELECT *, CASE WHEN len(u) > 0 AND n > 1 AND {k} < {depth} THEN u[CAST(('0x' || d[1:8])::BIGINT % len(u) + 1 AS BIGINT)] END AS j FROM usable{k}),
+node{k} AS (SELECT tree, node, {k} AS depth, n, CASE WHEN cut < hi[j] THEN j END AS j, cut, {k} + {path("n")} AS value
+    FROM (SELECT *, lo[j] + ('0x' || d[9:16])::BIGINT / 4294967296.0::DOUBLE * (hi[j] - lo[j]) AS cut FROM pick{k}))""")
+        if k < depth:
+            ctes.append(f"""level{k + 1} AS (SELECT tree, CASE WHEN x[j] <= cut THEN 2 * node + 1 ELSE 2 * node + 2 END AS node, x
+    FROM level{k} JOIN node{k} USING (tree, node) WHERE j IS NOT NULL)""")
+    ctes.append("forest_nodes AS (" + " UNION ALL ".join(f"SELECT * FROM node{k}" for k in range(depth + 1)) + ")")
+    ctes.append(f"""asked AS (SELECT 'features' AS side, building_id, meter, timestamp, [{", ".join(f)}] AS x FROM features WHERE {whole}
+  UNION ALL SELECT 'model', building_id, meter, timestamp, [{", ".join(f)}] FROM model_rows WHERE {whole}),
+walk0 AS (SELECT side, building_id, meter, timestamp, x, CAST(t AS BIGINT) AS tree, CAST(0 AS BIGINT) AS node FROM asked, range({trees}) a(t))""")
+    for k in range(depth):
+        ctes.append(f"""walk{k + 1} AS (SELECT side, building_id, meter, timestamp, x, w.tree,
+    CASE WHEN j IS NULL THEN w.node WHEN x[j] <= cut THEN 2 * w.node + 1 ELSE 2 * w.node + 2 END AS node
+  FROM walk{k} w JOIN forest_nodes f ON f.tree = w.tree AND f.node = w.node)""")
+    ctes.append(f"""most AS (SELECT max(n) AS m FROM forest_nodes WHERE node = 0),
+depths AS (SELECT side, building_id, meter, timestamp, sum(value) / {trees} AS deep FROM walk{depth} JOIN forest_nodes USING (tree, node) GROUP BY 1, 2, 3, 4),
+judged AS (SELECT side, building_id, meter, timestamp, round(-pow(2.0, -deep / greatest({path("m")}, 1e-9)), 9) AS score FROM depths, most),
+forest_cut AS (SELECT quantile_cont(score, 0.05) AS cut FROM judged WHERE side = 'model'),
+forest_scored AS (SELECT building_id, meter, timestamp, score AS isoforest_score, coalesce(score < cut, FALSE) AS isolated
+  FROM (SELECT building_id, meter, timestamp FROM features) LEFT JOIN (SELECT * FROM judged WHERE side = 'features') USING (building_id, meter, timestamp), forest_cut)""")
+    return ",\n".join(ctes)
+
+
 # ---- states ------------------------------------------------------------------
 
 _STATE_WINDOW = """refs AS (SELECT building_id, meter, max(timestamp) AS reference FROM features GROUP BY 1, 2),
@@ -356,6 +410,14 @@ def oracle_sql() -> dict[str, str]:
     week = (*FEATURED, """refs AS (SELECT building_id, meter, max(timestamp) AS reference FROM features GROUP BY 1, 2),
 recent AS (SELECT f.*, reference FROM features f JOIN refs USING (building_id, meter) WHERE timestamp >= reference - INTERVAL 167 HOUR)""",
             residual("recent", "meter_reading", MEAN6_EXPECTED), streak(), TYPED)
+    model_merged = merged("cleaned").replace("merged AS", "model_merged AS", 1)
+    model_features = FEATURES
+    for name in ("windowed", "temp_mid", "features", "merged"):
+        model_features = model_features.replace(f"FROM {name}", f"FROM model_{name}").replace(f"{name} AS (", f"model_{name} AS (")
+    model_features = model_features.replace("FROM model_windowed, temp_mid", "FROM model_windowed, model_temp_mid")
+    forest_parts = (*FEATURED, CLEAN, model_merged, model_features, """model_rows AS (SELECT * FROM model_features
+  WHERE lag_1hr IS NOT NULL AND lag_24hr IS NOT NULL AND rolling_mean_6hr IS NOT NULL)""", isolation_forest())
+    forested = with_(*forest_parts)
     return {
         "load_slice": with_(READINGS) + f"""SELECT {slice_cols} FROM readings WHERE building_id = 1 AND meter = 0
   AND timestamp >= TIMESTAMP '2024-01-10' AND timestamp <= TIMESTAMP '2024-01-20 23:00:00' ORDER BY timestamp LIMIT 150""",
@@ -470,6 +532,18 @@ expecting AS (SELECT *, CASE WHEN all_whole THEN model ELSE {MEAN6_EXPECTED} END
   FROM (SELECT *, row_number() OVER ({W}) AS place, greatest(count(*) OVER (PARTITION BY building_id, meter) - 8, 0) AS more
         FROM scored WHERE is_anomaly = 1) WHERE place <= 8""",
         "unexpected_meters": """SELECT DISTINCT CAST(c_nationkey % 9 - 2 AS BIGINT) AS meter FROM customer WHERE c_nationkey % 9 - 2 NOT IN (0, 1, 2, 3)""",
+        "anomaly_reason": with_(*FEATURED, SCORED, streak(), TYPED) + f"""SELECT {_KEYS}, anomaly_type,
+  {reason("(exp(rolling_mean_6hr) - 1)", "(exp(rolling_mean_24hr) - 1)")} AS classification_reason FROM typed""",
+        "isoforest_fit": forested + f"""SELECT tree AS tree_id, max(CASE WHEN node = 0 THEN n END) AS sample_rows, count(*) AS nodes,
+  {r('sum(CASE WHEN j IS NULL THEN value END)')} AS leaf_depths, (SELECT {r('cut')} FROM forest_cut) AS cut FROM forest_nodes GROUP BY 1""",
+        "isoforest_score": forested + f"""SELECT {_KEYS}, {r('isoforest_score')} AS isoforest_score, CAST(CASE WHEN isolated THEN -1 ELSE 1 END AS BIGINT) AS anomaly_score,
+  CAST(isolated AS BIGINT) AS isoforest_anomaly FROM forest_scored""",
+        "isoforest_persist": forested + f"SELECT {_KEYS} FROM forest_scored WHERE isolated",
+        "isoforest_summary": forested + f"""SELECT building_id, meter, CAST(sum(CAST(isolated AS BIGINT)) AS BIGINT) AS flags, {r('avg(isoforest_score)')} AS mean_score
+  FROM forest_scored GROUP BY 1, 2""",
+        "anomaly_detect": with_(*forest_parts, SCORED, streak(), TYPED) + f"""SELECT {_KEYS}, {_RES}, anomaly_type, CAST(isolated AS BIGINT) AS isoforest_anomaly,
+  {r('isoforest_score')} AS isoforest_score, CAST(CASE WHEN isolated THEN -1 ELSE 1 END AS BIGINT) AS anomaly_score
+  FROM typed JOIN forest_scored USING (building_id, meter, timestamp)""",
         "anomaly_report": with_(*week) + f"""SELECT building_id, meter, count(*) AS total_records, CAST(sum(is_anomaly) AS BIGINT) AS anomaly_count, CAST(0 AS BIGINT) AS forest_count, {flat_counts}
   FROM typed GROUP BY 1, 2""",
         "anomaly_flagged": with_(*week) + f"SELECT {_KEYS}, {_RES}, anomaly_type FROM typed WHERE is_anomaly = 1",

@@ -191,3 +191,48 @@ def test_first_trees_equal_a_shorter_fit(spark):
     assert part.getNumTrees == 4 and part.numFeatures == len(MODEL_FEATURES)
     score = lambda m: [r[0] for r in model.predict(df.limit(50), m).select("predicted_log").collect()]
     np.testing.assert_allclose(score(part), score(short), rtol=1e-12)
+
+
+# ---- stamps, contract values, draws ------------------------------------------
+
+def test_stamps_are_utc_and_set_apart(spark):
+    import json
+    import re
+    from datetime import datetime, timezone
+
+    from wattfleet.operators import state
+
+    ref = spark.createDataFrame([(1, 0, "2024-05-01 12:00:00")], "building_id long, meter long, reference string").withColumn(
+        "reference", F.col("reference").cast("timestamp_ntz"))
+    states = state.build_state(ref)
+    stamped, plain = (json.loads(state.state_json(states, stamp=s).first()["state"]) for s in (True, False))
+    at = stamped.pop("generated_at")
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", at) and stamped == plain
+    assert abs((datetime.now(timezone.utc) - datetime.strptime(at, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc)).total_seconds()) < 120
+
+
+def test_contract_values_agree_with_their_copies():
+    from oracle import contract
+    from wattfleet import schema
+    from wattfleet.operators import advice, quality
+    from wattfleet.sources import standin
+
+    for name in ("ALL_COLUMNS", "MODEL_FEATURES", "ANOMALY_FEATURES", "CORRELATION_COLUMNS", "FILLED_WEATHER", "PRIORITY_RANK"):
+        assert getattr(contract, name) == getattr(schema, name), name
+    assert contract.BLEND == fc.BLEND and contract.CRITICAL_COLUMNS == quality.CRITICAL_COLUMNS
+    assert contract.RULES == [r[:3] for r in advice.RULES]
+    assert (contract.HOURS, contract.SCENARIOS) == (standin.HOURS, standin.SCENARIOS)
+
+
+def test_forest_draws_go_round_a_short_table(spark):
+    from wattfleet.operators import forest
+    from wattfleet.schema import ANOMALY_FEATURES, IDENTIFIERS
+
+    rng = np.random.default_rng(1)
+    rows = [(1, 0, f"2024-01-{1 + i // 24:02d} {i % 24:02d}:00:00", *map(float, rng.normal(size=8))) for i in range(60)]
+    df = spark.createDataFrame(rows, [*IDENTIFIERS, *ANOMALY_FEATURES]).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    found = forest.fit(df, trees=5, sample_rows=16)
+    assert set(found.forest.cover[found.forest.roots]) == {16.0}
+    short = forest.fit(df.limit(7), trees=3, sample_rows=16)
+    assert set(short.forest.cover[short.forest.roots]) == {7.0}
+    assert len(forest.fit(df.limit(0), trees=3, sample_rows=16).forest.roots) == 0

@@ -1,7 +1,12 @@
-"""Isolation forest (Liu, Ting, Zhou 2008) as the secondary anomaly signal."""
+"""Isolation forest (Liu, Ting, Zhou 2008) as the secondary anomaly signal.
+
+Every draw, of rows, of split features and of cuts, is a digest of names (row key, tree, node), so a fit can be repeated
+anywhere, in SQL too, and does not depend on partitions or on a generator's state.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,15 +14,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wattfleet.functions.quantiles import exact_quantile
-from wattfleet.functions.sampling import SEED, hash_sample
+from wattfleet.functions.sampling import SEED
+from wattfleet.operators.model import described
 from wattfleet.operators.trees import NODE_COLUMNS, Forest, collect_forest
-from wattfleet.schema import ANOMALY_FEATURES, IDENTIFIERS, require_columns
+from wattfleet.schema import ANOMALY_FEATURES, IDENTIFIERS, SERIES_KEYS, require_columns
 from wattfleet.session import materialize
 
 # fixed values
 TREES = 100
 SAMPLE_ROWS = 256
 CONTAMINATION = 0.05
+SCORE_DIGITS = 9        # scores are equal beyond these, whatever the order in which depths are added
 
 _NODE_SCHEMA = (
     "tree_id int, node_id int, left int, right int, feature int, threshold double, value double, "
@@ -33,35 +40,49 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, full, np.where(n == 2, 1.0, 0.0))
 
 
+def _draws(*names) -> tuple[int, int]:
+    """Two numbers below 2^32 from a digest of names."""
+    digest = hashlib.md5("|".join(map(str, names)).encode()).hexdigest()
+    return int(digest[:8], 16), int(digest[8:16], 16)
+
+
 def _grow(tree_id: int, x: np.ndarray, seed: int) -> pd.DataFrame:
-    """One isolation tree; the value of a leaf is its depth plus the expected rest."""
-    rng = np.random.default_rng([seed, tree_id])
+    """One isolation tree; the value of a leaf is its depth plus the expected rest. Node n has the children 2n + 1 and 2n + 2."""
     limit = int(np.ceil(np.log2(max(len(x), 2))))
     nodes: list[list] = []
-    todo = [(np.arange(len(x)), 0, -1, "")]
+    todo = [(0, np.arange(len(x)), 0)]
     while todo:
-        rows, depth, parent, side = todo.pop()
-        me = len(nodes)
+        me, rows, depth = todo.pop()
         part = x[rows]
-        span = part.max(axis=0) - part.min(axis=0)
-        usable = np.nonzero(span > 0)[0]
+        low, high = part.min(axis=0), part.max(axis=0)
+        usable = np.nonzero(high > low)[0]
         node = [tree_id, me, -1, -1, -1, 0.0, depth + float(average_path(len(rows))), float(len(rows)), 0.0, 1.0]
         nodes.append(node)
-        if parent >= 0:
-            nodes[parent][2 if side == "left" else 3] = me
         if depth >= limit or len(rows) <= 1 or not len(usable):
             continue
-        f = int(rng.choice(usable))
-        cut = float(rng.uniform(part[:, f].min(), part[:, f].max()))
+        which, where = _draws(seed, tree_id, me)
+        f = int(usable[which % len(usable)])
+        cut = float(low[f] + where / 4294967296.0 * (high[f] - low[f]))
         goes_left = part[:, f] <= cut
         if goes_left.all():         # the draw hit the maximum
             continue
-        node[4], node[5] = f, cut
-        todo.append((rows[~goes_left], depth + 1, me, "right"))
-        todo.append((rows[goes_left], depth + 1, me, "left"))
+        node[2:6] = [2 * me + 1, 2 * me + 2, f, cut]
+        todo += [(2 * me + 2, rows[~goes_left], depth + 1), (2 * me + 1, rows[goes_left], depth + 1)]
     return pd.DataFrame(nodes, columns=NODE_COLUMNS)
 
 
+def _pool(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """The ``n`` rows of least digest with their ``place`` in that order, from zero.
+
+    Only a share of the digests that holds about twice as many rows is ordered, so the single ordering task is bounded by ``n``.
+    """
+    name = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in SERIES_KEYS], F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    share = F.least(F.lit(1.0), (2 * n + 1000) / F.greatest(rows.agg(F.count(F.lit(1)).alias("n")).scalar(), F.lit(1)))
+    named = rows.withColumn("__d", F.md5(name))
+    few = named.where(F.conv(F.substring("__d", 1, 8), 16, 10).cast("long") < share * 4294967296.0).orderBy("__d", *IDENTIFIERS).limit(n)
+    return few.withColumn("place", F.row_number().over(Window.orderBy("__d", *IDENTIFIERS)) - 1).drop("__d")
+
+
 @dataclass
 class IsolationForest:
     forest: Forest
@@ -81,23 +102,22 @@ def fit(
 ) -> IsolationForest:
     """Fit on the complete rows of the chosen scope (the whole table by default).
 
-    Trees draw from one hash sample of trees × sample_rows rows, so growing them moves a fixed
-    amount of data. The cut is the exact contamination quantile of the scores of all rows.
+    Trees take consecutive stretches of one sample of trees × sample_rows rows, around its end if it is shorter, so growing them moves a fixed
+    amount of data, each row once. The cut is the exact contamination quantile of the scores of all rows.
     """
     require_columns(df.columns, ANOMALY_FEATURES, "anomaly table")
     rows = (df if scope is None else df.where(scope)).dropna(subset=ANOMALY_FEATURES)
     rows = rows.select(*dict.fromkeys([*IDENTIFIERS, *ANOMALY_FEATURES]))
     spark = df.sparkSession
-    pool = materialize(hash_sample(rows, trees * sample_rows, seed), "forest-pool")
-    per_tree = Window.partitionBy("tree_id").orderBy(F.xxhash64("tree_id", *IDENTIFIERS), *IDENTIFIERS)
-    drawn = (
-        pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree_id"))
-        .withColumn("__place", F.row_number().over(per_tree)).where(F.col("__place") <= sample_rows)
-    )
+    pool = materialize(_pool(rows, trees * sample_rows, seed), "forest-pool")
+    size = pool.count()
+    each = min(sample_rows, size)
+    turns = spark.range(trees * each).select(
+        F.expr(f"id DIV {max(each, 1)}").cast("int").alias("tree_id"), (F.col("id") % max(size, 1)).cast("int").alias("place"))
+    drawn = turns.join(pool, "place")
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values("__place")
-        return _grow(int(key[0]), ordered[ANOMALY_FEATURES].to_numpy(dtype=float), seed)
+        return _grow(int(key[0]), pdf[ANOMALY_FEATURES].to_numpy(dtype=float), seed)
 
     nodes = materialize(drawn.groupBy("tree_id").applyInPandas(grow, _NODE_SCHEMA), "forest-nodes")
     forest = collect_forest(nodes)
@@ -128,7 +148,7 @@ def score(df: DataFrame, model: IsolationForest) -> DataFrame:
 
     value = forest_score(*[F.col(c).cast("double") for c in names])
     out = df.withColumn("isoforest_score", value)
-    out = out.withColumn("isoforest_score", F.when(~F.isnan("isoforest_score"), F.col("isoforest_score")))
+    out = out.withColumn("isoforest_score", F.when(~F.isnan("isoforest_score"), F.round("isoforest_score", SCORE_DIGITS)))
     hit = F.coalesce(F.col("isoforest_score") < model.offset, F.lit(False))
     return out.withColumns({
         "anomaly_score": F.when(hit, F.lit(-1)).otherwise(F.lit(1)).cast("long"),
@@ -162,9 +182,8 @@ def load_forest(spark: SparkSession, path: str) -> IsolationForest:
     return IsolationForest(collect_forest(nodes), int(head[0]), float(head[1]), float(head[2]))
 
 
-def forest_metadata(spark: SparkSession, model: IsolationForest, scope: str = "fleet") -> DataFrame:
-    return spark.createDataFrame(
-        [("IsolationForest", len(ANOMALY_FEATURES), list(ANOMALY_FEATURES), scope, len(model.forest.roots),
-          model.contamination)],
-        "model_type string, num_features int, features array<string>, training_scope string, "
-        "num_trees int, contamination double")
+def forest_metadata(spark: SparkSession, path: str, scope: str = "fleet") -> DataFrame:
+    """What a saved forest is, read from its node table."""
+    nodes = spark.read.parquet(path)
+    return described(nodes, "IsolationForest", list(ANOMALY_FEATURES)).withColumns({
+        "contamination": nodes.agg(F.max("contamination").alias("c")).scalar(), "training_scope": F.lit(scope)})

@@ -165,8 +165,17 @@ def feature_importance(nodes: DataFrame, kind: str = "gain", top: int | None = N
     return out.limit(top) if top and not lowest else out
 
 
+def described(nodes: DataFrame, kind: str, features: list[str]) -> DataFrame:
+    """One row about a stored node table: kind, size and features, of which some split a node."""
+    inner = F.col("left") >= 0
+    return nodes.agg(
+        F.lit(kind).alias("model_type"), F.countDistinct("tree_id").cast("int").alias("num_trees"),
+        F.count(F.lit(1)).alias("num_nodes"), F.lit(len(features)).alias("num_features"),
+        F.countDistinct(F.when(inner, F.col("feature"))).cast("int").alias("used_features"),
+        F.array(*map(F.lit, features)).alias("features"))
+
+
 def model_metadata(spark: SparkSession, fitted: TreeModel) -> DataFrame:
-    return spark.createDataFrame(
-        [(type(fitted.model).__name__, len(fitted.forest.roots), len(MODEL_FEATURES), list(MODEL_FEATURES),
-          "log1p(meter_reading)")],
-        "model_type string, num_trees int, num_features int, features array<string>, target_scale string")
+    """What the stored model is, read from its node table."""
+    about = described(fitted.nodes(spark), type(fitted.model).__name__, list(MODEL_FEATURES))
+    return about.withColumn("target_scale", F.lit("log1p(meter_reading)"))

@@ -435,7 +435,7 @@ def model_persist(spark, sf):
 @query
 def model_metadata(spark, sf):
     trees = model.model_metadata(spark, fitted(spark, sf))
-    return trees.unionByName(forest.forest_metadata(spark, isolation(spark, sf), "all meters"), allowMissingColumns=True)
+    return trees.unionByName(forest.forest_metadata(spark, _saved_forest(spark, sf), "all meters"), allowMissingColumns=True)
 
 
 @query
@@ -558,30 +558,47 @@ def monthly_kpis(spark, sf):
     return rounded(reports.monthly_kpis(featured(spark, sf), MONTH))
 
 
+def _saved_forest(spark, sf) -> str:
+    def save() -> str:
+        path = scratch_path(spark, "saved-forest")
+        forest.save_forest(spark, isolation(spark, sf), path)
+        return path
+
+    return once(spark, sf, "saved forest", save)
+
+
 @query
 def isoforest_fit(spark, sf):
-    """Size, cut and expected depth of the fitted forest, per tree."""
-    f = isolation(spark, sf)
-    rows = [(t, int(f.forest.cover[root]), f.offset) for t, root in enumerate(f.forest.roots)]
-    return spark.createDataFrame(rows, "tree_id long, sample_rows long, cut double")
+    """Rows, nodes and depth of each stored tree, and the forest's cut."""
+    nodes = spark.read.parquet(_saved_forest(spark, sf))
+    return rounded(nodes.groupBy("tree_id").agg(
+        F.max(F.when(F.col("node_id") == 0, F.col("cover"))).cast("long").alias("sample_rows"), F.count(F.lit(1)).alias("nodes"),
+        F.sum(F.when(F.col("left") < 0, F.col("value"))).alias("leaf_depths"), F.max("offset").alias("cut")))
 
 
 @query
 def isoforest_score(spark, sf):
-    return forest.score(featured(spark, sf), isolation(spark, sf)).select(
-        *IDENTIFIERS, "isoforest_score", "anomaly_score", "isoforest_anomaly")
+    return rounded(forest.score(featured(spark, sf), isolation(spark, sf)).select(
+        *IDENTIFIERS, "isoforest_score", "anomaly_score", "isoforest_anomaly"))
+
+
+@query
+def isoforest_persist(spark, sf):
+    """Flags of the forest after saving and loading it."""
+    back = forest.load_forest(spark, _saved_forest(spark, sf))
+    return forest.score(featured(spark, sf), back).where("isoforest_anomaly = 1").select(*IDENTIFIERS)
 
 
 @query
 def isoforest_summary(spark, sf):
-    return forest.forest_summary(forest.score(featured(spark, sf), isolation(spark, sf)))
+    return rounded(forest.forest_summary(forest.score(featured(spark, sf), isolation(spark, sf))))
 
 
 @query
 def anomaly_detect(spark, sf):
     found = isolation(spark, sf)
-    return anomaly.detect(featured(spark, sf), forest_score=lambda df: forest.score(df, found)).select(
-        *IDENTIFIERS, *_RESIDUAL, "anomaly_type", "isoforest_anomaly", "isoforest_score", "anomaly_score")
+    return rounded(anomaly.detect(featured(spark, sf), forest_score=lambda df: forest.score(df, found)).select(
+        *IDENTIFIERS, *_RESIDUAL, "anomaly_type", "isoforest_anomaly", "isoforest_score", "anomaly_score"))
 
 
 # ---- impact, scenarios, states, recommendations ---------------------------------------------------------
