@@ -328,3 +328,22 @@ def test_a_chunk_that_does_not_come_back_is_told(docs):
     own.spelled[300] = b"b"
     assert own.encode_checked("a")[1] is False and own.encode_checked("c")[1] is True
     assert own.encode_checked("c a")[1] is False and own.encode_checked(None)[1] is True
+
+
+def test_stage_decodes_languages(docs, spark):
+    """Missing languages are filled, wrong ones replaced where the model is sure; texts without letters go, all columns stay."""
+    known = docs.where("lang is not null and text rlike '[A-Za-z]{3}'")
+    odd = known.withColumn("lang", F.when(F.col("doc_id") % 5 == 1, None).otherwise(F.col("lang")))
+    extra = spark.createDataFrame([(9001, "123 !!", "en", "x", 6), (9002, None, "en", "x", 0)], docs.schema)
+    got = langid.keep_identified(odd.unionByName(extra))
+    assert got.columns == docs.columns
+    truth, rows = {r["doc_id"]: r["lang"] for r in known.collect()}, got.collect()
+    assert {r["doc_id"] for r in rows} == set(truth)
+    filled = [r for r in rows if r["doc_id"] % 5 == 1]
+    assert len(filled) > 10 and sum(r["lang"] == truth[r["doc_id"]] for r in filled) >= 0.95 * len(filled)
+
+
+def test_languages_do_not_depend_on_the_order_of_rows(docs, monkeypatch):
+    monkeypatch.setattr(langid, "RELIABILITY_ROWS", 40)
+    a, b = (langid.fit(rows) for rows in (docs.orderBy("lang").coalesce(1), docs.orderBy(F.desc("lang")).repartition(3)))
+    assert a.trust.tolist() == b.trust.tolist() and (a.weights == b.weights).all()

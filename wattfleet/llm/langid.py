@@ -34,6 +34,8 @@ EXHAUSTIVE = 7
 DRAWS = 64
 #: The lead of the best language over the next, below which a text is flagged as ambiguous.
 AMBIGUOUS = 0.05
+#: The score from which a decoded language replaces the one that a document carries.
+CONFIDENT = 0.9
 _TO_BLANK = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -130,11 +132,14 @@ def fit(docs: DataFrame) -> Model | None:
     def measure(batches):
         for batch in batches:
             at = [(index[lang], model.margins(text).tolist()) for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([x for x, _ in at], pa.int32()), "margins": pa.array([x for _, x in at], pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_arrays([batch["h"], pa.array([x for x, _ in at], pa.int32()), pa.array([x for _, x in at], pa.list_(pa.float64()))],
+                                             ["h", "lang", "margins"])
 
     share = min(1.0, 2 * RELIABILITY_ROWS / max(1, rows.count()))
-    thin = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = thin.mapInArrow(measure, "lang int, margins array<double>").limit(RELIABILITY_ROWS).toPandas()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    thin = rows.where(place < int(share * (1 << 30))).select(place.alias("h"), "text", "lang")
+    # in the order of the hash, whatever the order of the files; only margins are ordered, not texts
+    got = thin.mapInArrow(measure, "h long, lang int, margins array<double>").orderBy("h", "lang", "margins").limit(RELIABILITY_ROWS).toPandas()
     if len(got):
         model.calibrate(np.array(got["margins"].tolist()), got["lang"].to_numpy())
     return model
@@ -165,12 +170,29 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without texts that have no language (null, or no letter).
+    """``docs`` without texts that have no language (null, or no letter), and with ``lang`` as decoded.
 
-    Nothing that a model decides rejects a text: every language stays, and an ambiguous one too. So none is fitted.
+    The model of the rows' own labels decodes every text. Its language fills a missing ``lang`` unless it is ambiguous, and replaces
+    another one from the score ``CONFIDENT``. It rejects no text that has letters: every language stays, and an ambiguous one too.
+    Where no row teaches a language, and where ``docs`` has no column of this name, ``lang`` is left as it is.
     """
+    model = fit(docs) if dict(docs.dtypes).get("lang") == "string" else None
+    sent = docs.sparkSession.sparkContext.broadcast(model)      # languages x FEATURES weights
+
     def run(batches):
+        own = sent.value
         for batch in batches:
-            yield batch.filter(pa.array([t is not None and any(map(str.isalpha, t)) for t in batch["text"].to_pylist()], pa.bool_()))
+            texts = batch["text"].to_pylist()
+            keep = [t is not None and any(map(str.isalpha, t)) for t in texts]
+            if own is not None:
+                langs = batch["lang"].to_pylist()
+                for i, t in enumerate(texts):
+                    if keep[i]:
+                        best, score, doubt = own.decode(own.margins(t))
+                        if score >= CONFIDENT or (langs[i] is None and not doubt):
+                            langs[i] = best
+                at = batch.schema.get_field_index("lang")
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(langs, batch.schema.field(at).type))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
