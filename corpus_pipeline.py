@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language (null, or no letter) go; no decoded language or doubt about it rejects a text."""
+    """Texts without a language (null, or no letter) go; the others carry the language that the model decodes, where it is sure."""
     return langid.keep_identified(docs)
 
 
