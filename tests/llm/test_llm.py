@@ -347,3 +347,25 @@ def test_languages_do_not_depend_on_the_order_of_rows(docs, monkeypatch):
     monkeypatch.setattr(langid, "RELIABILITY_ROWS", 40)
     a, b = (langid.fit(rows) for rows in (docs.orderBy("lang").coalesce(1), docs.orderBy(F.desc("lang")).repartition(3)))
     assert a.trust.tolist() == b.trust.tolist() and (a.weights == b.weights).all()
+
+
+def test_many_units_choose_as_one_does():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for trial in range(20):
+        b = rng.poisson(1.2, (15, 15)).astype(float)
+        of = rng.integers(0, brown_lm.CLASSES if trial % 2 else 4, 15)
+        hot = np.eye(brown_lm.CLASSES)[of]
+        n, s, p, own = hot.T @ b @ hot, b @ hot, b.T @ hot, np.diag(b).copy()
+        assert brown_lm.best_classes(n, of, s, p, own).tolist() == [brown_lm.best_class(n, int(of[i]), s[i], p[i], own[i]) for i in range(15)]
+
+
+def test_bounded_sums_and_stored_sides_change_nothing(spark, monkeypatch):
+    """Bigrams summed in small runs, units split over many partitions and chunks: the same classes."""
+    words, df = planted(spark)
+    want, _ = brown_lm.fit(df)
+    for name, value in (("PAIRS", 3000), ("SIDE_ROWS", 5000), ("MEMO", 40_000)):
+        monkeypatch.setattr(brown_lm, name, value)
+    got, _ = brown_lm.fit(df)
+    assert (got.of == want.of).all() and (got.step == want.step).all() and (got.units.codes == want.units.codes).all()

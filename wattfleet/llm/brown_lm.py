@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from wattfleet.llm.common import crc_fold
-from wattfleet.session import materialize
+from wattfleet.session import materialize, scratch_path
 
 FOLDS, HELD_OUT = 7, 2
 LEAST = 10
@@ -48,6 +48,12 @@ LONGEST = 64
 DISCOUNT = 0.75
 #: Distinct words one task counts before it hands the counts on.
 TABLE = 400_000
+#: Characters of words, and a share for each, that a task remembers the units of.
+MEMO = 24 << 20
+#: Tokens whose bigrams a task sums at once, and distinct bigrams that it holds.
+PAIRS = 1_000_000
+#: Rows of one partition of the sides of units, about 20 MB; each is written as one row group, so no unit is split on reading.
+SIDE_ROWS = 2_000_000
 #: The end token, which no word equals.
 END = ""
 
@@ -75,17 +81,18 @@ class Units:
     """Units of words: endings first, then the known words by code; codes stand for words that may be units beyond ``KNOWN``."""
 
     def __init__(self, codes: np.ndarray, whole: bool):
-        self.codes, self.whole, self.memo = np.sort(codes), whole, {}
+        self.codes, self.whole, self.memo, self.held = np.sort(codes), whole, {}, 0
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "held": 0}
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self.memo) > TABLE:
-            self.memo = {}
+        if self.held > MEMO:
+            self.memo, self.held = {}, 0
         memo = self.memo
         new = [w for w in set(words) if w not in memo]
         if new:
+            self.held += sum(map(len, new)) + 140 * len(new)
             memo.update(zip(new, self.coded(np.array([code(w) for w in new], np.int64)).tolist(), strict=True))
         return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
@@ -237,11 +244,85 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in columns.items()})
 
 
+def best_classes(n: np.ndarray, own: np.ndarray, s: np.ndarray, p: np.ndarray, self_: np.ndarray) -> np.ndarray:
+    """``best_class`` of many units: row i of ``s`` and ``p`` has the counts after and before unit i by class."""
+    units, d = np.arange(len(own)), np.arange(len(n))
+    s, p = s.astype(float), p.astype(float)
+    s[units, own] -= self_
+    p[units, own] -= self_
+    out, into = s.sum(1), p.sum(1)
+    rows, cols, diag = (np.repeat(x[None], len(own), 0) for x in (n.sum(1), n.sum(0), n[d, d]))
+    rows[units, own] -= out + self_
+    cols[units, own] -= into + self_
+    diag[units, own] -= s[units, own] + p[units, own] + self_
+    rows, cols, diag = rows.clip(0), cols.clip(0), diag.clip(0)
+    gain = _plogp(diag + s + p + self_[:, None]) - _plogp(diag)
+    gain -= _plogp(rows + (out + self_)[:, None]) - _plogp(rows) + _plogp(cols + (into + self_)[:, None]) - _plogp(cols)
+    for table, k, other in ((n.T, s, p), (n, p, s)):
+        i, c = np.nonzero(k)
+        if not len(i):
+            continue
+        k, a, t = k[i, c], own[i], np.arange(len(i))
+        f, g = table[c].copy(), _plogp(table)[c]
+        f[t, a] -= k
+        inside = np.flatnonzero(c == a)             # the unit's own class, which loses the unit's other side as well
+        f[inside] -= other[i[inside]]
+        f[inside, a[inside]] -= self_[i[inside]]
+        f = f.clip(0)
+        g[t, a] = _plogp(f[t, a])
+        g[inside] = _plogp(f[inside])
+        grown = _plogp(f + k[:, None]) - g
+        grown[t, c] = 0
+        starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+        gain[i[starts]] += np.add.reduceat(grown, starts, axis=0)
+    best = gain.argmax(1)
+    return np.where(gain[units, best] > gain[units, own] + 1e-9, best, own)
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], of: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Better classes of the units of ``unit, side, other, k`` rows, all rows of a unit next to each other."""
+    width = 2 * CLASSES + 1
+    last, left = -1, np.zeros(width)
+
+    def judged(unit: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        own = of[unit]
+        to = np.concatenate([best_classes(n, own[i:i + 2000], *(counts[i:i + 2000, x] for x in (slice(CLASSES), slice(CLASSES, -1), -1)))
+                             for i in range(0, len(unit), 2000)]) if len(unit) else own
+        return _batch(unit=unit[to != own], cls=to[to != own])
+
+    for unit, side, other, k in _chunks(batches, 200_000):
+        new = np.concatenate(([unit[0] != last], unit[1:] != unit[:-1]))
+        at = np.cumsum(new)                                     # 0: the unit that the rows before ended with
+        names = np.concatenate(([last], unit[new]))
+        cell = np.where(side == 2, 2 * CLASSES, side * CLASSES + of[other])
+        counts = np.bincount(at * width + cell, k, len(names) * width).reshape(-1, width)
+        counts[0] += left
+        last, left = int(names[-1]), counts[-1].copy()
+        yield judged(names[:-1][names[:-1] >= 0], counts[:-1][names[:-1] >= 0])
+    if last >= 0:
+        yield judged(np.array([last]), left[None])
+
+
+def stored_sides(bigrams: DataFrame, rows: int) -> DataFrame:
+    """``unit, side, other, k``, ordered by unit: what follows each unit (side 0), what precedes it (1), and itself (2)."""
+    def sides(batches):
+        for a, b, k in _chunks(batches):
+            me = a == b
+            yield _batch(unit=np.concatenate((a, b, a[me])), side=np.repeat([0, 1, 2], [len(a), len(b), me.sum()]),
+                         other=np.concatenate((b, a, a[me])), k=np.concatenate((k, k, k[me])))
+
+    spark = bigrams.sparkSession
+    dealt = bigrams.mapInArrow(sides, "unit long, side long, other long, k long").repartition(-(-2 * rows // SIDE_ROWS) or 1, "unit")
+    path = scratch_path(spark, "sides")
+    dealt.sortWithinPartitions("unit").write.option("parquet.block.size", 512 << 20).parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
+
+
 class Clusters:
     """Bigrams ``a, b, k`` of units and the class of each: ``of`` for endings and known units, ``beyond`` (code, cls) for the others, if any."""
 
-    def __init__(self, bigrams: DataFrame, of: np.ndarray, beyond: DataFrame | None):
-        self.bigrams, self.of, self.beyond = bigrams, of, beyond
+    def __init__(self, bigrams: DataFrame, of: np.ndarray, beyond: DataFrame | None, sides: DataFrame | None = None):
+        self.bigrams, self.of, self.beyond, self.sides = bigrams, of, beyond, sides
         self.sent = bigrams.sparkSession.sparkContext.broadcast(of.astype(np.int16))      # bounded by KNOWN
 
     def classed(self) -> DataFrame:
@@ -264,7 +345,7 @@ class Clusters:
             n = np.zeros(CLASSES * CLASSES, np.int64)
             for a, b, k, ca, cb in _chunks(batches):
                 ca, cb = (np.where(u >= 0, sent.value[np.maximum(u, 0)], c) for u, c in ((a, ca), (b, cb)))
-                np.add.at(n, ca.astype(np.int64) * CLASSES + cb, k)
+                n += np.bincount(ca.astype(np.int64) * CLASSES + cb, k, len(n)).astype(np.int64)
             at = np.flatnonzero(n)
             yield _batch(cell=at, k=n[at])
 
@@ -276,6 +357,8 @@ class Clusters:
     def moves(self, n: np.ndarray) -> DataFrame:
         """``unit, cls`` of the units that would be better off in another class, with all others where they are."""
         sent = self.sent
+        if self.sides is not None:
+            return self.sides.mapInArrow(lambda batches: _chosen(batches, sent.value.astype(np.int64), n), "unit long, cls long")
 
         def sides(batches):
             for a, b, k, ca, cb in _chunks(batches):
@@ -317,7 +400,7 @@ class Clusters:
         if beyond is not None:
             new = moves.where("unit < 0").select(F.col("unit").alias("code"), F.col("cls").alias("new"))
             beyond = materialize(beyond.join(new, "code", "left").select("code", F.coalesce("new", "cls").alias("cls")), "classes")
-        return Clusters(self.bigrams, of, beyond)
+        return Clusters(self.bigrams, of, beyond, self.sides)
 
     def settled(self) -> tuple[Clusters, np.ndarray]:
         """Classes after sweeps over all units, with their table. A sweep that does not pay moves half, a quarter, an eighth of its units."""
@@ -420,15 +503,37 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
 
     def pairs(batches):
         own = sent.value
+        # summed runs of at most PAIRS tokens are merged; what stays distinct beyond PAIRS rows is handed on
+        runs, held, a, b, size = [], 0, [], [], 0
+
+        def summed(rows):
+            x, y, k = (np.concatenate(c) for c in zip(*rows, strict=True))
+            return _summed([x, y], k)
+
+        def closed():
+            x, y = np.concatenate(a), np.concatenate(b)
+            return _summed([x, y], np.ones(len(y), np.int64))
+
         for batch in batches:
-            for part in (batch.slice(i, 2500) for i in range(0, batch.num_rows, 2500)):
-                a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for text in part["text"].to_pylist():
-                    u = own.of([*tokens(text), END])
-                    a += [u[-1:], u[:-1]]
-                    b.append(u)
-                a, b, k = _summed([np.concatenate(a), np.concatenate(b)], np.ones(sum(map(len, b)), np.int64))
-                yield _batch(a=a, b=b, k=k)
+            for text in batch["text"]:
+                u = own.of([*tokens(text.as_py()), END])
+                a += [u[-1:], u[:-1]]
+                b.append(u)
+                size += len(u)
+                if size > PAIRS:
+                    runs.append(closed())
+                    held += len(runs[-1][0])
+                    a, b, size = [], [], 0
+                    if held > 2 * PAIRS:
+                        runs = [summed(runs)]
+                        held = len(runs[0][0])
+                        if held > PAIRS:
+                            yield _batch(**dict(zip("abk", runs[0], strict=True)))
+                            runs, held = [], 0
+        if size:
+            runs.append(closed())
+        if runs:
+            yield _batch(**dict(zip("abk", summed(runs), strict=True)))
 
     bigrams = train.mapInArrow(pairs, "a long, b long, k long").groupBy("a", "b").agg(F.sum("k").alias("k"))
     if not whole:
@@ -466,7 +571,8 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
             yield _batch(code=c, cls=start[_ending_of(c)])
 
     beyond = None if whole else materialize(others.mapInArrow(inherited, "code long, cls long"), "classes")
-    clusters, joint = Clusters(bigrams, of[coarse], beyond).settled()
+    sides = stored_sides(bigrams, bigrams.count()) if whole else None
+    clusters, joint = Clusters(bigrams, of[coarse], beyond, sides).settled()
 
     placed = codes.withColumn("own", F.lit(None).cast("long")) if whole else codes.join(clusters.beyond.withColumnRenamed("cls", "own"), "code", "left")
     classes = clusters.sent
