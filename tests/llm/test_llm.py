@@ -369,3 +369,20 @@ def test_bounded_sums_and_stored_sides_change_nothing(spark, monkeypatch):
         monkeypatch.setattr(brown_lm, name, value)
     got, _ = brown_lm.fit(df)
     assert (got.of == want.of).all() and (got.step == want.step).all() and (got.units.codes == want.units.codes).all()
+
+
+def test_every_notice_at_every_offset_gives_its_license(spark):
+    """Exact notices amid other words, at each place of a window, and two of them that share most of their words."""
+    filler = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows, want = [], {}
+    for k, (name, notice) in enumerate(licenses.NOTICES):
+        for offset in range(40):
+            i = k * 40 + offset
+            rows.append((i, f"{filler(i, offset)} {notice} {filler(-i, 20)}"))
+            want[i] = "BSD-3-Clause" if name == "BSD-2-Clause" and "2-Clause" not in notice else name
+    two, three = dict(licenses.NOTICES)["GPL-2.0"], dict(licenses.NOTICES)["GPL-3.0"]
+    for offset in range(40):
+        rows.append((100_000 + offset, f"{filler(1, offset)} {three} {filler(2, offset % 7)} {two}"))
+        want[100_000 + offset] = "GPL-2.0,GPL-3.0"
+    got = {r["doc_id"]: r["licenses"] for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}

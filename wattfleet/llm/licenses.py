@@ -10,7 +10,8 @@ with the least s: for the notices below it is one shingle among the twelve of a
 A band can only collide in a window that holds the template's own least shingle of that band, so the texts'
 shingles are first joined with those (a broadcast of templates x bands, bounded by ``MAX_TEMPLATES``),
 and only windows around such shingles are hashed. Colliding windows are verified: at least
-``CONTAINED`` of the template's distinct shingles are in the window.
+``CONTAINED`` of the template's distinct shingles are in one stretch of the window. Matches of all windows of a text are then held against each other
+by the places of their shingles: where two overlap, the fuller one stands.
 
 Defined results: null and empty texts have no match; repeated rows get a row each; a
 template of fewer than five words is refused; an empty table gives no rows.
@@ -75,6 +76,15 @@ def _least(hashes: Column, band: Column) -> Column:
     return F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64(band, h).alias("o"), h.alias("h"))))["h"]
 
 
+def _densest(places: Column, size: Column) -> Column:
+    """The places of one occurrence: of all stretches a third longer than the template (four places at least), the
+    one that holds most, the narrowest of these."""
+    reach = size + F.greatest(F.lit(4), F.floor(size / 3).cast("int"))
+    within = lambda p: F.filter(places, lambda q: (q >= p) & (q < p + reach))
+    rank = lambda p: F.struct(F.size(within(p)).alias("n"), (p - F.element_at(within(p), -1)).alias("narrow"), (-p).alias("first"))
+    return within(-F.array_max(F.transform(places, rank))["first"])
+
+
 def bands(notices: DataFrame) -> int:
     """Bands that the template with the least share of its window needs for ``MISS``."""
     s = notices.agg(F.min(F.size("shingles") / (F.col("width") - (SHINGLE - 1)))).first()[0]
@@ -114,14 +124,20 @@ def matches(docs: DataFrame, notices: DataFrame) -> DataFrame:
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.when(real, F.lit(n_bands - 1)).otherwise(0))).alias("band"))
     rows = rows.withColumn("least", F.when(real, _least(F.col("shingles"), F.col("band"))))
     rows = rows.join(F.broadcast(wanted), ["width", "band", "least"], "left")
-    rows = rows.withColumn("containment", F.size(F.array_intersect("t_shingles", "shingles")) / F.size("t_shingles"))
-    placed = F.transform(shingle_hashes(F.col("window"), SHINGLE), lambda h, i: F.when(F.array_contains("t_shingles", h), F.col("start") + i))
-    hit = F.when(F.col("containment") >= CONTAINED, F.struct("license", "template", "start", "width", "containment", F.array_compact(placed).alias("at")))
+    # only windows that can contain enough of a template are looked at by place
+    able = F.size(F.array_intersect("t_shingles", "shingles")) >= CONTAINED * F.size("t_shingles")
+    rows = rows.withColumn("hashes", F.when(able, shingle_hashes(F.col("window"), SHINGLE)))
+    rows = rows.withColumn("places", F.array_compact(F.transform("hashes", lambda h, i: F.when(F.array_contains("t_shingles", h), i))))
+    rows = rows.withColumn("at", _densest(F.col("places"), F.size("t_shingles")))
+    seen = F.size(F.array_distinct(F.transform("at", lambda i: F.get("hashes", i))))
+    rows = rows.withColumn("containment", F.when(able, seen / F.size("t_shingles")))
+    hit = F.when(F.col("containment") >= CONTAINED, F.struct(
+        "license", "template", "start", "width", "containment", F.transform("at", lambda i: F.col("start") + i).alias("at")))
     found = (rows.groupBy("doc_id", "text_key", "n_words")
              .agg(F.sum(F.when(~real, F.col("n"))).alias("copies"), F.sort_array(F.collect_set(hit)).alias("all")))
-    # notices that differ in a version number share most shingles: the best of a window stands where both match
-    beaten = lambda x: F.exists("all", lambda y: (y["width"] == x["width"]) & (y["start"] == x["start"])
-                                & (y["containment"] > x["containment"]) & F.arrays_overlap(y["at"], x["at"]))
+    # Notices that differ in a version number share most shingles, and a window may hold the start of a notice alone, where they
+    # tie: of matches that overlap anywhere in the text, whatever their windows, the one that holds most of its template stands.
+    beaten = lambda x: F.exists("all", lambda y: (y["containment"] > x["containment"]) & F.arrays_overlap(y["at"], x["at"]))
     return found.withColumn("found", F.filter("all", lambda x: ~beaten(x))).drop("all")
 
 
