@@ -46,7 +46,7 @@ def with_junk(spark, path, tmp_path, keep):
                 g.write(b"no parquet")
     for crc in glob.glob(f"{out}/**/.*.crc", recursive=True):
         os.remove(crc)
-    return tables.read_feature_table(spark, out, FEATURE_TABLE)
+    return tables.read_feature_table(spark, out, FEATURE_TABLE, folders=True)
 
 
 def same(a, b, columns):
@@ -82,7 +82,7 @@ def test_calendar_month_and_ranges(spark, fleet, tmp_path):
     same(slices.between(rows, at("2023-05-03 04:00:00"), at("2023-05-31 23:00:00")), slices.between(plain, at("2023-05-03 04:00:00"), at("2023-05-31 23:00:00")), KEYS)
     got = tables.load_slice(rows, building_id=1, start_time="2023-05-10", end_time="2023-05-11", columns=KEYS)
     same(got, tables.load_slice(plain, building_id=1, start_time="2023-05-10", end_time="2023-05-11", columns=KEYS), KEYS)
-    whole = tables.read_feature_table(spark, path, FEATURE_TABLE)
+    whole = tables.read_feature_table(spark, path, FEATURE_TABLE, folders=True)
     assert slices.before(whole, at("2023-02-01")).count() == plain.where("timestamp < '2023-02-01'").count()
 
 

@@ -91,7 +91,7 @@ def stored(spark, sf, build: Query) -> DataFrame:
         for key in [k for k, v in _ONCE.items() if v == (path, schema)]:
             del _ONCE[key]
         path, schema = once(spark, sf, build.__name__, write)
-    return tables.read_feature_table(spark, path, schema)
+    return tables.read_feature_table(spark, path, schema, folders=True)
 
 
 def featured(spark, sf) -> DataFrame:

@@ -151,11 +151,14 @@ def write_feature_table(df: DataFrame, path: str, mode: str = "errorifexists") -
        .write.mode(mode).option("compression", "zstd").partitionBy("meter", YEAR_MONTH).parquet(path))
 
 
-def read_feature_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A stored feature table in its own column order, and its folder's month last, by which slices prune."""
+def read_feature_table(spark: SparkSession, path: str, schema: T.StructType, folders: bool = False) -> DataFrame:
+    """A stored feature table in its own column order (the folder columns would come last).
+
+    With ``folders`` the month of the folder follows as ``year_month``, by which slices prune.
+    """
     names = [c for c in schema.names if c != YEAR_MONTH]
     stored = T.StructType([*[schema[c] for c in names], T.StructField(YEAR_MONTH, T.IntegerType())])
-    return spark.read.schema(stored).parquet(path).select(*names, YEAR_MONTH)
+    return spark.read.schema(stored).parquet(path).select(*names, *([YEAR_MONTH] if folders else []))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
