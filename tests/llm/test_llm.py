@@ -386,3 +386,45 @@ def test_every_notice_at_every_offset_gives_its_license(spark):
         want[100_000 + offset] = "GPL-2.0,GPL-3.0"
     got = {r["doc_id"]: r["licenses"] for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
+def test_values_of_odd_rows(spark, odd):
+    """Null, empty, long and repeated rows have the values that the docstrings state."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    raw = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    by_id = lambda df: {i: [r for r in rows if r["doc_id"] == i] for rows in [df.collect()] for i in {r["doc_id"] for r in rows}}
+
+    shards = sharding.proportional_shards(odd, 3).collect()
+    assert sorted((str(r["doc_id"]), r["size"]) for r in shards) == sorted((str(i), len((t or "").encode()) + 8) for i, t in raw)
+    for k in range(3):
+        own = sorted(r["slot"] for r in shards if r["shard"] == k)
+        assert own == list(range(len(own))) and len(own) in (3, 4)
+
+    got = by_id(licenses.report(odd))
+    assert [(r["n_words"], r["licenses"], r["n_templates"], r["best"]) for r in got[1]] == [(14, "", 0, 0.0)] * 2
+    assert [r["n_words"] for i in (3, 4, 5, 6) for r in got[i]] == [0, 0, 1, 30000]
+
+    got = by_id(fingerprints.report(odd))
+    assert got[3][0]["fingerprint"] == got[4][0]["fingerprint"] == "" and got[3][0]["n_chars"] == 0
+    assert len({r["fingerprint"] for i in (1, 2, None) for r in got[i]}) == 1 and len(got[1]) == 2
+    assert got[6][0]["n_chars"] == 150000 and all(0 <= r["near_next"] <= 1 for rows in got.values() for r in rows)
+
+    got = by_id(brown_lm.report(odd))
+    assert {i: got[i][0]["n_tokens"] for i in (1, 3, 4, 6)} == {1: 15, 3: 1, 4: 1, 6: 30001}
+    assert got[1][0] == got[1][1] and not got[None][0]["held_out"]
+
+    got = by_id(langid.report(odd))
+    assert all((got[i][0]["lang_pred"], got[i][0]["score"]) == ("und", 0.0) for i in (3, 4, 5))
+    assert got[1][0] == got[1][1] and got[1][0]["lang_pred"] in ("en", "fr")
+
+    got = by_id(token_counts.report(odd))
+    assert [(r["n_bytes"], r["n_tokens"], r["over_limit"]) for i in (3, 4) for r in got[i]] == [(0, 0, False)] * 2
+    assert got[6][0]["over_limit"] and got[7][0]["n_bytes"] == 2 and got[1][0] == got[1][1]
+
+    got = by_id(toxicity.report(odd, labels))
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for rows in got.values() for r in rows)
+    assert got[3][0]["score"] == got[4][0]["score"] < 0.5 and got[1][0]["score"] == got[1][1]["score"] == got[None][0]["score"]
+
+
+def test_licenses_of_an_empty_table(odd):
+    assert licenses.report(odd.limit(0)).count() == 0
