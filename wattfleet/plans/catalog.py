@@ -27,7 +27,7 @@ SPLIT = "2024-03-01"
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(configure(spark), sf_dir)
+        return fn(configure(spark, tables.stored_bytes(spark, f"{sf_dir}/lineitem.parquet")), sf_dir)
 
     _QUERIES[fn.__name__] = run
     return fn

@@ -8,8 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings every job relies on (all changeable at run time)."""
+TASK_INPUT_BYTES = 4 << 20      # input bytes that one task of a large exchange stands for; rows grow many times over in memory
+TASK_SHUFFLE_BYTES = 4 << 20    # small exchanges are merged up to this size
+
+
+def configure(spark: SparkSession, input_size: int = 0) -> SparkSession:
+    """Apply the runtime settings every job relies on (all changeable at run time).
+
+    With the bytes of its input, a job gets exchanges of so many tasks that the rows of one do not grow with the input: hourly rows compress to
+    a few bytes, so sizes after compression alone would put millions of them into one task.
+    """
     for key, value in {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
@@ -19,6 +27,10 @@ def configure(spark: SparkSession) -> SparkSession:
         "spark.sql.parquet.compression.codec": "zstd",
     }.items():
         spark.conf.set(key, value)
+    if input_size:
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_size // TASK_INPUT_BYTES))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(tasks))
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TASK_SHUFFLE_BYTES))
     return spark
 
 
