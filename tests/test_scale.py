@@ -4,7 +4,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tests.conftest import plan_text
+from tests.conftest import plan_text, rows_of
+from wattfleet.functions.quantiles import exact_quantile
+from wattfleet.operators import forest, trees
+from wattfleet.operators.trees import Forest
+from wattfleet.schema import ANOMALY_FEATURES
 from wattfleet.session import configure, scratch_path
 from wattfleet.sources import standin
 
@@ -45,3 +49,60 @@ def test_tasks_of_an_exchange_follow_the_input(spark):
     finally:
         for n, v in zip(names, before):
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def random_forest(seed, trees, rows, depth):
+    """A forest of random cuts with leaves at all depths."""
+    rng = np.random.default_rng(seed)
+    nodes, roots = [], []
+
+    def grow(level):
+        me = len(nodes)
+        nodes.append([-1, -1, -1, 0.0, rng.normal()])
+        if level < depth and rng.random() > 0.15:
+            nodes[me][2], nodes[me][3] = int(rng.integers(4)), rng.normal()
+            nodes[me][0] = grow(level + 1)
+            nodes[me][1] = grow(level + 1)
+        return me
+
+    for _ in range(trees):
+        roots.append(grow(0))
+    left, right, feature, cut, value = map(np.array, zip(*nodes))
+    whole = lambda a: a.astype(np.int64)
+    same = np.ones(len(nodes))
+    found = Forest(np.array(roots), rng.normal(size=trees), whole(left), whole(right), whole(feature), cut.astype(float), value, same, same)
+    x = rng.normal(size=(rows, 4))
+    x[::7, 1], x[3::11, 2], x[5, 0] = np.nan, np.append(found.threshold[found.feature >= 0], 0.0)[0], np.inf
+    return found, x
+
+
+def test_complete_trees_give_what_single_steps_give(monkeypatch):
+    for depth in (0, 1, 5):
+        f, x = random_forest(depth, 9, trees.BLOCK_ROWS + 300, depth)
+        want = np.zeros(len(x))
+        for t, w in enumerate(f.weights):
+            want += w * f.value[f.leaf_of(t, x)]
+        assert (f.predict(x) == want).all() and len(f.predict(x[:0])) == 0
+        monkeypatch.setattr(trees, "MAX_LEVELS", 2)         # deeper ones are walked
+        assert (f.predict(x) == want).all()
+        monkeypatch.undo()
+        walked = [f.complete(t)[0] for t in range(9)]
+        assert max(walked) <= depth
+
+
+def test_the_cut_of_a_forest_scores_each_row_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 400
+    pdf = pd.DataFrame(rng.normal(size=(n, len(ANOMALY_FEATURES))), columns=ANOMALY_FEATURES)
+    pdf["building_id"], pdf["meter"], pdf["timestamp"] = 1, 0, pd.date_range("2024-01-01", periods=n, freq="h")
+    seen = {}
+
+    def looked(df, groups, value, *rest):
+        seen["plan"] = plan_text(df)
+        return exact_quantile(df, groups, value, *rest, refine=True)
+
+    monkeypatch.setattr(forest, "exact_quantile", looked)
+    found = forest.fit(rows_of(spark, pdf), trees=5, sample_rows=64)
+    assert "ArrowEvalPython" not in seen["plan"]            # the scores are read, not made again by each look
+    scores = np.round(found.score_array(pdf[ANOMALY_FEATURES].to_numpy()), forest.SCORE_DIGITS)
+    assert abs(found.offset - np.quantile(scores, forest.CONTAMINATION)) < 1e-9

@@ -123,8 +123,9 @@ def fit(
     forest = collect_forest(nodes)
     used = int(forest.cover[forest.roots].max()) if len(forest.roots) else 0
     model = IsolationForest(forest, used, 0.0, contamination)
-    scored = score(rows, model)
-    found = exact_quantile(scored, [], "isoforest_score", contamination, "cut").first()
+    # written once: the quantile looks at the scores several times, and each look would run all trees again
+    scored = materialize(score(rows, model).select("isoforest_score"), "forest-scores")
+    found =exact_quantile(scored, [], "isoforest_score", contamination, "cut").first()
     model.offset = float(found["cut"]) if found and found["cut"] is not None else -0.5
     return model
 
