@@ -8,6 +8,7 @@ from tests.conftest import plan_text, rows_of
 from wattfleet.functions.quantiles import exact_quantile
 from wattfleet.operators import forest, trees
 from wattfleet.operators.trees import Forest
+from wattfleet.plans import catalog
 from wattfleet.schema import ANOMALY_FEATURES
 from wattfleet.session import configure, scratch_path
 from wattfleet.sources import standin
@@ -106,3 +107,10 @@ def test_the_cut_of_a_forest_scores_each_row_once(spark, monkeypatch):
     assert "ArrowEvalPython" not in seen["plan"]            # the scores are read, not made again by each look
     scores = np.round(found.score_array(pdf[ANOMALY_FEATURES].to_numpy()), forest.SCORE_DIGITS)
     assert abs(found.offset - np.quantile(scores, forest.CONTAMINATION)) < 1e-9
+
+
+def test_order_lines_are_summed_once(spark):
+    """Limits, medians and windows read written readings, and the wide stage is code the JVM compiles."""
+    for build in (catalog.model_rows, catalog.built_features, catalog.dense_features):
+        assert "lineitem" not in plan_text(build(spark, "/root/testdata/sf0.001"))
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000

@@ -15,7 +15,7 @@ from wattfleet.schema import (
     ALL_COLUMNS, CORRELATION_COLUMNS, IDENTIFIERS, MODEL_FEATURES, RAW_READINGS, RAW_WEATHER, SERIES_KEYS,
     YEAR_MONTH,
 )
-from wattfleet.session import configure, scratch_path
+from wattfleet.session import configure, materialize, scratch_path
 from wattfleet.sources import slices, standin, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,16 +57,22 @@ def _sources(spark, sf, rows: DataFrame | None = None) -> tuple[DataFrame, DataF
     return rows, standin.building_meta(spark, sf), standin.weather_raw(spark, sf)
 
 
+def _written(spark, sf, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sources with the hourly readings written: limits, medians and windows read them, and each would sum the order lines again."""
+    rows, buildings, weather = _sources(spark, sf, rows)
+    return materialize(rows, "readings"), buildings, weather
+
+
 def built_features(spark, sf) -> DataFrame:
-    return offline.build_features(*_sources(spark, sf))
+    return offline.build_features(*_written(spark, sf))
 
 
 def model_rows(spark, sf) -> DataFrame:
-    return offline.build_model_table(*_sources(spark, sf))
+    return offline.build_model_table(*_written(spark, sf))
 
 
 def dense_features(spark, sf) -> DataFrame:
-    return offline.build_features(*_sources(spark, sf, standin.dense(spark, sf)))
+    return offline.build_features(*_written(spark, sf, standin.dense(spark, sf)))
 
 
 # Reports and models read tables and models that were made once, as they would in operation.

@@ -25,6 +25,8 @@ def configure(spark: SparkSession, input_size: int = 0) -> SparkSession:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.compression.codec": "zstd",
+        # the JVM never compiles larger methods; rows of forty columns made one of them, run step by step
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }.items():
         spark.conf.set(key, value)
     if input_size:
