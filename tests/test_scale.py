@@ -40,13 +40,14 @@ def test_dense_series_unfold_where_their_readings_lie(spark):
 
 
 def test_tasks_of_an_exchange_follow_the_input(spark):
-    names = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    names = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]
     before = [spark.conf.get(n, None) for n in names]
     try:
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
         wanted = [least, 160, 960]
         for size, tasks in zip((1, 640 << 20, 3840 << 20), wanted):
             assert configure(spark, size).conf.get(names[0]) == str(tasks)
+            assert int(spark.conf.get(names[2])) <= 16 << 20
     finally:
         for n, v in zip(names, before):
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)

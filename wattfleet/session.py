@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 TASK_INPUT_BYTES = 4 << 20      # input bytes that one task of a large exchange stands for; rows grow many times over in memory
 TASK_SHUFFLE_BYTES = 4 << 20    # small exchanges are merged up to this size
+TASK_SCAN_BYTES = 16 << 20      # a scan's task sums its rows in memory before the exchange
 
 
 def configure(spark: SparkSession, input_size: int = 0) -> SparkSession:
@@ -33,6 +34,7 @@ def configure(spark: SparkSession, input_size: int = 0) -> SparkSession:
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_size // TASK_INPUT_BYTES))
         spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(tasks))
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TASK_SHUFFLE_BYTES))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(TASK_SCAN_BYTES))
     return spark
 
 
