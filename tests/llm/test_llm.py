@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattfleet.llm import brown_lm, decontaminate, fingerprints, langid, licenses, neardup, pieces, sharding, token_counts, toxicity
+from tests.conftest import plan_text
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, words string, kept string"
@@ -255,6 +256,27 @@ def test_toxicity_held_out(spark):
     assert sum(r["predicted"] for r in got if r["toxic"]) >= 0.5 * sum(r["toxic"] for r in got)
 
 
+def test_text_stages_hold_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, "some plain words here" + " you idiot" * (i % 4 == 0), "en") for i in range(4000)], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 4 = 0 as int) as toxic")
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for stage in (langid.keep_identified, lambda d: toxicity.drop_toxic(d, labels)):
+        spark.conf.set(most, "10000")
+        rows = stage(docs)
+        assert int(spark.conf.get(most)) <= 1000
+    assert "struct" not in plan_text(rows)              # the text travels once
+    score = {r["doc_id"]: r["score"] for r in toxicity.report(docs, labels).collect()}
+    assert {r["doc_id"] for r in rows.collect()} == {i for i, s in score.items() if s < 0.5}
+
+    batch = pa.RecordBatch.from_pydict({"text": ["idiot"], "toxic": [1]})
+    counted = [b.to_pydict() for b in toxicity._tally(iter([batch, batch]))]
+    assert len(counted) == 1 and set(counted[0]["t"]) == {2}
+    monkeypatch.setattr(toxicity, "TABLE", 1)
+    assert [b.num_rows for b in toxicity._tally(iter([batch, batch]))] == [3, 3]
+
+
 def test_grammar_clauses():
     g = toxicity.Grammar({"idiot": 1.0})
     plain, aimed, negated, told = (g.score(t) for t in ("an idiot.", "you idiot.", "never an idiot.", "he said an idiot."))

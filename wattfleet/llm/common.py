@@ -12,11 +12,24 @@ BLANKS = r"[\x20\x09-\x0D]+"
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+#: Rows and bytes of one Arrow batch of texts: a task holds a few copies of it at once, in the JVM and in Python.
+TEXT_ROWS = 1_000
+TEXT_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables, read by Spark alone."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose Arrow batches hold at most ``TEXT_ROWS`` rows and about ``TEXT_BYTES`` (settings of the session)."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
+    return df
+
+
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The schema of ``df`` and the columns of ``ddl`` after it."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

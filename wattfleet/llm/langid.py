@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wattfleet.llm.common import crc_fold, extended
+from wattfleet.llm.common import crc_fold, extended, text_batches
 
 FOLDS = 5
 UNDETERMINED = "und"
@@ -120,7 +120,7 @@ def fit(docs: DataFrame) -> Model | None:
     Languages x 65,536 counts come to the driver, whatever the number of rows.
     """
     rows = _learning(docs)
-    sums = (rows.mapInArrow(_count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas())
+    sums = (text_batches(rows).mapInArrow(_count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas())
     if sums.empty:
         return None
     languages = sorted(sums["lang"].unique())
@@ -139,7 +139,7 @@ def fit(docs: DataFrame) -> Model | None:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     thin = rows.where(place < int(share * (1 << 30))).select(place.alias("h"), "text", "lang")
     # in the order of the hash, whatever the order of the files; only margins are ordered, not texts
-    got = thin.mapInArrow(measure, "h long, lang int, margins array<double>").orderBy("h", "lang", "margins").limit(RELIABILITY_ROWS).toPandas()
+    got = text_batches(thin).mapInArrow(measure, "h long, lang int, margins array<double>").orderBy("h", "lang", "margins").limit(RELIABILITY_ROWS).toPandas()
     if len(got):
         model.calibrate(np.array(got["margins"].tolist()), got["lang"].to_numpy())
     return model
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             new = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
-    return docs.mapInArrow(run, schema)
+    return text_batches(docs).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -195,4 +195,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(langs, batch.schema.field(at).type))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)

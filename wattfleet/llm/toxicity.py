@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wattfleet.llm.common import crc_fold, extended
+from wattfleet.llm.common import crc_fold, extended, text_batches
 
 FOLDS = 5
 SAMPLE_ROWS = 40_000
@@ -38,6 +38,8 @@ LEAST_ROWS = 5
 LEAST_SHARE = 0.6
 #: It has to follow so many different words, and one in five of its toxic rows (up to 50).
 LEAST_CONTEXTS = 4
+#: Distinct beginnings that one task counts before it hands the counts on.
+TABLE = 200_000
 #: Words a negation reaches.
 SCOPE = 3
 
@@ -131,16 +133,25 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = (labels.where((fold != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
     # bounded by SAMPLE_ROWS rows of two numbers
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return text_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    toxic, clean = Counter(), Counter()
+
+    def out():
+        keys = list(toxic.keys() | clean.keys())
+        return pa.RecordBatch.from_pydict({"b": pa.array(keys, pa.string()), "t": pa.array([toxic[k] for k in keys], pa.int64()), "c": pa.array([clean[k] for k in keys], pa.int64())})
+
     for batch in batches:
-        toxic, clean = Counter(), Counter()
         for text, label in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
             (toxic if label else clean).update(_beginnings(text))
-        keys = list(toxic.keys() | clean.keys())
-        yield pa.RecordBatch.from_pydict({"b": pa.array(keys, pa.string()), "t": pa.array([toxic[k] for k in keys], pa.int64()), "c": pa.array([clean[k] for k in keys], pa.int64())})
+            if len(toxic) + len(clean) > TABLE:
+                yield out()
+                toxic.clear()
+                clean.clear()
+    if toxic or clean:
+        yield out()
 
 
 def _closed(found: dict[str, tuple[float, float]]) -> dict[str, float]:
@@ -208,7 +219,7 @@ def scored(docs: DataFrame, grammar: Grammar) -> DataFrame:
             new = pa.array([grammar.score(t) for t in batch["text"].to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, "toxicity"])
 
-    return docs.mapInArrow(run, schema)
+    return text_batches(docs).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -219,5 +230,10 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without texts that score 0.5 or more, all columns kept."""
-    rows = scored(docs.select(F.struct("*").alias("row"), "text"), fit(docs, labels))
-    return rows.where("toxicity < 0.5").select("row.*")
+    grammar = fit(docs, labels)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([grammar.score(t) < 0.5 for t in batch["text"].to_pylist()], pa.bool_()))
+
+    return text_batches(docs).mapInArrow(run, docs.schema)
