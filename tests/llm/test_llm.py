@@ -393,6 +393,17 @@ def test_bounded_sums_and_stored_sides_change_nothing(spark, monkeypatch):
     assert (got.of == want.of).all() and (got.step == want.step).all() and (got.units.codes == want.units.codes).all()
 
 
+def test_sides_hold_their_bigrams_in_arrays(spark):
+    """Bigrams are stored once, in few rows, and come back from the sides; all of a unit lies in one partition."""
+    want = {(a, b): 1 + (a * b) % 5 for a in range(40) for b in range(60) if (a + b) % 3}
+    sides = brown_lm.stored_sides(spark.createDataFrame([(*ab, k) for ab, k in want.items()], "a long, b long, k long").repartition(3), len(want))
+    assert {(r["a"], r["b"]): r["k"] for r in brown_lm.following(sides).collect()} == want
+    assert sides.count() < len(want) / 2
+    before = {(o, r["unit"]): k for r in sides.where("side = 1").collect() for o, k in zip(r["other"], r["k"], strict=True)}
+    own = {r["unit"]: sum(r["k"]) for r in sides.where("side = 2").collect()}
+    assert before == want and own == {a: k for (a, b), k in want.items() if a == b}
+
+
 def test_every_notice_at_every_offset_gives_its_license(spark):
     """Exact notices amid other words, at each place of a window, and two of them that share most of their words."""
     filler = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))

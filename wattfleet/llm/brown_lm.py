@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from wattfleet.llm.common import crc_fold
+from wattfleet.llm.common import TEXT_BYTES, crc_fold
 from wattfleet.session import materialize, scratch_path
 
 FOLDS, HELD_OUT = 7, 2
@@ -52,7 +52,7 @@ TABLE = 400_000
 MEMO = 24 << 20
 #: Tokens whose bigrams a task sums at once, and distinct bigrams that it holds.
 PAIRS = 1_000_000
-#: Rows of one partition of the sides of units, about 20 MB; each is written as one row group, so no unit is split on reading.
+#: Neighbours in one partition of the sides of units, at most; each is written as one row group, so no unit is split on reading.
 SIDE_ROWS = 2_000_000
 #: The end token, which no word equals.
 END = ""
@@ -228,6 +228,13 @@ def _summed(keys: list[np.ndarray], k: np.ndarray) -> list[np.ndarray]:
     return [*(x[at] for x in keys), np.add.reduceat(k[order], at) if len(at) else k[:0]]
 
 
+def _tallied(keys: np.ndarray) -> list[np.ndarray]:
+    """Distinct ``keys`` with their numbers."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return [keys[at], np.diff(at, append=len(keys))]
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 500_000) -> Iterator[list[np.ndarray]]:
     held, n = [], 0
     for batch in batches:
@@ -280,7 +287,7 @@ def best_classes(n: np.ndarray, own: np.ndarray, s: np.ndarray, p: np.ndarray, s
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], of: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Better classes of the units of ``unit, side, other, k`` rows, all rows of a unit next to each other."""
+    """Better classes of the units of ``stored_sides``, all rows of a unit next to each other."""
     width = 2 * CLASSES + 1
     last, left = -1, np.zeros(width)
 
@@ -290,7 +297,7 @@ def _chosen(batches: Iterator[pa.RecordBatch], of: np.ndarray, n: np.ndarray) ->
                              for i in range(0, len(unit), 2000)]) if len(unit) else own
         return _batch(unit=unit[to != own], cls=to[to != own])
 
-    for unit, side, other, k in _chunks(batches, 200_000):
+    for unit, side, other, k in _unfolded(batches):
         new = np.concatenate(([unit[0] != last], unit[1:] != unit[:-1]))
         at = np.cumsum(new)                                     # 0: the unit that the rows before ended with
         names = np.concatenate(([last], unit[new]))
@@ -303,21 +310,53 @@ def _chosen(batches: Iterator[pa.RecordBatch], of: np.ndarray, n: np.ndarray) ->
         yield judged(np.array([last]), left[None])
 
 
+def _folded(unit: np.ndarray, side: int, other: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(unit << 32 | other)
+    unit = unit[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(unit)), bool), unit[1:] != unit[:-1])))
+    ends = pa.array(np.append(starts, len(unit)).astype(np.int32))
+    lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (other[order].astype(np.int32), k[order]))
+    return pa.RecordBatch.from_arrays([pa.array(unit[starts]), pa.array(np.full(len(starts), side, np.int32)), *lists], ["unit", "side", "other", "k"])
+
+
+def _unfolded(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """Columns of ``stored_sides``, one place for each neighbour."""
+    held, n = [], 0
+    for batch in batches:
+        long = batch["other"].value_lengths().to_numpy()
+        held.append([*(np.repeat(batch[c].to_numpy(), long) for c in ("unit", "side")), *(batch[c].flatten().to_numpy() for c in ("other", "k"))])
+        n += len(held[-1][0])
+        if n >= rows:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def stored_sides(bigrams: DataFrame, rows: int) -> DataFrame:
-    """``unit, side, other, k``, ordered by unit: what follows each unit (side 0), what precedes it (1), and itself (2)."""
+    """``unit, side, other, k``, ordered by unit: arrays of what follows each unit (side 0), what precedes it (1), and itself (2), with counts.
+
+    ``rows`` is a bound of the bigrams. A unit has one row of each side for each run of bigrams it occurs in, so that few bytes of a neighbour are moved.
+    """
     def sides(batches):
         for a, b, k in _chunks(batches):
             me = a == b
-            yield _batch(unit=np.concatenate((a, b, a[me])), side=np.repeat([0, 1, 2], [len(a), len(b), me.sum()]),
-                         other=np.concatenate((b, a, a[me])), k=np.concatenate((k, k, k[me])))
+            yield from (_folded(a, 0, b, k), _folded(b, 1, a, k), _folded(a[me], 2, a[me], k[me]))
 
     spark = bigrams.sparkSession
-    dealt = bigrams.mapInArrow(sides, "unit long, side long, other long, k long").repartition(-(-2 * rows // SIDE_ROWS) or 1, "unit")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
+    dealt = bigrams.mapInArrow(sides, "unit long, side int, other array<int>, k array<long>").repartition(-(-2 * rows // SIDE_ROWS) or 1, "unit")
     path = scratch_path(spark, "sides")
     dealt.sortWithinPartitions("unit").write.option("parquet.block.size", 512 << 20).parquet(path)
     return spark.read.schema(dealt.schema).parquet(path)
 
 
+def following(sides: DataFrame) -> DataFrame:
+    """The bigrams ``a, b, k`` that the sides were stored from."""
+    rows = sides.where("side = 0").select(F.col("unit").alias("a"), F.inline(F.arrays_zip("other", "k")))
+    return rows.select("a", F.col("other").cast("long").alias("b"), "k")
+
+
 class Clusters:
     """Bigrams ``a, b, k`` of units and the class of each: ``of`` for endings and known units, ``beyond`` (code, cls) for the others, if any."""
 
@@ -507,12 +546,13 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
         runs, held, a, b, size = [], 0, [], [], 0
 
         def summed(rows):
-            x, y, k = (np.concatenate(c) for c in zip(*rows, strict=True))
-            return _summed([x, y], k)
+            *keys, k = (np.concatenate(c) for c in zip(*rows, strict=True))
+            return _summed(keys, k)
 
         def closed():
             x, y = np.concatenate(a), np.concatenate(b)
-            return _summed([x, y], np.ones(len(y), np.int64))
+            # units fit into half a number, codes do not
+            return _tallied(x << 32 | y) if whole else _summed([x, y], np.ones(len(y), np.int64))
 
         for batch in batches:
             for text in batch["text"]:
@@ -528,22 +568,27 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
                         runs = [summed(runs)]
                         held = len(runs[0][0])
                         if held > PAIRS:
-                            yield _batch(**dict(zip("abk", runs[0], strict=True)))
+                            yield _batch(**dict(zip(names, runs[0], strict=True)))
                             runs, held = [], 0
         if size:
             runs.append(closed())
         if runs:
-            yield _batch(**dict(zip("abk", summed(runs), strict=True)))
-
-    bigrams = train.mapInArrow(pairs, "a long, b long, k long").groupBy("a", "b").agg(F.sum("k").alias("k"))
-    if not whole:
+            yield _batch(**dict(zip(names, summed(runs), strict=True)))
+
+    names = ["ab", "k"] if whole else ["a", "b", "k"]
+    bigrams = train.mapInArrow(pairs, ", ".join(f"{c} long" for c in names)).groupBy(*names[:-1]).agg(F.sum("k").alias("k"))
+    sides = None
+    if whole:
+        # every token makes one bigram, so there are at most n
+        sides = stored_sides(bigrams.select(F.shiftright("ab", 32).alias("a"), F.col("ab").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"), "k"), n)
+        bigrams = following(sides)
+    else:
         bigrams = materialize(bigrams, "pairs")
         for unit in ("a", "b"):
             left = bigrams.where(F.col(unit) < 0).join(others.select(F.col("code").alias(unit), F.lit(True).alias("__own")), unit, "left")
             left = left.withColumn(unit, F.when(F.col("__own"), F.col(unit)).otherwise(F.expr(f"pmod(-1 - {unit}, {ENDINGS})"))).drop("__own")
             bigrams = bigrams.where(F.col(unit) >= 0).unionByName(left)
-        bigrams = bigrams.groupBy("a", "b").agg(F.sum("k").alias("k"))
-    bigrams = materialize(bigrams, "bigrams")
+        bigrams = materialize(bigrams.groupBy("a", "b").agg(F.sum("k").alias("k")), "bigrams")
 
     # first classes: the most frequent words and the endings, one by one
     coarse = np.concatenate((np.arange(ENDINGS), _ending_of(units.codes))).astype(np.int64)
@@ -571,7 +616,6 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
             yield _batch(code=c, cls=start[_ending_of(c)])
 
     beyond = None if whole else materialize(others.mapInArrow(inherited, "code long, cls long"), "classes")
-    sides = stored_sides(bigrams, bigrams.count()) if whole else None
     clusters, joint = Clusters(bigrams, of[coarse], beyond, sides).settled()
 
     placed = codes.withColumn("own", F.lit(None).cast("long")) if whole else codes.join(clusters.beyond.withColumnRenamed("cls", "own"), "code", "left")
