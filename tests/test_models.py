@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
-from wattfleet.operators import explain, features, forecast, forest, model
+from wattfleet.operators import boosting, explain, features, forecast, forest, model
 from wattfleet.operators.trees import Forest
 from wattfleet.plans import reports
 from wattfleet.schema import ANOMALY_FEATURES, MODEL_FEATURES
@@ -207,3 +207,71 @@ def test_explain_target_choices(table):
     other = reports.explain_targets(table, 2, at="2030-01-01").collect()[0]
     first = table.dropna(subset=MODEL_FEATURES).where("building_id = 1").agg(F.min("timestamp")).first()[0]
     assert other["timestamp"] == first
+
+
+# ---- boosting over bins ------------------------------------------------------
+
+INPUTS = ["a", "b", "c"]
+
+
+def boosted(spark, n, seed=0, **settings):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(n, len(INPUTS))), 1)
+    y = np.where(x[:, 0] > 0.3, 2.0, 0.0) + np.where(x[:, 1] > -0.5, x[:, 0], 1.0) + rng.normal(0, 0.1, n)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], [*INPUTS, "y"]).repartition(3)
+    return df, x, y, boosting.Settings(**{"max_iter": 3, "step_size": 0.2, "max_depth": 3, "min_rows": 5, "sampling": 1.0, "seed": 1, "max_bins": 64} | settings)
+
+
+def test_splits_are_the_best_of_all_cuts(spark):
+    df, x, y, settings = boosted(spark, 400, max_iter=1)
+    (tree,), cuts = boosting.fit(df, INPUTS, "y", None, settings)
+    assert all(set(c) <= set(x[:, f]) for f, c in enumerate(cuts))
+    sse = lambda part: ((part - part.mean()) ** 2).sum()
+    place = np.zeros(len(x), int)
+    for level, (feature, cut) in enumerate(zip(tree.features, tree.cuts)):
+        right = np.zeros(len(x), int)
+        for node in range(2 ** level):
+            mine = place == node
+            assert tree.stats[level][node, 0] == mine.sum()
+            got = x[:, feature[node]] > cuts[feature[node]][cut[node]]
+            best = min(sse(y[mine & ~r]) + sse(y[mine & r]) for f in range(3) for c in cuts[f]
+                       for r in [x[:, f] > c] if min((mine & r).sum(), (mine & ~r).sum()) >= 5)
+            assert sse(y[mine & ~got]) + sse(y[mine & got]) == pytest.approx(best)
+            assert tree.gains[level][node] == pytest.approx((sse(y[mine]) - best) / mine.sum())
+            right[mine] = got[mine]
+        place = 2 * place + right
+    for leaf, value in enumerate(tree.values()):
+        assert value == pytest.approx(y[place == leaf].mean())
+
+
+def test_written_remainders_and_small_blocks_change_nothing(spark, monkeypatch):
+    df, _, _, settings = boosted(spark, 500, max_iter=6)
+    held = boosted(spark, 200, seed=5)[0]
+    seen = []
+
+    def keep_all(errors):
+        seen.append(list(errors))
+        return len(errors), False
+
+    whole, _ = boosting.fit(df, INPUTS, "y", held, settings, keep_all)
+    for name, value in (("LINEAGE", 2), ("EVERY", 2), ("BLOCK_ROWS", 16)):
+        monkeypatch.setattr(boosting, name, value)
+    parts, _ = boosting.fit(df, INPUTS, "y", held, settings, keep_all)
+    for a, b in zip(whole, parts, strict=True):
+        np.testing.assert_array_equal(np.concatenate(a.cuts), np.concatenate(b.cuts))
+        np.testing.assert_allclose(a.values(), b.values(), atol=1e-9)
+    np.testing.assert_allclose(seen[0], seen[-1])
+    assert [len(e) for e in seen] == [6, 2, 4, 6] and seen[0][-1] < seen[0][0]
+
+
+def test_no_round_is_fitted_twice(table, monkeypatch):
+    train, test = model.temporal_split(table, "2024-02-25")
+    grown, errors, grow, best = [], [], boosting.grow, model.best_prefix
+    monkeypatch.setattr(boosting, "grow", lambda *a: grown.append(a[3]) or grow(*a))
+    monkeypatch.setattr(model, "best_prefix", lambda e, patience: errors.append(e) or best(e, patience))
+    fit = model.train_gbt(train, test, max_iter=200, max_depth=4, step_size=0.5, patience=4)
+    stop = next(i for i in range(len(errors[-1])) if best(errors[-1][:i + 1], 4)[1])
+    assert grown == list(range(len(grown))) and stop < len(grown) <= stop + boosting.EVERY
+    assert fit.getNumTrees == best(errors[-1], 4)[0]
+    held = model._assembled(test.dropna(subset=["meter_reading_log"]))
+    np.testing.assert_allclose(fit.evaluateEachIteration(held, "squared"), errors[-1][:fit.getNumTrees])

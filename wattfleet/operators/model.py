@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
@@ -10,6 +12,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattfleet.functions.quantiles import median_of
+from wattfleet.operators import boosting
 from wattfleet.operators.trees import Forest, boosted_nodes, collect_forest
 from wattfleet.schema import MODEL_FEATURES, TARGET_LOG, require_columns
 from wattfleet.session import materialize, scratch_path
@@ -17,6 +20,8 @@ from wattfleet.sources import slices
 
 DEFAULT_AREA = 10000.0      # fixed value: floor area when no row knows one
 MISSING = -1.0e6            # stands for a missing feature, below every real value
+_NODE = ("struct<id:int,prediction:double,impurity:double,impurityStats:array<double>,rawCount:bigint,gain:double,leftChild:int,rightChild:int,"
+         "split:struct<featureIndex:int,leftCategoriesOrThreshold:array<double>,numCategories:int>>")
 
 
 def temporal_split(df: DataFrame, split_time, meter: int | None = 0) -> tuple[DataFrame, DataFrame]:
@@ -56,32 +61,44 @@ def train_gbt(
     max_depth: int = 6, min_rows: int = 20, sampling: float = 0.8, seed: int = 42, max_bins: int = 64,
     patience: int = 30, first_rounds: int = 128,
 ) -> GBTRegressionModel:
-    """Fit boosted trees on the log target.
+    """Fit boosted trees on the log target, one round after the other (``boosting``).
 
     With a validation table the number of trees is the one before ``patience`` rounds without a lower
-    hold-out error. The learner's own stop asks each round for a relative gain, which small steps never
-    reach; so ``first_rounds`` trees are fitted, doubled while the error still falls, and the best
-    prefix of them is the model.
+    hold-out error. ``first_rounds`` has no effect on the model: no round is fitted twice any more.
     """
     rows = train.select(*MODEL_FEATURES, TARGET_LOG, F.lit(False).alias("__held"))
     if validation is not None:
         rows = rows.unionByName(validation.select(*MODEL_FEATURES, TARGET_LOG, F.lit(True).alias("__held")))
-    ready = _assembled(rows.where(F.col(TARGET_LOG).isNotNull())).select("features", TARGET_LOG, "__held")
+    ready = prepare_features(rows.where(F.col(TARGET_LOG).isNotNull()))
+    named = tree_inputs(ready)
+    check_contract([c.removeprefix("__in_") for c in named])
+    ready = materialize(ready.select(*[c.alias(n) for n, c in named.items()], TARGET_LOG, "__held"), "boosting-rows")
     learner = GBTRegressor(
-        featuresCol="features", labelCol=TARGET_LOG, predictionCol="predicted_log",
+        featuresCol="features", labelCol=TARGET_LOG, predictionCol="predicted_log", maxIter=max_iter,
         stepSize=step_size, maxDepth=max_depth, minInstancesPerNode=min_rows, subsamplingRate=sampling,
         featureSubsetStrategy=str(sampling), seed=seed, maxBins=max_bins)
-    if validation is None:
-        return learner.setMaxIter(max_iter).fit(ready)
-    ready = materialize(ready, "boosting-rows")
-    fit_rows, held = ready.where(~F.col("__held")), ready.where("__held")
-    rounds = min(first_rounds, max_iter)
-    while True:
-        fitted = learner.setMaxIter(rounds).fit(fit_rows)
-        best, waited = best_prefix(fitted.evaluateEachIteration(held, "squared"), patience)
-        if waited or rounds == max_iter:
-            return first_trees(fitted, best)
-        rounds = min(2 * rounds, max_iter)
+    settings = boosting.Settings(max_iter, step_size, max_depth, min_rows, sampling, seed, max_bins)
+    held = None if validation is None else ready.where("__held")
+    trees, cuts = boosting.fit(
+        ready.where(~F.col("__held")), list(named), TARGET_LOG, held, settings, partial(best_prefix, patience=patience))
+    return spark_model(train.sparkSession, learner, trees, cuts)
+
+
+def spark_model(spark: SparkSession, learner: GBTRegressor, trees: list[boosting.Tree], cuts: list) -> GBTRegressionModel:
+    """Trees as Spark ML's model: written in the form it stores models in, and loaded."""
+    path = scratch_path(spark, "boosted-trees")
+    learner.save(f"{path}/learner")
+    about = json.loads(spark.read.text(f"{path}/learner/metadata").first()[0])
+    about |= {"class": "org.apache.spark.ml.regression.GBTRegressionModel", "numFeatures": len(cuts), "numTrees": len(trees)}
+    own = {k: about["paramMap"][k] for k in ("featuresCol", "labelCol", "maxBins", "maxDepth", "minInstancesPerNode", "seed")}
+    tree = lambda i: json.dumps({
+        k: about[k] for k in ("timestamp", "sparkVersion")} | {
+        "class": "org.apache.spark.ml.regression.DecisionTreeRegressionModel", "uid": f"{about['uid']}_{i}", "paramMap": own, "defaultParamMap": {}})
+    store = lambda rows, schema: spark.createDataFrame(rows, schema).coalesce(1).write
+    store([(json.dumps(about),)], "value string").text(f"{path}/model/metadata")
+    store([(i, tree(i), t.weight) for i, t in enumerate(trees)], "_1 int, _2 string, _3 double").parquet(f"{path}/model/treesMetadata")
+    store(list(boosting.node_rows(trees, cuts)), f"treeID int, nodeData {_NODE}").parquet(f"{path}/model/data")
+    return load_model(f"{path}/model")
 
 
 def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
