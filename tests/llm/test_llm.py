@@ -461,3 +461,36 @@ def test_values_of_odd_rows(spark, odd):
 
 def test_licenses_of_an_empty_table(odd):
     assert licenses.report(odd.limit(0)).count() == 0
+
+
+def test_brown_lm_many_texts_at_once_as_one_by_one(spark):
+    """Batches score as single texts do; a word whose code is another word's is counted by the join."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["Alpha", "beta\t", "gamma", "délta", "x"], 30)) + f" rare{i} rare{i}" for i in range(60)] + [None, "", " ", "   never"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model, counts = brown_lm.fit(df)
+    own = {r["word"]: r["c"] for r in counts.collect()}
+    assert model.units.whole
+
+    def totals(sums, rare):
+        n, known, base, score = sums
+        for word, cls, k in rare:
+            c = own.get(word, 0)
+            known, base = known + k * (c > 0), base + k * math.log10(c + 1)
+            score += k * (math.log10((c - brown_lm.DISCOUNT) / model.mass[cls]) if c else model.unseen()[cls])
+        return n, known, base, score
+
+    want = []
+    for text in texts:
+        n, known, base, score, rare, _ = model.local(text)
+        want.append(totals((n, known, base, score), [(w, c, k) for (w, c), k in rare.items()]))
+    for clash in (False, True):
+        if clash:
+            model.checks = model.checks + 1
+            model.units.forget()
+        n, known, base, score, at, words, cls, k = model.summed(texts)
+        rare = [[(w, c, m) for t, w, c, m in zip(at, words, cls, k, strict=True) if t == i] for i in range(len(texts))]
+        assert any(w == "alpha" for r in rare for w, *_ in r) == clash
+        np.testing.assert_allclose([totals(x, r) for x, r in zip(zip(n, known, base, score, strict=True), rare, strict=True)], want, atol=1e-9)

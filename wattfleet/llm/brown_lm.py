@@ -58,9 +58,14 @@ SIDE_ROWS = 2_000_000
 END = ""
 
 
+def byte_words(text: str | None) -> list[bytes]:
+    """Words with A-Z in lower case, without the end, in UTF-8."""
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
 def tokens(text: str | None) -> list[str]:
-    """Words with A-Z in lower case, without the end."""
-    return [w.decode("utf-8") for w in (text or "").encode("utf-8", "replace").lower().split()]
+    """``byte_words`` as text."""
+    return [w.decode("utf-8") for w in byte_words(text)]
 
 
 def ending(word: str) -> int:
@@ -73,18 +78,69 @@ def code(word: str) -> int:
     return -1 - ((xxhash.xxh3_64_intdigest(word.encode()) & ((1 << 53) - 1)) * ENDINGS + ending(word))
 
 
+def check_of(word: str) -> int:
+    """A second hash of a word, which tells words of one code apart."""
+    return xxhash.xxh64_intdigest(word.encode()) - (1 << 63)
+
+
 def _ending_of(codes):
     return (-1 - codes) % ENDINGS
 
 
+class Numbers(dict):
+    """Words numbered as they come; ``new`` holds those not looked at yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Units:
     """Units of words: endings first, then the known words by code; codes stand for words that may be units beyond ``KNOWN``."""
 
     def __init__(self, codes: np.ndarray, whole: bool):
-        self.codes, self.whole, self.memo, self.held = np.sort(codes), whole, {}, 0
+        self.codes, self.whole = np.sort(codes), whole
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the memories anew."""
+        self.memo, self.held = {}, 0
+        self.numbers, self.taken, self.about = Numbers(), 0, {}
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}, "held": 0}
+        return {"codes": self.codes, "whole": self.whole}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget()
+
+    def numbered(self, texts: list[str | None], about) -> tuple[list[bytes], np.ndarray, dict[str, np.ndarray], np.ndarray]:
+        """The words of many texts one after the other, an end after each; their numbers; by number what ``about`` gives for new words; the texts' lengths.
+
+        ``about`` maps words to columns; one table remembers what one of these functions says.
+        """
+        if self.taken > MEMO:
+            self.forget()
+        words, ends = [], []
+        for text in texts:
+            words += byte_words(text)
+            words.append(b"")
+            ends.append(len(words))
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if new := self.numbers.new:
+            self.taken += sum(map(len, new)) + 200 * len(new)
+            columns = about([w.decode() for w in new])
+            self.about = {c: np.concatenate((self.about[c], x)) if self.about else x for c, x in columns.items()}
+            self.numbers.new = []
+        return words, at, self.about, np.diff(ends, prepend=0)
+
+    def named(self, words: list[str]) -> dict[str, np.ndarray]:
+        return {"unit": self.coded(np.array([code(w) for w in words], np.int64))}
 
     def of(self, words: list[str]) -> np.ndarray:
         if self.held > MEMO:
@@ -109,15 +165,15 @@ class Units:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[str] = Counter()
+    held: Counter[bytes] = Counter()
 
     def out():
-        return pa.RecordBatch.from_pydict({"word": pa.array(held.keys(), pa.string()), "c": pa.array(held.values(), pa.int64())})
+        return pa.RecordBatch.from_pydict({"word": pa.array(held.keys(), pa.binary()).cast(pa.string()), "c": pa.array(held.values(), pa.int64())})
 
     for batch in batches:
         for text in batch["text"].to_pylist():
-            held.update(tokens(text))
-            held[END] += 1
+            held.update(byte_words(text))
+            held[END.encode()] += 1
             if len(held) > TABLE:
                 yield out()
                 held.clear()
@@ -380,6 +436,13 @@ class Clusters:
         """Class x class counts."""
         sent = self.sent
 
+        def folded(batches):
+            n = np.zeros(CLASSES * CLASSES)
+            for a, _, b, k in _unfolded(batches):
+                n += np.bincount(sent.value[a].astype(np.int64) * CLASSES + sent.value[b], k, len(n))
+            at = np.flatnonzero(n)
+            yield _batch(cell=at, k=n[at].astype(np.int64))
+
         def run(batches):
             n = np.zeros(CLASSES * CLASSES, np.int64)
             for a, b, k, ca, cb in _chunks(batches):
@@ -388,7 +451,11 @@ class Clusters:
             at = np.flatnonzero(n)
             yield _batch(cell=at, k=n[at])
 
-        got = self.classed().mapInArrow(run, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
+        if self.sides is not None:
+            sums = self.sides.where("side = 0").mapInArrow(folded, "cell long, k long")
+        else:
+            sums = self.classed().mapInArrow(run, "cell long, k long")
+        got = sums.groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
         n = np.zeros(CLASSES * CLASSES)
         n[got["cell"].to_numpy()] = got["k"].to_numpy()
         return n.reshape(CLASSES, CLASSES)
@@ -462,8 +529,13 @@ class Clusters:
 class Model:
     """What tasks need to score: frequent words with counts, classes of units, log tables."""
 
-    def __init__(self, n: int, v: int, frequent: dict[str, int], units: Units, of: np.ndarray, joint: np.ndarray, kinds: np.ndarray):
+    def __init__(
+        self, n: int, v: int, frequent: dict[str, int], units: Units, of: np.ndarray, joint: np.ndarray, kinds: np.ndarray,
+        counts: np.ndarray, checks: np.ndarray,
+    ):
+        """``counts`` and ``checks`` belong to ``units.codes``."""
         self.n, self.v, self.units, self.of = n, v, units, of
+        self.counts, self.checks = counts, checks
         self.mass, self.kinds = joint.sum(0), kinds
         joint = joint + 0.5
         self.step = np.log10(joint / joint.sum(1, keepdims=True))
@@ -500,6 +572,29 @@ class Model:
         return (len(words), len(known), float(self.base[known].sum()), float(total + self.emit[known].sum()),
                 Counter(zip([words[i] for i in rare], cls[rare].tolist(), strict=True)), open_)
 
+    def looked_up(self, words: list[str]) -> dict[str, np.ndarray]:
+        """Of words: class, whether the count is known here, and then what the word adds to the base and the model."""
+        unit = self.units.named(words)["unit"]
+        cls, place = self.of[unit].astype(np.int64), np.maximum(unit - ENDINGS, 0)
+        count = np.zeros(len(words))
+        if len(self.counts):
+            count = np.where((unit >= ENDINGS) & (self.checks[place] == np.array([check_of(w) for w in words], np.int64)), self.counts[place], 0).astype(float)
+        known, emit = count > 0, np.zeros(len(words))
+        emit[known] = self.emission(count[known], cls[known])
+        return {"cls": cls, "known": known, "base": np.log10(count + 1), "emit": emit}
+
+    def summed(self, texts: list[str | None]):
+        """``local`` of many texts, where every unit is known: tokens, known tokens, base and model sums by text, then text, word, class and number of
+        the words whose counts are not known here."""
+        words, at, about, long = self.units.numbered(texts, self.looked_up)
+        cls, known, starts = about["cls"][at], about["known"][at], np.cumsum(long) - long
+        model = self.step[np.concatenate((cls[-1:], cls[:-1])), cls] + about["emit"][at]     # the end stands before every text
+        sums = (np.add.reduceat(x, starts) for x in (known.astype(np.int64), about["base"][at], model))
+        rare = np.flatnonzero(~known)
+        pairs, first, k = np.unique(np.repeat(np.arange(len(texts)), long)[rare] << 32 | at[rare], return_index=True, return_counts=True)
+        first = rare[first]
+        return (long, *sums, pairs >> 32, [words[i].decode() for i in first.tolist()], cls[first], k)
+
     def steps(self, open_: list[dict]) -> float:
         """Sum of the class steps into and out of the places that ``local`` left, in order."""
         total, last = 0.0, -1
@@ -522,10 +617,11 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
 
     def coded(batches):
         for batch in batches:
-            made = pa.array([code(w) for w in batch["word"].to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], made], ["word", "c", "code"])
+            words = batch["word"].to_pylist()
+            made = [pa.array(list(map(f, words)), pa.int64()) for f in (code, check_of)]
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], *made], ["word", "c", "code", "check"])
 
-    codes = counts.mapInArrow(coded, "word string, c long, code long")
+    codes = counts.mapInArrow(coded, "word string, c long, code long, check long")
     # the least count of a known unit: as many as there is room for
     cut, room = LEAST, KNOWN - 1
     many = sorted(counts.where(F.col("c") >= LEAST).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
@@ -535,8 +631,10 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
             cut = r["c"] + 1
             break
     whole = cut == LEAST
-    table = codes.where((F.col("c") >= cut) | (F.col("word") == END)).select("code").distinct().toArrow()["code"].to_numpy()
-    units = Units(table, whole)
+    # two words of one code have no count here and are joined
+    table = codes.where((F.col("c") >= cut) | (F.col("word") == END)).groupBy("code").agg(
+        F.when(F.count(F.lit(1)) == 1, F.max("c")).otherwise(0).alias("c"), F.max("check").alias("check")).orderBy("code").toArrow()
+    units = Units(table["code"].to_numpy(), whole)
     sent = spark.sparkContext.broadcast(units)      # bounded by KNOWN
     others = None if whole else materialize(codes.where((F.col("c") >= LEAST) & (F.col("c") < cut) & (F.col("word") != END)).select("code").distinct(), "others")
 
@@ -555,9 +653,10 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
             return _tallied(x << 32 | y) if whole else _summed([x, y], np.ones(len(y), np.int64))
 
         for batch in batches:
-            for text in batch["text"]:
-                u = own.of([*tokens(text.as_py()), END])
-                a += [u[-1:], u[:-1]]
+            for part in (batch.slice(i, 100) for i in range(0, batch.num_rows, 100)):
+                _, at, about, _ = own.numbered(part["text"].to_pylist(), own.named)
+                u = about["unit"][at]
+                a += [u[-1:], u[:-1]]       # every text ends with the end, which the next one follows
                 b.append(u)
                 size += len(u)
                 if size > PAIRS:
@@ -604,7 +703,15 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
             cell, k = _summed([a * side + b], k)
             yield _batch(cell=cell, k=k)
 
-    got = bigrams.mapInArrow(rough, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
+    def rough_folded(batches):
+        n = np.zeros(side * side)
+        for a, _, b, k in _unfolded(batches):
+            n += np.bincount(first.value[a] * side + first.value[b], k, len(n))
+        at = np.flatnonzero(n)
+        yield _batch(cell=at, k=n[at].astype(np.int64))
+
+    cells = bigrams.mapInArrow(rough, "cell long, k long") if sides is None else sides.where("side = 0").mapInArrow(rough_folded, "cell long, k long")
+    got = cells.groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
     matrix = np.zeros(side * side)
     matrix[got["cell"].to_numpy()] = got["k"].to_numpy()
     of = exchange(matrix.reshape(side, side))
@@ -633,7 +740,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     for r in placed.select("code", "own").mapInArrow(kinds_of, "cls long, k long").groupBy("cls").agg(F.sum("k").alias("k")).collect():
         kinds[r["cls"]] = r["k"]
     counts = counts.withColumn("own", F.lit(None).cast("long")) if whole else materialize(placed.select("word", "c", "own"), "words")
-    return Model(n, v, frequent, units, clusters.of, joint, kinds), counts
+    return Model(n, v, frequent, units, clusters.of, joint, kinds, table["c"].to_numpy(), table["check"].to_numpy()), counts
 
 
 def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -659,9 +766,29 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)],
                                                  ["row", "doc_id", "word", "cls", "k", "pos", "before", "after", "n_tokens", "n_known", "base", "model"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, fields)
+    def run_whole(batches):
+        own = sent.value
+        for batch in batches:
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                n, known, base, total, text, word, cls, k = own.summed(part["text"].to_pylist())
+                row, many = part["row"].to_numpy(), len(word)
+                none = lambda t: pa.nulls(many, t)
+                both = lambda x, y, t: pa.concat_arrays([pa.array(x, t), pa.array(y, t)])
+                kind_ = part.schema.field("doc_id").type
+                yield pa.RecordBatch.from_arrays([
+                    both(row, row[text], pa.int64()), pa.concat_arrays([part["doc_id"], none(kind_)]),
+                    both([f" {r}" for r in row.tolist()], word, pa.string()),
+                    both(np.zeros(len(row), np.int32), cls.astype(np.int32), pa.int32()), both(np.zeros(len(row), np.int64), k, pa.int64()),
+                    *(pa.concat_arrays([pa.array(x, t), none(t)]) for x, t in (
+                        (n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (total, pa.float64())))], slim)
+
+    slim = ["row", "doc_id", "word", "cls", "k", "n_tokens", "n_known", "base", "model"]
+    whole = model.units.whole
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
+        run_whole if whole else run, f"row long, doc_id {kind}, word string, cls int, k long, n_tokens long, n_known long, base double, model double" if whole else fields)
     rows = rows.join(counts.hint("shuffle_hash"), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rows = rows.withColumn("cls", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("own").cast("int"), "cls")).otherwise(F.col("cls")))
+    if not whole:
+        rows = rows.withColumn("cls", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("own").cast("int"), "cls")).otherwise(F.col("cls")))
     floor = math.log10(model.n + model.v + 1)
     at = F.col("cls") + 1
     mass = F.element_at(F.array(*[F.lit(float(m)) for m in model.mass]), at)
