@@ -494,3 +494,59 @@ def test_brown_lm_many_texts_at_once_as_one_by_one(spark):
         rare = [[(w, c, m) for t, w, c, m in zip(at, words, cls, k, strict=True) if t == i] for i in range(len(texts))]
         assert any(w == "alpha" for r in rare for w, *_ in r) == clash
         np.testing.assert_allclose([totals(x, r) for x, r in zip(zip(n, known, base, score, strict=True), rare, strict=True)], want, atol=1e-9)
+
+
+def test_brown_lm_splits_and_hashes_many_texts_at_once():
+    """Arrow's split gives the words of ``tokens`` with an end after each text; hashes depend on the word alone, whatever its length and place."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [None, "", " ", "\x0b\t", "a", " A  b\r\n", "x\x1cy\x85  Éa É", "　wide ", "end\x0c", "a" * 3000 + " " + "b" * 1025 + " " + "c" * 1024]
+    for part in (texts, texts[:3], []):
+        words, long = brown_lm.split(pa.array(part, pa.string()))
+        want = [[*brown_lm.tokens(t), brown_lm.END] for t in part]
+        assert words.to_pylist() == [w for ws in want for w in ws] and long.tolist() == list(map(len, want))
+    words = ["", "é", "𝄞x𝄞", *("w" * i for i in range(1, 40)), *("v" * i for i in (1023, 1024, 1025, 2048)), *(f"word{i}" for i in range(30000))]
+    made = pa.array(["xyz", *words])[1:]
+    codes, checks = brown_lm.codes(made), brown_lm.checks(made)
+    assert len(set(codes.tolist())) == len(set(checks.tolist())) == len(words)
+    assert ((-1 - codes) % brown_lm.ENDINGS).tolist() == [brown_lm.ending(w) for w in words]
+    for i in (0, 1, 2, 7, 20, 41, 43, 44, 45, 46, 500):
+        alone = pa.array([words[i]])
+        assert (brown_lm.codes(alone)[0], brown_lm.checks(alone)[0]) == (codes[i], checks[i])
+    assert (codes < 0).all() and codes.dtype == checks.dtype == np.int64
+
+
+def test_bigrams_reach_their_sum_in_cells(spark, monkeypatch):
+    """Bigrams travel as one row for each cell and run, not one for each pair; a frequent unit lies in many cells; the sums are those of one count."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(brown_lm, "CELL_TOKENS", 300)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" if j % 2 else f"the w{i}" for j, i in enumerate(rng.integers(0, 150, 40))) + " the the" * int(rng.integers(0, 3)) for _ in range(200)]
+    words = sorted({w for t in texts for w in t.split()} | {brown_lm.END})
+    units = brown_lm.Units(brown_lm.codes(pa.array(words)), True)
+    number = dict(zip(words, units.named(pa.array(words)).tolist(), strict=True))
+    seen = [[number[w] for w in [*t.split(), brown_lm.END]] for t in texts]
+    want = Counter(ab for ws in seen for ab in zip([number[brown_lm.END], *ws], ws, strict=False))
+    cells = brown_lm.Cells(brown_lm.ENDINGS + len(words), sum(map(len, seen)))
+    assert cells.side > 4
+
+    def pairs(batches):
+        for batch in batches:
+            yield from cells.packed(*brown_lm._tallied(cells.keys(batch["text"], units)))
+
+    packed = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2).mapInArrow(pairs, "cell int, a array<int>, b array<int>, k array<long>")
+    rows = packed.collect()
+    assert len(rows) <= 2 * cells.side ** 2 < len(want) / 10 and len({r["cell"] for r in rows if number["the"] in r["a"]}) == cells.side
+    got = Counter()
+    sides = brown_lm._stored(cells.summed(packed), 1000)
+    for r in brown_lm.following(sides).collect():
+        got[r["a"], r["b"]] += r["k"]
+    assert got == want
+    monkeypatch.setattr(brown_lm, "PAIRS", 40)          # sums handed on in parts add up to the same
+    parts = Counter()
+    for r in brown_lm.following(brown_lm._stored(cells.summed(packed), 1000)).collect():
+        parts[r["a"], r["b"]] += r["k"]
+    assert parts == want

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -46,12 +47,16 @@ FREQUENT = 1 << 16
 #: Words longer than this are never in the frequent table, which bounds its size.
 LONGEST = 64
 DISCOUNT = 0.75
-#: Distinct words one task counts before it hands the counts on.
-TABLE = 400_000
-#: Characters of words, and a share for each, that a task remembers the units of.
-MEMO = 24 << 20
-#: Tokens whose bigrams a task sums at once, and distinct bigrams that it holds.
-PAIRS = 1_000_000
+#: Bytes of distinct words with their counts that one task merges before it hands them on.
+TABLE = 12 << 20
+#: Bytes of texts whose words a task numbers at once, and characters of words, and a share for each, that it remembers the units of.
+MEMO = 3 << 20
+#: Tokens whose bigrams a task sums at once, and bigrams that it holds.
+PAIRS = 2_000_000
+#: Tokens that one cell of bigrams stands for; a cell is summed by one task.
+CELL_TOKENS = 1_500_000
+#: Words of more bytes are hashed one by one.
+LONG = 1024
 #: Neighbours in one partition of the sides of units, at most; each is written as one row group, so no unit is split on reading.
 SIDE_ROWS = 2_000_000
 #: The end token, which no word equals.
@@ -68,36 +73,71 @@ def tokens(text: str | None) -> list[str]:
     return [w.decode("utf-8") for w in byte_words(text)]
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``tokens`` of many texts one after the other, an end after each; the number of each text's."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    # what follows the last blank is empty, as the end is
+    blank = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", " ")
+    words = pc.ascii_split_whitespace(pc.binary_join_element_wise(texts, blank, ""))
+    return words.flatten(), words.value_lengths().to_numpy()
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of some ``MEMO`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size > MEMO:
+            batch, held, size = pa.concat_batches(held), [], 0      # nothing is kept twice meanwhile
+            yield batch
+    if held:
+        yield pa.concat_batches(held)
+
+
 def ending(word: str) -> int:
     """The unit of a word that has none of its own."""
     return zlib.crc32(word[-2:].encode()) % ENDINGS
 
 
-def code(word: str) -> int:
-    """A negative number for a word: 53 bits of a hash, then its ending."""
-    return -1 - ((xxhash.xxh3_64_intdigest(word.encode()) & ((1 << 53) - 1)) * ENDINGS + ending(word))
+def endings(words: pa.Array) -> np.ndarray:
+    """``ending`` of many words."""
+    last = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+    return np.array([ending(w) for w in last.dictionary.to_pylist()], np.int64)[last.indices.to_numpy()]
 
 
-def check_of(word: str) -> int:
-    """A second hash of a word, which tells words of one code apart."""
-    return xxhash.xxh64_intdigest(word.encode()) - (1 << 63)
+def hashes(words: pa.Array, seed: int) -> np.ndarray:
+    """64-bit hashes of words, eight bytes at a time; of the ``LONG`` ones by the library."""
+    starts = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[starts[0]:starts[-1]]
+    data, starts = np.concatenate((data, np.zeros(8, np.uint8))), starts - starts[0]
+    blocks, sizes = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)), np.diff(starts)
+    inside = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    h = (sizes.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    rows, at = np.flatnonzero((sizes > 0) & (sizes <= LONG)), 0
+    while len(rows):
+        left = sizes[rows] - at
+        x = (h[rows] ^ (blocks[starts[rows] + at] & inside[np.minimum(left, 8)])) * np.uint64(0xBF58476D1CE4E5B9)
+        h[rows] = x ^ (x >> np.uint64(29))
+        rows, at = rows[left > 8], at + 8
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i]:starts[i + 1]].tobytes(), seed)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
 
 
-def _ending_of(codes):
-    return (-1 - codes) % ENDINGS
+def codes(words: pa.Array) -> np.ndarray:
+    """A negative number for each word: 53 bits of a hash, then its ending."""
+    return -1 - ((hashes(words, 1) & np.uint64((1 << 53) - 1)).astype(np.int64) * ENDINGS + endings(words))
 
 
-class Numbers(dict):
-    """Words numbered as they come; ``new`` holds those not looked at yet."""
+def checks(words: pa.Array) -> np.ndarray:
+    """A second hash of each word, which tells words of one code apart."""
+    return hashes(words, 1 << 32).view(np.int64)
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
+def _ending_of(codes):
+    return (-1 - codes) % ENDINGS
 
 
 class Units:
@@ -108,9 +148,8 @@ class Units:
         self.forget()
 
     def forget(self) -> None:
-        """Start the memories anew."""
+        """Start the memory anew."""
         self.memo, self.held = {}, 0
-        self.numbers, self.taken, self.about = Numbers(), 0, {}
 
     def __getstate__(self):
         return {"codes": self.codes, "whole": self.whole}
@@ -119,28 +158,8 @@ class Units:
         self.__dict__.update(state)
         self.forget()
 
-    def numbered(self, texts: list[str | None], about) -> tuple[list[bytes], np.ndarray, dict[str, np.ndarray], np.ndarray]:
-        """The words of many texts one after the other, an end after each; their numbers; by number what ``about`` gives for new words; the texts' lengths.
-
-        ``about`` maps words to columns; one table remembers what one of these functions says.
-        """
-        if self.taken > MEMO:
-            self.forget()
-        words, ends = [], []
-        for text in texts:
-            words += byte_words(text)
-            words.append(b"")
-            ends.append(len(words))
-        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if new := self.numbers.new:
-            self.taken += sum(map(len, new)) + 200 * len(new)
-            columns = about([w.decode() for w in new])
-            self.about = {c: np.concatenate((self.about[c], x)) if self.about else x for c, x in columns.items()}
-            self.numbers.new = []
-        return words, at, self.about, np.diff(ends, prepend=0)
-
-    def named(self, words: list[str]) -> dict[str, np.ndarray]:
-        return {"unit": self.coded(np.array([code(w) for w in words], np.int64))}
+    def named(self, words: pa.Array) -> np.ndarray:
+        return self.coded(codes(words))
 
     def of(self, words: list[str]) -> np.ndarray:
         if self.held > MEMO:
@@ -149,7 +168,7 @@ class Units:
         new = [w for w in set(words) if w not in memo]
         if new:
             self.held += sum(map(len, new)) + 140 * len(new)
-            memo.update(zip(new, self.coded(np.array([code(w) for w in new], np.int64)).tolist(), strict=True))
+            memo.update(zip(new, self.named(pa.array(new, pa.string())).tolist(), strict=True))
         return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
     def coded(self, codes: np.ndarray) -> np.ndarray:
@@ -164,21 +183,33 @@ class Units:
         return unit if unit >= ENDINGS else default
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[bytes] = Counter()
+def numbered(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts; their numbers, text after text, an end after each; the texts' lengths."""
+    words, long = split(texts)
+    words = words.dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(), long
 
-    def out():
-        return pa.RecordBatch.from_pydict({"word": pa.array(held.keys(), pa.binary()).cast(pa.string()), "c": pa.array(held.values(), pa.int64())})
 
-    for batch in batches:
-        for text in batch["text"].to_pylist():
-            held.update(byte_words(text))
-            held[END.encode()] += 1
-            if len(held) > TABLE:
-                yield out()
-                held.clear()
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[pa.Array, np.ndarray]] = []
+
+    def merged():
+        if len(held) == 1:
+            return held[0]
+        words = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+        return words.dictionary, np.bincount(words.indices.to_numpy(), np.concatenate([c for _, c in held])).astype(np.int64)
+
+    size = lambda: sum(w.nbytes + c.nbytes for w, c in held)
+    out = lambda words, c: pa.RecordBatch.from_arrays([words, pa.array(c)], ["word", "c"])
+    for batch in gathered(batches):
+        words, at, _ = numbered(batch["text"])
+        held.append((words, np.bincount(at, minlength=len(words))))
+        if size() > TABLE:
+            held[:] = [merged()]
+            if size() > TABLE // 2:
+                yield out(*held.pop())
     if held:
-        yield out()
+        yield out(*merged())
 
 
 def _plogp(x: np.ndarray) -> np.ndarray:
@@ -275,7 +306,7 @@ def _likelihood(n: np.ndarray) -> float:
 
 def _summed(keys: list[np.ndarray], k: np.ndarray) -> list[np.ndarray]:
     """Distinct rows of ``keys`` with their summed ``k``."""
-    order = np.lexsort(keys[::-1])
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     keys = [x[order] for x in keys]
     new = np.ones(len(k), bool)
     if len(k):
@@ -284,10 +315,31 @@ def _summed(keys: list[np.ndarray], k: np.ndarray) -> list[np.ndarray]:
     return [*(x[at] for x in keys), np.add.reduceat(k[order], at) if len(at) else k[:0]]
 
 
+def _merged(runs: Iterator[list[np.ndarray]], most: int) -> Iterator[list[np.ndarray]]:
+    """Runs of distinct keys with their numbers, added up; what stays distinct beyond ``most`` rows is handed on."""
+    held, size = [], 0
+
+    def closed():
+        *keys, k = (np.concatenate(c) for c in zip(*held, strict=True))
+        return _summed(keys, k) if len(held) > 1 else [*keys, k]
+
+    for run in runs:
+        held.append(run)
+        size += len(run[0])
+        if size > 2 * most:
+            held[:] = [closed()]
+            size = len(held[0][0])
+            if size > most:
+                yield held.pop()
+                size = 0
+    if held:
+        yield closed()
+
+
 def _tallied(keys: np.ndarray) -> list[np.ndarray]:
-    """Distinct ``keys`` with their numbers."""
-    keys = np.sort(keys)
-    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    """Distinct ``keys``, which are put in order, with their numbers."""
+    keys.sort()
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
     return [keys[at], np.diff(at, append=len(keys))]
 
 
@@ -326,15 +378,18 @@ def best_classes(n: np.ndarray, own: np.ndarray, s: np.ndarray, p: np.ndarray, s
         if not len(i):
             continue
         k, a, t = k[i, c], own[i], np.arange(len(i))
-        f, g = table[c].copy(), _plogp(table)[c]
-        f[t, a] -= k
-        inside = np.flatnonzero(c == a)             # the unit's own class, which loses the unit's other side as well
-        f[inside] -= other[i[inside]]
-        f[inside, a[inside]] -= self_[i[inside]]
+        # most units have the same few counts next to a class: what those add is worked out once
+        alike, same = np.unique(c * (k.max() + 1) + k, return_inverse=True)
+        of, by = np.divmod(alike, k.max() + 1)
+        of = of.astype(np.int64)
+        grown = (_plogp(table[of] + by[:, None]) - _plogp(table)[of])[same]
+        f = (table[c, a] - k).clip(0)               # the class a unit is in has lost it
+        grown[t, a] = _plogp(f + k) - _plogp(f)
+        inside = np.flatnonzero(c == a)             # next to its own class it loses its other side as well
+        f = table[c[inside]] - other[i[inside]]
+        f[np.arange(len(inside)), a[inside]] -= k[inside] + self_[i[inside]]
         f = f.clip(0)
-        g[t, a] = _plogp(f[t, a])
-        g[inside] = _plogp(f[inside])
-        grown = _plogp(f + k[:, None]) - g
+        grown[inside] = _plogp(f + k[inside, None]) - _plogp(f)
         grown[t, c] = 0
         starts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
         gain[i[starts]] += np.add.reduceat(grown, starts, axis=0)
@@ -375,6 +430,11 @@ def _folded(unit: np.ndarray, side: int, other: np.ndarray, k: np.ndarray) -> pa
     return pa.RecordBatch.from_arrays([pa.array(unit[starts]), pa.array(np.full(len(starts), side, np.int32)), *lists], ["unit", "side", "other", "k"])
 
 
+def _sides(a: np.ndarray, b: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+    me = a == b
+    yield from (_folded(a, 0, b, k), _folded(b, 1, a, k), _folded(a[me], 2, a[me], k[me]))
+
+
 def _unfolded(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[list[np.ndarray]]:
     """Columns of ``stored_sides``, one place for each neighbour."""
     held, n = [], 0
@@ -389,6 +449,50 @@ def _unfolded(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterato
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
+SIDES = "unit long, side int, other array<int>, k array<long>"
+
+
+class Cells:
+    """Bigrams on their way to the sum: a grid of ``side`` by ``side`` cells, by first and second unit, so that no frequent unit fills one
+    cell and the bigrams of a unit meet in few. A bigram is one number: cell, first and second unit."""
+
+    def __init__(self, units: int, n: int):
+        """``n`` tokens, of so many units."""
+        self.bits = units.bit_length()
+        self.side = min(math.isqrt(n // CELL_TOKENS) + 1, 1 << (63 - 2 * self.bits) // 2)
+
+    def keys(self, texts: pa.Array, units: Units) -> np.ndarray:
+        words, at, _ = numbered(texts)
+        unit = units.named(words)
+        first, second = (unit % self.side * self.side << 2 * self.bits) + (unit << self.bits), (unit % self.side << 2 * self.bits) + unit
+        return first[np.concatenate((at[-1:], at[:-1]))] + second[at]       # every text ends with the end, which the next one follows
+
+    def packed(self, keys: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``cell, a, b, k`` of ordered keys, one row for each cell, a part of them in one batch."""
+        cell, unit = keys >> 2 * self.bits, (1 << self.bits) - 1
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), cell[1:] != cell[:-1])))
+        ends = pa.array(np.append(starts, len(keys)).astype(np.int32))
+        lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((keys >> self.bits & unit).astype(np.int32), (keys & unit).astype(np.int32), k))
+        rows = pa.RecordBatch.from_arrays([pa.array(cell[starts].astype(np.int32)), *lists], ["cell", "a", "b", "k"])
+        for i in range(0, len(starts), step := 1 + len(starts) * PAIRS // (8 * len(keys) + 1)):
+            yield rows.slice(i, step)
+
+    def summed(self, bigrams: DataFrame) -> DataFrame:
+        """Sides of the ``packed`` bigrams of many tasks."""
+        bits = self.bits
+
+        def run(batches):
+            for a, b, k in ((batch[c].flatten().to_numpy().astype(np.int64) for c in "abk") for batch in batches):
+                yield [a << bits | b, k]
+
+        def sides(batches):
+            for ab, k in _merged(run(batches), PAIRS // 2):
+                for i in range(0, len(ab), part := PAIRS // 4):
+                    yield from _sides(ab[i:i + part] >> bits, ab[i:i + part] & (1 << bits) - 1, k[i:i + part])
+
+        return bigrams.repartitionById(self.side * self.side, "cell").mapInArrow(sides, SIDES)
+
+
 def stored_sides(bigrams: DataFrame, rows: int) -> DataFrame:
     """``unit, side, other, k``, ordered by unit: arrays of what follows each unit (side 0), what precedes it (1), and itself (2), with counts.
 
@@ -396,12 +500,14 @@ def stored_sides(bigrams: DataFrame, rows: int) -> DataFrame:
     """
     def sides(batches):
         for a, b, k in _chunks(batches):
-            me = a == b
-            yield from (_folded(a, 0, b, k), _folded(b, 1, a, k), _folded(a[me], 2, a[me], k[me]))
+            yield from _sides(a, b, k)
 
-    spark = bigrams.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
-    dealt = bigrams.mapInArrow(sides, "unit long, side int, other array<int>, k array<long>").repartition(-(-2 * rows // SIDE_ROWS) or 1, "unit")
+    bigrams.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
+    return _stored(bigrams.mapInArrow(sides, SIDES), rows)
+
+
+def _stored(sides: DataFrame, rows: int) -> DataFrame:
+    spark, dealt = sides.sparkSession, sides.repartition(-(-2 * rows // SIDE_ROWS) or 1, "unit")
     path = scratch_path(spark, "sides")
     dealt.sortWithinPartitions("unit").write.option("parquet.block.size", 512 << 20).parquet(path)
     return spark.read.schema(dealt.schema).parquet(path)
@@ -572,28 +678,30 @@ class Model:
         return (len(words), len(known), float(self.base[known].sum()), float(total + self.emit[known].sum()),
                 Counter(zip([words[i] for i in rare], cls[rare].tolist(), strict=True)), open_)
 
-    def looked_up(self, words: list[str]) -> dict[str, np.ndarray]:
+    def looked_up(self, words: pa.Array) -> tuple[np.ndarray, ...]:
         """Of words: class, whether the count is known here, and then what the word adds to the base and the model."""
-        unit = self.units.named(words)["unit"]
+        unit = self.units.named(words)
         cls, place = self.of[unit].astype(np.int64), np.maximum(unit - ENDINGS, 0)
         count = np.zeros(len(words))
         if len(self.counts):
-            count = np.where((unit >= ENDINGS) & (self.checks[place] == np.array([check_of(w) for w in words], np.int64)), self.counts[place], 0).astype(float)
+            count = np.where((unit >= ENDINGS) & (self.checks[place] == checks(words)), self.counts[place], 0).astype(float)
         known, emit = count > 0, np.zeros(len(words))
         emit[known] = self.emission(count[known], cls[known])
-        return {"cls": cls, "known": known, "base": np.log10(count + 1), "emit": emit}
+        return cls, known, np.log10(count + 1), emit
 
-    def summed(self, texts: list[str | None]):
+    def summed(self, texts: pa.Array | list[str | None]):
         """``local`` of many texts, where every unit is known: tokens, known tokens, base and model sums by text, then text, word, class and number of
         the words whose counts are not known here."""
-        words, at, about, long = self.units.numbered(texts, self.looked_up)
-        cls, known, starts = about["cls"][at], about["known"][at], np.cumsum(long) - long
-        model = self.step[np.concatenate((cls[-1:], cls[:-1])), cls] + about["emit"][at]     # the end stands before every text
-        sums = (np.add.reduceat(x, starts) for x in (known.astype(np.int64), about["base"][at], model))
-        rare = np.flatnonzero(~known)
-        pairs, first, k = np.unique(np.repeat(np.arange(len(texts)), long)[rare] << 32 | at[rare], return_index=True, return_counts=True)
-        first = rare[first]
-        return (long, *sums, pairs >> 32, [words[i].decode() for i in first.tolist()], cls[first], k)
+        words, at, long = numbered(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        cls, known, base, emit = self.looked_up(words)
+        step, starts = cls[at], np.cumsum(long) - long
+        step = self.step[np.concatenate((step[-1:], step[:-1])), step]      # the end stands before every text
+        step += emit[at]
+        sums = [np.add.reduceat(known[at], starts, dtype=np.int64), np.add.reduceat(base[at], starts), np.add.reduceat(step, starts)]
+        rare = np.flatnonzero(~known[at])
+        pairs, k = _tallied(np.repeat(np.arange(len(long)), long)[rare] << 32 | at[rare])
+        word = pairs & 0xFFFFFFFF
+        return (long, *sums, pairs >> 32, words.take(pa.array(word)).to_pylist(), cls[word], k)
 
     def steps(self, open_: list[dict]) -> float:
         """Sum of the class steps into and out of the places that ``local`` left, in order."""
@@ -609,6 +717,7 @@ class Model:
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model and the stored ``word, c`` counts over all training documents, with the class ``own`` of units beyond ``KNOWN``."""
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
     train = docs.where(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT).select("text")
     counts = materialize(train.mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -617,11 +726,10 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
 
     def coded(batches):
         for batch in batches:
-            words = batch["word"].to_pylist()
-            made = [pa.array(list(map(f, words)), pa.int64()) for f in (code, check_of)]
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], *made], ["word", "c", "code", "check"])
+            words = batch["word"].cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(codes(words)), pa.array(checks(words))], ["word", "c", "code", "check"])
 
-    codes = counts.mapInArrow(coded, "word string, c long, code long, check long")
+    named = counts.mapInArrow(coded, "word string, c long, code long, check long")
     # the least count of a known unit: as many as there is room for
     cut, room = LEAST, KNOWN - 1
     many = sorted(counts.where(F.col("c") >= LEAST).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
@@ -632,57 +740,42 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
             break
     whole = cut == LEAST
     # two words of one code have no count here and are joined
-    table = codes.where((F.col("c") >= cut) | (F.col("word") == END)).groupBy("code").agg(
+    table = named.where((F.col("c") >= cut) | (F.col("word") == END)).groupBy("code").agg(
         F.when(F.count(F.lit(1)) == 1, F.max("c")).otherwise(0).alias("c"), F.max("check").alias("check")).orderBy("code").toArrow()
     units = Units(table["code"].to_numpy(), whole)
     sent = spark.sparkContext.broadcast(units)      # bounded by KNOWN
-    others = None if whole else materialize(codes.where((F.col("c") >= LEAST) & (F.col("c") < cut) & (F.col("word") != END)).select("code").distinct(), "others")
+    others = None if whole else materialize(named.where((F.col("c") >= LEAST) & (F.col("c") < cut) & (F.col("word") != END)).select("code").distinct(), "others")
 
-    def pairs(batches):
-        own = sent.value
-        # summed runs of at most PAIRS tokens are merged; what stays distinct beyond PAIRS rows is handed on
-        runs, held, a, b, size = [], 0, [], [], 0
-
-        def summed(rows):
-            *keys, k = (np.concatenate(c) for c in zip(*rows, strict=True))
-            return _summed(keys, k)
+    cells = Cells(ENDINGS + len(units.codes), n)
 
-        def closed():
-            x, y = np.concatenate(a), np.concatenate(b)
-            # units fit into half a number, codes do not
-            return _tallied(x << 32 | y) if whole else _summed([x, y], np.ones(len(y), np.int64))
+    def pairs(batches):
+        held, size = [], 0
+        for batch in gathered(batches):
+            held.append(cells.keys(batch["text"], sent.value))
+            size += len(held[-1])
+            if size > PAIRS:
+                keys, held, size = np.concatenate(held), [], 0
+                yield from cells.packed(*_tallied(keys))
+        if held:
+            yield from cells.packed(*_tallied(np.concatenate(held)))
+
+    def pairs_coded(batches):
+        def runs():
+            for batch in gathered(batches):
+                words, at, _ = numbered(batch["text"])
+                u = sent.value.named(words)[at]
+                a = np.concatenate((u[-1:], u[:-1]))
+                yield _summed([a, u], np.ones(len(u), np.int64))
+
+        yield from (_batch(a=a, b=b, k=k) for a, b, k in _merged(runs(), PAIRS // 4))
 
-        for batch in batches:
-            for part in (batch.slice(i, 100) for i in range(0, batch.num_rows, 100)):
-                _, at, about, _ = own.numbered(part["text"].to_pylist(), own.named)
-                u = about["unit"][at]
-                a += [u[-1:], u[:-1]]       # every text ends with the end, which the next one follows
-                b.append(u)
-                size += len(u)
-                if size > PAIRS:
-                    runs.append(closed())
-                    held += len(runs[-1][0])
-                    a, b, size = [], [], 0
-                    if held > 2 * PAIRS:
-                        runs = [summed(runs)]
-                        held = len(runs[0][0])
-                        if held > PAIRS:
-                            yield _batch(**dict(zip(names, runs[0], strict=True)))
-                            runs, held = [], 0
-        if size:
-            runs.append(closed())
-        if runs:
-            yield _batch(**dict(zip(names, summed(runs), strict=True)))
-
-    names = ["ab", "k"] if whole else ["a", "b", "k"]
-    bigrams = train.mapInArrow(pairs, ", ".join(f"{c} long" for c in names)).groupBy(*names[:-1]).agg(F.sum("k").alias("k"))
     sides = None
     if whole:
         # every token makes one bigram, so there are at most n
-        sides = stored_sides(bigrams.select(F.shiftright("ab", 32).alias("a"), F.col("ab").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"), "k"), n)
+        sides = _stored(cells.summed(train.mapInArrow(pairs, "cell int, a array<int>, b array<int>, k array<long>")), n)
         bigrams = following(sides)
     else:
-        bigrams = materialize(bigrams, "pairs")
+        bigrams = materialize(train.mapInArrow(pairs_coded, "a long, b long, k long").groupBy("a", "b").agg(F.sum("k").alias("k")), "pairs")
         for unit in ("a", "b"):
             left = bigrams.where(F.col(unit) < 0).join(others.select(F.col("code").alias(unit), F.lit(True).alias("__own")), unit, "left")
             left = left.withColumn(unit, F.when(F.col("__own"), F.col(unit)).otherwise(F.expr(f"pmod(-1 - {unit}, {ENDINGS})"))).drop("__own")
@@ -710,8 +803,8 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
         at = np.flatnonzero(n)
         yield _batch(cell=at, k=n[at].astype(np.int64))
 
-    cells = bigrams.mapInArrow(rough, "cell long, k long") if sides is None else sides.where("side = 0").mapInArrow(rough_folded, "cell long, k long")
-    got = cells.groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
+    rows = bigrams.mapInArrow(rough, "cell long, k long") if sides is None else sides.where("side = 0").mapInArrow(rough_folded, "cell long, k long")
+    got = rows.groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
     matrix = np.zeros(side * side)
     matrix[got["cell"].to_numpy()] = got["k"].to_numpy()
     of = exchange(matrix.reshape(side, side))
@@ -725,7 +818,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     beyond = None if whole else materialize(others.mapInArrow(inherited, "code long, cls long"), "classes")
     clusters, joint = Clusters(bigrams, of[coarse], beyond, sides).settled()
 
-    placed = codes.withColumn("own", F.lit(None).cast("long")) if whole else codes.join(clusters.beyond.withColumnRenamed("cls", "own"), "code", "left")
+    placed = named.withColumn("own", F.lit(None).cast("long")) if whole else named.join(clusters.beyond.withColumnRenamed("cls", "own"), "code", "left")
     classes = clusters.sent
 
     def kinds_of(batches):
@@ -768,9 +861,9 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def run_whole(batches):
         own = sent.value
-        for batch in batches:
-            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                n, known, base, total, text, word, cls, k = own.summed(part["text"].to_pylist())
+        for part in gathered(batches):
+            if part.num_rows:
+                n, known, base, total, text, word, cls, k = own.summed(part["text"])
                 row, many = part["row"].to_numpy(), len(word)
                 none = lambda t: pa.nulls(many, t)
                 both = lambda x, y, t: pa.concat_arrays([pa.array(x, t), pa.array(y, t)])
