@@ -82,6 +82,11 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.flatten(), words.value_lengths().to_numpy()
 
 
+def release() -> None:
+    """Gives back what Arrow keeps for later: a worker may wait long for its next task."""
+    pa.default_memory_pool().release_unused()
+
+
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of some ``MEMO`` bytes."""
     held, size = [], 0
@@ -92,7 +97,10 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch, held, size = pa.concat_batches(held), [], 0      # nothing is kept twice meanwhile
             yield batch
     if held:
-        yield pa.concat_batches(held)
+        batch, held = pa.concat_batches(held), []
+        yield batch
+        del batch
+    release()
 
 
 def ending(word: str) -> int:
@@ -447,6 +455,7 @@ def _unfolded(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterato
             held, n = [], 0
     if n:
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
+    release()
 
 
 SIDES = "unit long, side int, other array<int>, k array<long>"
@@ -484,6 +493,7 @@ class Cells:
         def run(batches):
             for a, b, k in ((batch[c].flatten().to_numpy().astype(np.int64) for c in "abk") for batch in batches):
                 yield [a << bits | b, k]
+            release()
 
         def sides(batches):
             for ab, k in _merged(run(batches), PAIRS // 2):
