@@ -3,9 +3,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tests.conftest import plan_text
 from wattfleet.functions.quantiles import exact_quantile, median_of, medians_row
-from wattfleet.operators import cleaning, summaries
+from wattfleet.operators import cleaning, features, summaries
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +71,26 @@ def test_nan_and_infinities_both_ways(spark):
             sorted(map(tuple, exact_quantile(df, ["g"], "v", prob, "q", refine=r).collect())) for r in (False, True))
         assert plain == narrowed
     assert exact_quantile(df, ["g"], "v", 0.5, "q").first()["q"] == 2.5
+
+
+def test_many_values_never_meet_in_one_map(spark, tmp_path):
+    """Scores that hardly repeat outgrow the map of one task long before their file is large."""
+    spark.range(2_500_000).select((F.col("id") % 4).alias("meter"), (1 + F.rand(1)).alias("meter_reading")).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    whole, limits = exact_quantile(rows, [], "meter_reading", 0.05, "cut"), cleaning.reading_limits(rows)
+    assert "percentile" not in plan_text(whole) + plan_text(limits)
+    pdf = rows.toPandas()
+    assert whole.first()["cut"] == pytest.approx(np.quantile(pdf["meter_reading"], 0.05), rel=1e-12)
+    want = pdf.groupby("meter")["meter_reading"].quantile(0.999).to_dict()
+    assert {r["meter"]: r["limit"] for r in limits.collect()} == pytest.approx(want)
+
+
+def test_a_median_counted_by_hours_is_bounded_by_the_weather(spark, tmp_path):
+    spark.range(2_500_000).select(
+        F.col("id").alias("building_id"), (F.lit("2024-01-01").cast("timestamp_ntz")).alias("timestamp"), F.rand(1).alias("r")).write.parquet(f"{tmp_path}/t")
+    weather = spark.createDataFrame([(0, "2024-01-01", 3.0)], "site_id long, t string, air_temperature double").withColumn("timestamp", F.col("t").cast("timestamp_ntz"))
+    weather.write.parquet(f"{tmp_path}/w")
+    buildings = spark.range(2_500_000).select(F.col("id").alias("building_id"), F.lit(0).cast("long").alias("site_id"))
+    middle = features.joined_median(spark.read.parquet(f"{tmp_path}/t"), buildings, spark.read.parquet(f"{tmp_path}/w"))
+    plan = spark.range(1).select(middle.alias("m"))
+    assert "percentile" in plan_text(plan) and plan.first()["m"] == 3.0

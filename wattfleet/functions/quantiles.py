@@ -1,7 +1,7 @@
 """Exact, linearly interpolated quantiles that hold at any group size.
 
 ``percentile`` keeps a value-to-count map of the whole group in one task. That is the right
-choice for small inputs. Above ``REFINE_BYTES`` the quantile is found by narrowing: each scan counts
+choice for small inputs. Above ``REFINE_BYTES``, or ``MAP_BYTES`` where one or a few groups hold all rows, the quantile is found by narrowing: each scan counts
 values per cell on the map side, and only the cells that hold the wanted ranks, at most two per group, are looked
 into by the next. Cells carry their least and greatest value, so it ends once these are equal: as
 a rule after two scans, after four at most. What is shuffled are cell counts, never the values themselves, and they are hashed by (group, cell), so a
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wattfleet.session import input_bytes, materialize
 
 REFINE_BYTES = 1 << 30
+MAP_BYTES = 16 << 20    # values that hardly repeat take some 8 bytes each in a file and a hundred in the map of a task
 _COARSE = 4096          # cells per unit of log1p: neighbours differ by 0.025 %
 _FINE = 1 << 20         # linear cells inside one cell
 
@@ -29,7 +30,7 @@ def exact_quantile(
     With ``weight``, a column of whole numbers, a row counts that many times.
     """
     if refine is None:
-        refine = input_bytes(df) > REFINE_BYTES
+        refine = input_bytes(df) > REFINE_BYTES if groups else one_map_is_too_small(df)
     times = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     rows = df.select(*groups, F.col(value).cast("double").alias("__v"), times.alias("__w"))
     rows = rows.where(F.col("__v").isNotNull() & ~F.isnan("__v") & (F.col("__w") > 0))
@@ -40,6 +41,11 @@ def exact_quantile(
     return _refined(rows, list(groups), prob, name)
 
 
+def one_map_is_too_small(df: DataFrame) -> bool:
+    """Whether the values of the table may be too many for the map of one task: for one group, or groups as few as meters."""
+    return input_bytes(df) > MAP_BYTES
+
+
 def _refined(rows: DataFrame, groups: list[str], prob: float, name: str) -> DataFrame:
     keys = groups or ["__all"]
     if not groups:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from wattfleet.functions.quantiles import exact_quantile, medians_row
+from wattfleet.functions.quantiles import exact_quantile, medians_row, one_map_is_too_small
 from wattfleet.functions.scalars import log_reading
 from wattfleet.functions.series import running_last
 from wattfleet.schema import FILLED_WEATHER, READING, SERIES_KEYS, TARGET_LOG
@@ -34,7 +34,7 @@ def fill_weather(weather: DataFrame, split: bool | None = None) -> DataFrame:
 def reading_limits(df: DataFrame, reading_col: str = READING, quantile_cutoff: float = 0.999) -> DataFrame:
     """The upper limit of positive readings per meter, or one overall when there is no meter column."""
     groups = ["meter"] if "meter" in df.columns else []
-    limits = exact_quantile(df.where(F.col(reading_col) > 0), groups, reading_col, quantile_cutoff, "limit")
+    limits = exact_quantile(df.where(F.col(reading_col) > 0), groups, reading_col, quantile_cutoff, "limit", one_map_is_too_small(df))
     return limits.withColumn("limit", F.round("limit", 9))
 
 

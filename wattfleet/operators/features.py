@@ -12,11 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from wattfleet.functions import scalars
-from wattfleet.functions.quantiles import median_of
+from wattfleet.functions.quantiles import median_of, one_map_is_too_small
 from wattfleet.functions.sampling import hash_sample
 from wattfleet.functions.series import sliding_means, trailing
 from wattfleet.schema import ALL_COLUMNS, READING, SERIES_KEYS, TARGET_LOG
+from wattfleet.session import input_bytes, materialize
 
+NO_STATISTICS = 1 << 62      # bytes that Spark states for rows of unknown size
 MODEL_TABLE_REQUIRED = ["lag_1hr", "lag_24hr", "rolling_mean_6hr"]
 
 
@@ -79,11 +81,15 @@ def joined_median(
     """The median that a weather column has in the merged table, without merging.
 
     Each weather row counts as often as readings meet it. These counts, per site and hour, are
-    pre-aggregated from two columns of the readings and one of the buildings; only they meet the weather.
+    pre-aggregated from two columns of the readings and one of the buildings; only they meet the weather, whose rows bound them.
     """
     met = (readings.select("building_id", "timestamp").join(buildings.select("building_id", "site_id"), "building_id")
            .groupBy("site_id", "timestamp").agg(F.count(F.lit(1)).alias("__met")))
     met = met.join(weather.select("site_id", "timestamp", column), ["site_id", "timestamp"])
+    if refine is None:
+        if input_bytes(readings) >= NO_STATISTICS:      # rows that are not stored by column: this branch would read all of their columns
+            met = materialize(met, "met-hours")
+        refine = one_map_is_too_small(weather)
     return median_of(met, column, refine, weight="__met")
 
 
