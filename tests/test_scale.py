@@ -9,7 +9,7 @@ from wattfleet.functions.quantiles import exact_quantile
 from wattfleet.operators import forest, trees
 from wattfleet.operators.trees import Forest
 from wattfleet.plans import catalog
-from wattfleet.schema import ANOMALY_FEATURES
+from wattfleet.schema import ANOMALY_FEATURES, IDENTIFIERS, YEAR_MONTH
 from wattfleet.session import configure, scratch_path
 from wattfleet.sources import standin
 
@@ -115,3 +115,18 @@ def test_order_lines_are_summed_once(spark):
     for build in (catalog.model_rows, catalog.built_features, catalog.dense_features):
         assert "lineitem" not in plan_text(build(spark, "/root/testdata/sf0.001"))
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_the_forest_reads_tables_of_its_own_columns(spark, monkeypatch):
+    """Without the whole tables at hand only the forest's columns are stored; the order lines are summed once for both tables."""
+    monkeypatch.setattr(catalog, "_ONCE", {})
+    sf = "/root/testdata/sf0.001"
+    narrow, trained = (make(spark, sf, ANOMALY_FEATURES) for make in (catalog.featured, catalog.model_table_once))
+    for table in (narrow, trained):
+        assert table.columns == [*IDENTIFIERS, *ANOMALY_FEATURES, YEAR_MONTH]
+    assert sum("source readings" in key for key in catalog._ONCE) == 1
+    rows = lambda df: sorted(map(str, df.select(*IDENTIFIERS, *ANOMALY_FEATURES).collect()))
+    for got, make in ((narrow, catalog.featured), (trained, catalog.model_table_once)):
+        whole = make(spark, sf)
+        assert "lag_168hr" in whole.columns and rows(got) == rows(whole)
+        assert make(spark, sf, ANOMALY_FEATURES).columns == whole.columns      # once there, it is read

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -12,8 +12,8 @@ from wattfleet.operators import (
 )
 from wattfleet.plans import offline, reports
 from wattfleet.schema import (
-    ALL_COLUMNS, CORRELATION_COLUMNS, IDENTIFIERS, MODEL_FEATURES, RAW_READINGS, RAW_WEATHER, SERIES_KEYS,
-    YEAR_MONTH,
+    ALL_COLUMNS, ANOMALY_FEATURES, CORRELATION_COLUMNS, IDENTIFIERS, MODEL_FEATURES, RAW_READINGS, RAW_WEATHER, READING,
+    SERIES_KEYS, YEAR_MONTH,
 )
 from wattfleet.session import configure, materialize, scratch_path
 from wattfleet.sources import slices, standin, tables
@@ -52,15 +52,24 @@ def merged(spark, sf) -> DataFrame:
     return offline.merged_table(*_sources(spark, sf))
 
 
-def _sources(spark, sf, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = standin.readings(spark, sf) if rows is None else rows
-    return rows, standin.building_meta(spark, sf), standin.weather_raw(spark, sf)
+def _sources(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return standin.readings(spark, sf), standin.building_meta(spark, sf), standin.weather_raw(spark, sf)
 
 
-def _written(spark, sf, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sources with the hourly readings written: limits, medians and windows read them, and each would sum the order lines again."""
-    rows, buildings, weather = _sources(spark, sf, rows)
-    return materialize(rows, "readings"), buildings, weather
+def _written(spark, sf, rows: Query = standin.readings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sources with the hourly readings and the weather written: limits, medians and windows read them, and each would sum the order lines again."""
+    return source_once(spark, sf, rows), standin.building_meta(spark, sf), source_once(spark, sf, standin.weather_raw)
+
+
+def source_once(spark, sf, make: Query) -> DataFrame:
+    """A source as it was written for the first table made of it."""
+    def write() -> tuple[str, T.StructType]:
+        table, path = make(spark, sf), scratch_path(spark, make.__name__)
+        table.write.parquet(path)
+        return path, table.schema
+
+    path, schema = written_once(spark, sf, f"source {make.__name__}", write)
+    return spark.read.schema(schema).parquet(path)
 
 
 def built_features(spark, sf) -> DataFrame:
@@ -72,44 +81,64 @@ def model_rows(spark, sf) -> DataFrame:
 
 
 def dense_features(spark, sf) -> DataFrame:
-    return offline.build_features(*_written(spark, sf, standin.dense(spark, sf)))
+    return offline.build_features(*_written(spark, sf, standin.dense))
 
 
 # Reports and models read tables and models that were made once, as they would in operation.
 _ONCE: dict[tuple, object] = {}
 
 
+def _key(spark, sf, name: str) -> tuple:
+    return spark.sparkContext.applicationId, sf, name, *(tables.stored_state(spark, f"{sf}/{t}.parquet") for t in standin.TABLES)
+
+
+def known(spark, sf, name: str) -> bool:
+    return _key(spark, sf, name) in _ONCE
+
+
 def once(spark, sf, name: str, make: Callable[[], object]):
-    key = (spark.sparkContext.applicationId, sf, name, *(tables.stored_state(spark, f"{sf}/{t}.parquet") for t in standin.TABLES))
+    key = _key(spark, sf, name)
     if key not in _ONCE:
         _ONCE[key] = make()
     return _ONCE[key]
 
 
-def stored(spark, sf, build: Query) -> DataFrame:
+def written_once(spark, sf, name: str, write: Callable[[], tuple[str, T.StructType]]) -> tuple[str, T.StructType]:
+    """Path and schema of a table that is written again if it is gone."""
+    path, schema = once(spark, sf, name, write)
+    if not tables.path_exists(spark, path):
+        for key in [k for k, v in _ONCE.items() if v == (path, schema)]:
+            del _ONCE[key]
+        path, schema = once(spark, sf, name, write)
+    return path, schema
+
+
+def stored(spark, sf, build: Query, columns: Sequence[str] | None = None) -> DataFrame:
+    """A table stored for the reports. Jobs that read a few of its columns name them: if the whole table is not at hand, these alone are
+    computed and stored, with the same rows."""
+    narrow = columns is not None and not known(spark, sf, build.__name__)
+    kept = list(dict.fromkeys([*IDENTIFIERS, *columns])) if narrow else None
+
     def write() -> tuple[str, T.StructType]:
         table, path = build(spark, sf), scratch_path(spark, build.__name__)
+        table = table.select(*kept) if narrow else table
         tables.write_feature_table(table, path)
         return path, table.schema
 
-    path, schema = once(spark, sf, build.__name__, write)
-    if not tables.path_exists(spark, path):
-        for key in [k for k, v in _ONCE.items() if v == (path, schema)]:
-            del _ONCE[key]
-        path, schema = once(spark, sf, build.__name__, write)
+    path, schema = written_once(spark, sf, " ".join([build.__name__, *(kept or [])]), write)
     return tables.read_feature_table(spark, path, schema, folders=True)
 
 
-def featured(spark, sf) -> DataFrame:
-    return stored(spark, sf, built_features)
+def featured(spark, sf, columns: Sequence[str] | None = None) -> DataFrame:
+    return stored(spark, sf, built_features, columns)
 
 
 def dense_table(spark, sf) -> DataFrame:
     return stored(spark, sf, dense_features)
 
 
-def model_table_once(spark, sf) -> DataFrame:
-    return stored(spark, sf, model_rows)
+def model_table_once(spark, sf, columns: Sequence[str] | None = None) -> DataFrame:
+    return stored(spark, sf, model_rows, columns)
 
 
 def build_forecast(spark, sf) -> DataFrame:
@@ -129,7 +158,7 @@ def fitted(spark, sf) -> model.TreeModel:
 
 
 def isolation(spark, sf) -> forest.IsolationForest:
-    return once(spark, sf, "isolation forest", lambda: forest.fit(model_table_once(spark, sf)))
+    return once(spark, sf, "isolation forest", lambda: forest.fit(model_table_once(spark, sf, ANOMALY_FEATURES)))
 
 
 # ---- slices and sources ----------------------------------------------------------
@@ -584,7 +613,7 @@ def isoforest_fit(spark, sf):
 
 @query
 def isoforest_score(spark, sf):
-    return rounded(forest.score(featured(spark, sf), isolation(spark, sf)).select(
+    return rounded(forest.score(featured(spark, sf, ANOMALY_FEATURES), isolation(spark, sf)).select(
         *IDENTIFIERS, "isoforest_score", "anomaly_score", "isoforest_anomaly"))
 
 
@@ -592,18 +621,19 @@ def isoforest_score(spark, sf):
 def isoforest_persist(spark, sf):
     """Flags of the forest after saving and loading it."""
     back = forest.load_forest(spark, _saved_forest(spark, sf))
-    return forest.score(featured(spark, sf), back).where("isoforest_anomaly = 1").select(*IDENTIFIERS)
+    return forest.score(featured(spark, sf, ANOMALY_FEATURES), back).where("isoforest_anomaly = 1").select(*IDENTIFIERS)
 
 
 @query
 def isoforest_summary(spark, sf):
-    return rounded(forest.forest_summary(forest.score(featured(spark, sf), isolation(spark, sf))))
+    return rounded(forest.forest_summary(forest.score(featured(spark, sf, ANOMALY_FEATURES), isolation(spark, sf))))
 
 
 @query
 def anomaly_detect(spark, sf):
     found = isolation(spark, sf)
-    return rounded(anomaly.detect(featured(spark, sf), forest_score=lambda df: forest.score(df, found)).select(
+    rows = featured(spark, sf, [*ANOMALY_FEATURES, READING, "rolling_mean_24hr"])
+    return rounded(anomaly.detect(rows, forest_score=lambda df: forest.score(df, found)).select(
         *IDENTIFIERS, *_RESIDUAL, "anomaly_type", "isoforest_anomaly", "isoforest_score", "anomaly_score"))
 
 
