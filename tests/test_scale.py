@@ -92,6 +92,17 @@ def test_complete_trees_give_what_single_steps_give(monkeypatch):
         assert max(walked) <= depth
 
 
+def test_sets_of_leaves_give_what_single_steps_give():
+    for depth in (0, 1, 5, 9):          # up to several words of leaves
+        f, x = random_forest(depth, 9, trees.MASK_ROWS + 300, depth)
+        want = np.zeros(len(x))
+        for t, w in enumerate(f.weights):
+            want += w * f.value[f.leaf_of(t, x)]
+        masks = trees.LeafMasks.of(f, x.shape[1])
+        assert (masks.predict(x) == want).all() and len(masks.predict(x[:0])) == 0
+    assert max(len(tables[0][1]) for tables, _ in masks.tables if tables) > 2
+
+
 def test_the_cut_of_a_forest_scores_each_row_once(spark, monkeypatch):
     rng = np.random.default_rng(3)
     n = 400

@@ -7,7 +7,7 @@ anywhere, in SQL too, and does not depend on partitions or on a generator's stat
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from wattfleet.functions.quantiles import exact_quantile
 from wattfleet.functions.sampling import SEED
 from wattfleet.operators.model import described
-from wattfleet.operators.trees import NODE_COLUMNS, Forest, collect_forest
+from wattfleet.operators.trees import NODE_COLUMNS, Forest, LeafMasks, collect_forest
 from wattfleet.schema import ANOMALY_FEATURES, IDENTIFIERS, SERIES_KEYS, require_columns
 from wattfleet.session import materialize
 
@@ -89,10 +89,17 @@ class IsolationForest:
     sample_rows: int
     offset: float
     contamination: float
+    _masks: LeafMasks | None = field(default=None, repr=False, compare=False)
+
+    def masks(self) -> LeafMasks:
+        """The trees as tables of leaves, made once; a few MB that travel with the forest to the tasks."""
+        if self._masks is None:
+            self._masks = LeafMasks.of(self.forest, len(ANOMALY_FEATURES))
+        return self._masks
 
     def score_array(self, x: np.ndarray) -> np.ndarray:
         """−2^(−mean depth / expected depth): the lower, the more isolated."""
-        depth = self.forest.predict(x) / max(len(self.forest.roots), 1)
+        depth = self.masks().predict(x) / max(len(self.forest.roots), 1)
         return -np.power(2.0, -depth / max(float(average_path(self.sample_rows)), 1e-9))
 
 
@@ -137,6 +144,7 @@ def score(df: DataFrame, model: IsolationForest) -> DataFrame:
     cross into Python.
     """
     names = list(ANOMALY_FEATURES)
+    model.masks()       # made here, not by each task
 
     @F.pandas_udf("double")
     def forest_score(*cols: pd.Series) -> pd.Series:

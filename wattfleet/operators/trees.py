@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 MAX_NODES = 2_000_000
 MAX_LEVELS = 12         # deeper trees are walked node by node
 BLOCK_ROWS = 4096
+MASK_ROWS = 1 << 14     # look-ups in small tables need no block that fits the cache, but few calls
 NODE_COLUMNS = ["tree_id", "node_id", "left", "right", "feature", "threshold", "value", "cover", "gain", "weight"]
 
 
@@ -84,6 +85,80 @@ class Forest:
         return out
 
 
+@dataclass
+class LeafMasks:
+    """Many rows through many trees by looking up sets of leaves instead of walking.
+
+    The leaves of a tree are bits, from left to right. A cut that a value is above rules out the leaves to its left, so per tree, feature and number
+    of the feature's cuts below the value (counted over all trees) a table holds what is left; the first leaf that all features leave is
+    the one the row ends in. Costs a few look-ups per tree and feature, whatever the depth.
+    """
+
+    cuts: list[np.ndarray]      # of each feature, over all trees
+    tables: list[tuple[list[tuple[int, np.ndarray]], np.ndarray]]      # per tree: (feature, words x places) of its features, and the values of its leaves, weighted
+
+    @classmethod
+    def of(cls, forest: Forest, features: int) -> LeafMasks:
+        inner = forest.feature >= 0
+        cuts = [np.unique(forest.threshold[inner & (forest.feature == f)]) for f in range(features)]
+        return cls(cuts, [cls._table(forest, t, cuts) for t in range(len(forest.roots))])
+
+    @staticmethod
+    def _table(forest: Forest, tree: int, cuts: list[np.ndarray]) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+        leaves, ruled, todo = [], [], [(int(forest.roots[tree]), None)]
+        while todo:         # left before right; a node comes up again once its left leaves are known
+            node, since = todo.pop()
+            if since is not None:
+                ruled.append((int(forest.feature[node]), forest.threshold[node], since, len(leaves)))
+            elif forest.feature[node] < 0:
+                leaves.append(node)
+            else:
+                todo += [(int(forest.right[node]), None), (node, len(leaves)), (int(forest.left[node]), None)]
+        words, whole, every = -(-len(leaves) // 64), (1 << len(leaves)) - 1, (1 << 64) - 1
+        tables = []
+        for f in sorted({r[0] for r in ruled}):
+            mine = sorted((r[1:] for r in ruled if r[0] == f), key=lambda r: r[0])
+            left, steps = whole, [whole]
+            for _, since, until in mine:
+                left &= ~((1 << until) - (1 << since))
+                steps.append(left)
+            held = np.array([[(s >> (64 * w)) & every for s in steps] for w in range(words)], np.uint64)
+            places = np.searchsorted(cuts[f], [r[0] for r in mine], side="right")      # from this count of all cuts on, its own is below
+            tables.append((f, held.take(np.searchsorted(places, np.arange(len(cuts[f]) + 1), side="right"), axis=1)))
+        return tables, forest.weights[tree] * forest.value[leaves]
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """What ``Forest.predict`` gives; a value that is not a number lies above all cuts, as in every comparison."""
+        out = np.zeros(len(x))
+        for start in range(0, len(x), MASK_ROWS):
+            rows = x[start:start + MASK_ROWS]
+            places = [np.searchsorted(c, rows[:, f]) for f, c in enumerate(self.cuts)]
+            total = out[start:start + len(rows)]
+            got = np.empty(len(rows), np.uint64)
+            for tables, values in self.tables:
+                if not tables:
+                    total += values[0]
+                    continue
+                leaf = None
+                for w in reversed(range(len(tables[0][1]))):
+                    left = tables[0][1][w].take(places[tables[0][0]])
+                    for f, table in tables[1:]:
+                        left &= table[w].take(places[f], out=got, mode="clip")
+                    here = _first_bit(left)
+                    here += 64 * w
+                    leaf = here if leaf is None else np.where(left != 0, here, leaf)
+                total += values.take(leaf, mode="clip")
+        return out
+
+
+def _first_bit(words: np.ndarray) -> np.ndarray:
+    """The place of the lowest bit that is set, by the exponent of that power of two."""
+    first = (words & (~words + np.uint64(1))).astype(float).view(np.int64)
+    first >>= 52
+    first -= 1023
+    return first
+
+
 def collect_forest(nodes: DataFrame) -> Forest:
     """Node table (``NODE_COLUMNS``) to arrays, refusing tables too large to ship."""
     n = nodes.count()
