@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.conftest import plan_text, rows_of
+from wattfleet.functions import quantiles
 from wattfleet.functions.quantiles import exact_quantile
 from wattfleet.operators import forest, trees
 from wattfleet.operators.trees import Forest
@@ -141,3 +142,23 @@ def test_the_forest_reads_tables_of_its_own_columns(spark, monkeypatch):
         whole = make(spark, sf)
         assert "lag_168hr" in whole.columns and rows(got) == rows(whole)
         assert make(spark, sf, ANOMALY_FEATURES).columns == whole.columns      # once there, it is read
+
+
+def test_the_cut_of_a_forest_is_narrowed_where_scores_outgrow_a_map(spark, monkeypatch):
+    """Saving, describing and applying a forest all wait for its cut, which is no task's map of all scores."""
+    rng = np.random.default_rng(4)
+    n = 500
+    pdf = pd.DataFrame(rng.normal(size=(n, len(ANOMALY_FEATURES))), columns=ANOMALY_FEATURES)
+    pdf["building_id"], pdf["meter"], pdf["timestamp"] = 1, 0, pd.date_range("2024-01-01", periods=n, freq="h")
+    rows, seen = rows_of(spark, pdf), []
+
+    def looked(*args):
+        seen.append(exact_quantile(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(forest, "exact_quantile", looked)
+    small = forest.fit(rows, trees=5, sample_rows=64)
+    monkeypatch.setattr(quantiles, "MAP_BYTES", 100)
+    large = forest.fit(rows, trees=5, sample_rows=64)
+    assert ["percentile" in plan_text(q) for q in seen] == [True, False]
+    assert abs(small.offset - large.offset) < 1e-12
